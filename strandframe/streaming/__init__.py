@@ -1,0 +1,5 @@
+"""The reference has no streams, so there are no streaming operators here.
+
+Row-local operators (k-mer explosion, one-hot, reverse complement, motif
+scan against a fixed motif table) also work on a streaming DataFrame.
+"""
