@@ -139,17 +139,15 @@ def exact_motif_scan(seqs: DataFrame, words: DataFrame, both_strands: bool = Tru
     )
     # only sequences with a hit need their text for the context score
     withtext = hits.join(seqs.select("name", "seq"), "name")
-    left = F.expr("substring(seq, 1, start)")
+    left = F.reverse(F.expr("substring(seq, 1, start)"))
     right = F.expr("substring(seq, start + length(word) + 1, length(seq))")
-    c = F.col("context")
-    run_l = F.length(left) - F.length(_strip_repeats(left, c, True))
-    run_r = F.length(right) - F.length(_strip_repeats(right, c, False))
-    ctx = F.when(c == "", F.lit(0)).otherwise(run_l + run_r)
+    runs = F.length(_leading_repeats(left, F.reverse("context"))) + F.length(_leading_repeats(right, F.col("context")))
     return withtext.select(
-        "name", "motif", "strand", "start", (F.col("start") + F.length("word")).alias("end"), ctx.cast("int").alias("context_bases")
+        "name", "motif", "strand", "start", (F.col("start") + F.length("word")).alias("end"),
+        F.when(F.col("context") == "", F.lit(0)).otherwise(runs).cast("int").alias("context_bases"),
     )
 
 
-def _strip_repeats(text: Column, unit: Column, at_end: bool) -> Column:
-    pattern = F.concat(F.lit("(" if at_end else "^("), unit, F.lit(")+$" if at_end else ")+"))
-    return F.when(unit == "", text).otherwise(F.regexp_replace(text, pattern, F.lit("")))
+def _leading_repeats(text: Column, unit: Column) -> Column:
+    """The run of whole ``unit`` repeats at the start of ``text``."""
+    return F.regexp_substr(F.concat(F.lit("|"), text), F.concat(F.lit(r"^\|("), unit, F.lit(")*"))).substr(F.lit(2), F.length(text))

@@ -84,6 +84,7 @@ def _(spark, sf):
     "sequence_composition",
     C(V.SEQ, _win(3))
     + "SELECT w AS kmer, count(*) AS cnt, count(*) / sum(count(*)) OVER () AS fraction FROM win GROUP BY w",
+    floats="fraction",
 )
 def _(spark, sf):
     return kmers.sequence_composition(V.sequences(spark, sf), 3)
@@ -93,6 +94,7 @@ def _(spark, sf):
     "codon_composition",
     C(V.SEQ, _win(3, step=3))
     + "SELECT w AS kmer, count(*) AS cnt, count(*) / sum(count(*)) OVER () AS fraction FROM win GROUP BY w",
+    floats="fraction",
 )
 def _(spark, sf):
     return kmers.codon_composition(V.sequences(spark, sf))
@@ -109,6 +111,7 @@ def _(spark, sf):
         "b AS (SELECT w AS kmer, count(*) / sum(count(*)) OVER () AS fraction_b FROM bw GROUP BY w)",
     )
     + "SELECT kmer, fraction_a, fraction_b FROM a JOIN b USING (kmer)",
+    floats="fraction_a fraction_b",
 )
 def _(spark, sf):
     return kmers.compare_compositions(
@@ -127,6 +130,7 @@ def _(spark, sf):
   FROM f a JOIN f b ON substr(a.kmer, 2, 2) = substr(b.kmer, 1, 2))""",
     )
     + "SELECT triplet, next_base, f / sum(f) OVER (PARTITION BY triplet) AS p FROM j",
+    floats="p",
 )
 def _(spark, sf):
     return kmers.triplet_transition_probs(kmers.sequence_composition(V.sequences(spark, sf), 3))
