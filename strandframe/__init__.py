@@ -7,3 +7,10 @@ motif is ``(motif, pos, base, w)``, an attribution map is
 """
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions of this package travel to the executors by value, so that it need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -10,12 +10,13 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _erfc = np.vectorize(math.erfc, otypes=[float])
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_sf(z: pd.Series) -> pd.Series:
     """Upper tail of the standard normal."""
     return pd.Series(0.5 * _erfc(z.to_numpy(float) / math.sqrt(2.0))) if len(z) else pd.Series([], dtype=float)
@@ -62,7 +63,7 @@ def t_two_sided_np(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
     return beta_inc(dof / 2, np.full_like(dof, 0.5), dof / (dof + t * t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided(t: pd.Series, dof: pd.Series) -> pd.Series:
     """Two-sided p value of a t statistic."""
     if not len(t):
@@ -70,7 +71,7 @@ def t_two_sided(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(t_two_sided_np(t.to_numpy(float), dof.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_isf(p: pd.Series, dof: pd.Series) -> pd.Series:
     """t with two-sided tail ``p`` (bisection on the tail)."""
     if not len(p):
@@ -84,7 +85,7 @@ def t_isf(p: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series((lo + hi) / 2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def correlation_tail(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a Pearson r from n points (exact beta form)."""
     if not len(r):
@@ -93,12 +94,12 @@ def correlation_tail(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(2 * beta_inc(ab, ab, 0.5 * (1 - np.abs(r.to_numpy(float)))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def log_factorial(n: pd.Series) -> pd.Series:
     return pd.Series(_lgamma(n.to_numpy(float) + 1)) if len(n) else pd.Series([], dtype=float)
 
 
-@F.pandas_udf("struct<p_more:double,p_less:double>")
+@F.pandas_udf(T.StructType([T.StructField("p_more", T.DoubleType()), T.StructField("p_less", T.DoubleType())]))
 def fisher_tails(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
     """One-sided Fisher tails of a 2x2 table [[a,b],[c,d]]: more and fewer in cell a."""
     more, less = [], []

@@ -7,6 +7,7 @@ def load_catalog():
     from strandframe.plans import (  # noqa: F401
         matrix_queries,
         sequence_queries,
+        stats_queries,
     )
 
     return catalog
