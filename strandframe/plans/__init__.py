@@ -5,8 +5,10 @@ def load_catalog():
     """Import all query modules and return the catalog."""
     from strandframe.plans import catalog
     from strandframe.plans import (  # noqa: F401
+        interval_queries,
         matrix_queries,
         sequence_queries,
+        source_queries,
         stats_queries,
     )
 
