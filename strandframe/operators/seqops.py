@@ -141,7 +141,14 @@ def exact_motif_scan(seqs: DataFrame, words: DataFrame, both_strands: bool = Tru
     withtext = hits.join(seqs.select("name", "seq"), "name")
     left = F.reverse(F.expr("substring(seq, 1, start)"))
     right = F.expr("substring(seq, start + length(word) + 1, length(seq))")
-    runs = F.length(_leading_repeats(left, F.reverse("context"))) + F.length(_leading_repeats(right, F.col("context")))
+    # the long text is only scanned where the neighbouring letters are the unit
+    n, c = F.length("context"), F.col("context")
+    near_l = F.expr("substring(seq, start - length(context) + 1, length(context))") == c
+    near_r = F.expr("substring(seq, start + length(word) + 1, length(context))") == c
+    zero = F.lit(0)
+    runs = F.when(near_l & (F.col("start") >= n), F.length(_leading_repeats(left, F.reverse("context")))).otherwise(zero) + F.when(
+        near_r, F.length(_leading_repeats(right, c))
+    ).otherwise(zero)
     return withtext.select(
         "name", "motif", "strand", "start", (F.col("start") + F.length("word")).alias("end"),
         F.when(F.col("context") == "", F.lit(0)).otherwise(runs).cast("int").alias("context_bases"),

@@ -7,6 +7,7 @@ def load_catalog():
     from strandframe.plans import (  # noqa: F401
         interval_queries,
         matrix_queries,
+        motif_queries,
         sequence_queries,
         source_queries,
         stats_queries,
