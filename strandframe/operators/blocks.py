@@ -48,13 +48,16 @@ def against_reference(
     r = right.withColumn("__block", F.pmod(F.xxhash64(right_id), F.lit(blocks)).cast("int")).withColumn(
         "__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
     )
+    # fresh column ids, so that both sides may come from one table
+    r = r.select(*[F.col(c).alias(f"r_{c}") for c in r.columns])
 
     def pair(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame()
+        b = b.rename(columns=lambda c: c[2:])
         return compare(a.drop(columns=["__salt", "__block"]), b.drop(columns=["__salt", "__block"]))
 
-    return l.groupBy("__block", "__salt").cogroup(r.groupBy("__block", "__salt")).applyInPandas(pair, schema)
+    return l.groupBy("__block", "__salt").cogroup(r.groupBy("r___block", "r___salt")).applyInPandas(pair, schema)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
