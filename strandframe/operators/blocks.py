@@ -55,7 +55,8 @@ def against_reference(
         if not len(a) or not len(b):
             return pd.DataFrame()
         b = b.rename(columns=lambda c: c[2:])
-        return compare(a.drop(columns=["__salt", "__block"]), b.drop(columns=["__salt", "__block"]))
+        out = compare(a.drop(columns=["__salt", "__block"]), b.drop(columns=["__salt", "__block"]))
+        return out if len(out) else pd.DataFrame()
 
     return l.groupBy("__block", "__salt").cogroup(r.groupBy("r___block", "r___salt")).applyInPandas(pair, schema)
 

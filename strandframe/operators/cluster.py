@@ -61,9 +61,12 @@ def near_pairs(points: DataFrame, metric: str, threshold: float, block: int = 2_
         d = distances(_stack(a["vec"]), _stack(b["rvec"]), metric)
         i, j = np.nonzero(d < threshold)
         ia, jb = a["id"].to_numpy()[i], b["rid"].to_numpy()[j]
+        if not len(ia):
+            return pd.DataFrame()
         keep = ia < jb if key[1] == key[2] else ia != jb
         lo, hi = np.where(ia[keep] < jb[keep], ia[keep], jb[keep]), np.where(ia[keep] < jb[keep], jb[keep], ia[keep])
-        return pd.DataFrame({"grp": [key[0]] * len(lo), "a": lo, "b": hi, "dist": d[i, j][keep]})
+        out = pd.DataFrame({"grp": [key[0]] * len(lo), "a": lo, "b": hi, "dist": d[i, j][keep]})
+        return out if len(out) else pd.DataFrame()
 
     return left.groupBy("grp", "x", "y").cogroup(right.groupBy("rgrp", "rx", "ry")).applyInPandas(
         pairs, "grp string, a string, b string, dist double"
@@ -297,8 +300,9 @@ def cluster_representatives(pairs: DataFrame, clusters: DataFrame, consider: int
     x = top.join(inside.select("cluster", "a", F.col("b").alias("c"), F.col("dist").alias("dac")), ["cluster", "a"])
     x = x.join(inside.select("cluster", "b", F.col("a").alias("c"), F.col("dist").alias("dbc")), ["cluster", "b", "c"])
     x = x.filter("c <> a AND c <> b").withColumn("total", F.col("dist") + F.col("dac") + F.col("dbc"))
-    best = F.max_by(F.struct(F.col("a").alias("rep1"), F.col("b").alias("rep2"), F.col("c").alias("rep3")), F.struct("total", "a", "b", "c"))
-    return x.groupBy("cluster").agg(best.alias("x")).select("cluster", "x.*")
+    trio = F.array_sort(F.array("a", "b", "c"))
+    best = x.groupBy("cluster").agg(F.max_by(trio, F.struct("total", "a", "b", "c")).alias("x"))
+    return best.select("cluster", *[F.col("x")[i].alias(f"rep{i + 1}") for i in range(3)])
 
 
 def assign_leftout_to_cluster(pairs: DataFrame, representatives: DataFrame, linkage: str, threshold: float) -> DataFrame:

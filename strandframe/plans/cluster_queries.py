@@ -48,17 +48,17 @@ def _(spark, sf):
     return K.assign_to_centroid(points(spark, sf).select(F.lit("all").alias("grp"), "id", "vec"), c)
 
 
-_NEAR = """e2 AS (SELECT a.id AS a, b.id AS b FROM pt a JOIN pt b ON a.id < b.id AND list_distance(a.vec, b.vec) < 0.9)"""
+_NEAR = """e2 AS (SELECT a.id AS a, b.id AS b FROM pt a JOIN pt b ON a.id < b.id AND list_distance(a.vec, b.vec) < 1.08)"""
 
 
 @query(
     "near_pairs",
-    C(PTS) + "SELECT a.id AS a, b.id AS b, list_distance(a.vec, b.vec) AS dist FROM pt a JOIN pt b ON a.id < b.id AND list_distance(a.vec, b.vec) < 0.9",
+    C(PTS) + "SELECT a.id AS a, b.id AS b, list_distance(a.vec, b.vec) AS dist FROM pt a JOIN pt b ON a.id < b.id AND list_distance(a.vec, b.vec) < 1.15",
     floats="dist",
 )
 def _(spark, sf):
     p = points(spark, sf).select(F.lit("all").alias("grp"), "id", "vec")
-    return K.near_pairs(p, "euclidean", 0.9).drop("grp")
+    return K.near_pairs(p, "euclidean", 1.15).drop("grp")
 
 
 @query(
@@ -68,7 +68,7 @@ def _(spark, sf):
   SELECT id, min(r) AS cluster FROM reach GROUP BY id""",
 )
 def _(spark, sf):
-    return K.agglomerative_cluster(points(spark, sf), "euclidean", "single", 0.9)
+    return K.agglomerative_cluster(points(spark, sf), "euclidean", "single", 1.08)
 
 
 @query("agglomerative_cluster")
@@ -109,7 +109,7 @@ def _(spark, sf):
     "cluster_representatives",
     C(PTS, _PAIRS, "tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY dist DESC, a, b) AS rn FROM pr WHERE a < b) WHERE rn <= 60)",
       "x AS (SELECT tp.cluster, tp.a, tp.b, p.b AS c, tp.dist + p.dist + q.dist AS t FROM tp JOIN pr p ON tp.a = p.a JOIN pr q ON tp.b = q.a AND q.b = p.b WHERE p.b <> tp.a AND p.b <> tp.b)")
-    + "SELECT cluster, rep1, rep2, rep3 FROM (SELECT cluster, a AS rep1, b AS rep2, c AS rep3, row_number() OVER (PARTITION BY cluster ORDER BY round(t, 9) DESC, a DESC, b DESC, c DESC) AS rn FROM x) WHERE rn = 1",
+    + "SELECT cluster, tr[1] AS rep1, tr[2] AS rep2, tr[3] AS rep3 FROM (SELECT cluster, list_sort([a, b, c]) AS tr, row_number() OVER (PARTITION BY cluster ORDER BY round(t, 9) DESC, a DESC, b DESC, c DESC) AS rn FROM x) WHERE rn = 1",
 )
 def _(spark, sf):
     return K.cluster_representatives(*_label_pairs(spark, sf))
