@@ -12,8 +12,16 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_erfc = np.vectorize(math.erfc, otypes=[float])
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _erfc(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, float)
+    return np.array([math.erfc(v) for v in x.ravel()]).reshape(x.shape)
+
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """Log gamma with one evaluation per distinct argument."""
+    u, back = np.unique(np.asarray(x, float), return_inverse=True)
+    return np.array([math.lgamma(v) if v > 0 else math.inf for v in u])[back].reshape(np.shape(x))
 
 
 @F.pandas_udf(T.DoubleType())
