@@ -13,13 +13,25 @@ def reverse_complement(seq: Column) -> Column:
     return F.translate(F.reverse(seq), "ACGT", "TGCA")
 
 
-def windows(seq: Column, size: int, step: int = 1) -> Column:
-    """All substrings of ``size`` as an array (empty when the sequence is shorter)."""
-    n = F.length(seq)
-    starts = F.sequence(F.lit(1), n - (size - 1), F.lit(step))
-    return F.when(n >= size, F.transform(starts, lambda i: F.substr(seq, i, F.lit(size)))).otherwise(
-        F.array().cast("array<string>")
-    )
+def windows(seq: Column, size: int, step: int = 1, alphabet: str | None = None) -> Column:
+    """All substrings of ``size`` in order as an array (empty when the sequence is shorter).
+
+    One regular-expression pass with a look-ahead: linear in the length, while a substring
+    per start would walk the text from its beginning each time.  With ``alphabet`` only words
+    made of its letters come out.
+    """
+    letter = f"[{alphabet}]" if alphabet else "."
+    if step == 1:
+        return F.regexp_extract_all(seq, F.lit(f"(?s)(?=({letter}{{{size}}}))"), F.lit(1))
+    if step < size:
+        raise ValueError("step must be 1 or at least the size")
+    gap = f".{{0,{step - size}}}" if step > size else ""
+    return F.regexp_extract_all(seq, F.lit(f"(?s)(.{{{size}}}){gap}"), F.lit(1))
+
+
+def pieces(seq: Column, size: int) -> Column:
+    """The text cut into parts of ``size`` (the last may be shorter)."""
+    return F.regexp_extract_all(seq, F.lit(f"(?s)(.{{1,{size}}})"), F.lit(1))
 
 
 def onehot(seq: Column, alphabet: str = ALPHABET) -> Column:

@@ -5,17 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.functions.sequence import reverse_complement
+from strandframe.functions.sequence import pieces, reverse_complement
 
 CHUNK = 65_536
 
 
 def genome_chunks(chroms: DataFrame, size: int = CHUNK) -> DataFrame:
     """``(chrom, seq)`` to fixed-size chunks."""
-    n = F.length("seq")
-    starts = F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))
-    e = chroms.filter(n > 0).select("chrom", "seq", F.explode(starts).alias("chunk_no"))
-    return e.select("chrom", "chunk_no", F.expr(f"substring(seq, chunk_no * {size} + 1, {size})").alias("seq"))
+    return chroms.select("chrom", F.posexplode(pieces(F.col("seq"), size)).alias("chunk_no", "seq"))
 
 
 def windows_from_genome(regions: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:

@@ -1,7 +1,8 @@
 """K-mer counts and sequence composition.
 
-Every counter explodes positions inside the scan stage and counts with partial
-aggregation, so only distinct ``(name, kmer)`` pairs are shuffled.
+Counts per sequence first hash the compact sequences by name; the words are then
+exploded and counted where they are, with no shuffle of exploded words.  Shares
+over all sequences need no such step: partial sums leave one row per word and task.
 """
 
 from __future__ import annotations
@@ -15,80 +16,77 @@ from pyspark.sql import functions as F
 from strandframe.functions import sequence as S
 
 
-def _known(alphabet: str, extra: str = "") -> str:
-    return f"^[{alphabet}{extra}]+$"
+def _by_name(seqs: DataFrame) -> DataFrame:
+    return seqs.select("name", "seq").repartition("name")
 
 
-def _count(exploded: DataFrame, pattern: str) -> DataFrame:
-    return exploded.filter(F.col("kmer").rlike(pattern)).groupBy("name", "kmer").agg(F.count(F.lit(1)).alias("cnt"))
+def _count(words: DataFrame) -> DataFrame:
+    return words.groupBy("name", "kmer").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def kmer_count_regular(seqs: DataFrame, k: int, alphabet: str = S.ALPHABET) -> DataFrame:
     """Count every ``k`` letter substring made of alphabet letters."""
-    return _count(seqs.select("name", F.explode(S.windows(F.col("seq"), k)).alias("kmer")), _known(alphabet))
+    return _count(_by_name(seqs).select("name", F.explode(S.windows(F.col("seq"), k, alphabet=alphabet)).alias("kmer")))
 
 
 def kmer_count_decreasing(seqs: DataFrame, k: int, min_length: int = 2, alphabet: str = S.ALPHABET) -> DataFrame:
     """Counts for all lengths from ``max(2, min_length)`` to ``k``."""
     sizes = range(max(2, min_length), k + 1)
-    words = F.concat(*[S.windows(F.col("seq"), size) for size in sizes])
-    return _count(seqs.select("name", F.explode(words).alias("kmer")), _known(alphabet))
+    words = F.concat(*[S.windows(F.col("seq"), size, alphabet=alphabet) for size in sizes])
+    return _count(_by_name(seqs).select("name", F.explode(words).alias("kmer")))
 
 
 def kmer_count_gapped(seqs: DataFrame, k: int, gap: int, alphabet: str = S.ALPHABET) -> DataFrame:
-    """Windows of ``k`` with ``gap`` letters left out after the first g letters, g = 1..k-gap-2."""
+    """Windows of ``k`` with ``gap`` letters left out after the first g letters, g = 1..k-gap-2.
+
+    The letters in the gap may be any.
+    """
     lefts = list(range(1, k - gap - 1))
     if not lefts:
         raise ValueError("k must be at least gap + 3")
-    window = seqs.select("name", F.explode(S.windows(F.col("seq"), k)).alias("w"))
+    window = _by_name(seqs).select("name", F.explode(S.windows(F.col("seq"), k)).alias("w"))
     parts = [F.concat(F.substring("w", 1, g), F.substring("w", g + gap + 1, k)) for g in lefts]
-    return _count(window.select("name", F.explode(F.array(*parts)).alias("kmer")), _known(alphabet))
+    words = window.select("name", F.explode(F.array(*parts)).alias("kmer"))
+    return _count(words.filter(F.translate("kmer", alphabet, "") == ""))
 
 
 def kmer_count_mismatch(seqs: DataFrame, k: int, gap: int, alphabet: str = S.ALPHABET) -> DataFrame:
     """Every choice of ``gap`` inner positions of a ``k`` window is replaced by ``X``."""
-    window = seqs.select("name", F.explode(S.windows(F.col("seq"), k)).alias("w"))
+    window = _by_name(seqs).select("name", F.explode(S.windows(F.col("seq"), k)).alias("w"))
     masked = []
     for hidden in combinations(range(1, k - 1), gap):
-        pieces = [F.lit("X") if i in hidden else F.substring("w", i + 1, 1) for i in range(k)]
-        masked.append(F.concat(*pieces))
-    return _count(window.select("name", F.explode(F.array(*masked)).alias("kmer")), _known(alphabet, "X"))
+        spans, at = [], 0
+        for i in [*hidden, k]:
+            spans += [F.substring("w", at + 1, i - at)] if i > at else []
+            spans += [F.lit("X")] if i < k else []
+            at = i + 1
+        masked.append(F.concat(*spans))
+    words = window.select("name", F.explode(F.array(*masked)).alias("kmer"))
+    return _count(words.filter(F.translate("kmer", alphabet + "X", "") == ""))
 
 
 def kmer_count_by_region(seqs: DataFrame, regions: DataFrame, k: int, alphabet: str = S.ALPHABET) -> DataFrame:
     """``kmer_region`` counts; the region that covers most of the window is used.
 
-    ``regions`` is ``(name, region, start, end)``, 0-based half open.  Each interval
-    only emits the windows that it overlaps.
+    ``regions`` is ``(name, region, start, end)``, 0-based half open.  The few regions of a
+    sequence travel with it, so the words are counted without another shuffle.
     """
-    r = regions.select("name", "region", F.col("start").cast("int").alias("rs"), F.col("end").cast("int").alias("re"))
-    joined = seqs.select("name", "seq").join(r, "name").filter(F.length("seq") >= k)
-    first = F.greatest(F.lit(0), F.col("rs") - (k - 1))
-    last = F.least(F.length("seq") - k, F.col("re") - 1)
-    hits = (
-        joined.filter(last >= first)
-        .select("name", "seq", "region", "rs", "re", F.explode(F.sequence(first, last)).alias("s"))
-        .select(
-            "name",
-            "s",
-            F.expr(f"substring(seq, s + 1, {k})").alias("word"),
-            F.struct(
-                -(F.least(F.col("re"), F.col("s") + k) - F.greatest(F.col("rs"), F.col("s"))), F.col("region")
-            ).alias("best"),
-        )
+    r = regions.groupBy("name").agg(
+        F.collect_list(F.struct("region", F.col("start").cast("int").alias("rs"), F.col("end").cast("int").alias("re"))).alias("regs")
     )
-    majority = hits.groupBy("name", "s", "word").agg(F.min("best").getField("region").alias("region"))
-    return (
-        majority.filter(F.col("word").rlike(_known(alphabet)))
-        .groupBy("name", F.concat_ws("_", "word", "region").alias("kmer"))
-        .agg(F.count(F.lit(1)).alias("cnt"))
+    words = seqs.select("name", "seq").join(r, "name").select("name", "regs", F.posexplode(S.windows(F.col("seq"), k)).alias("s", "word"))
+    words = words.filter(F.translate("word", alphabet, "") == "")
+    cover = F.transform(
+        "regs", lambda x: F.struct((F.greatest(x["rs"], F.col("s")) - F.least(x["re"], F.col("s") + k)).alias("o"), x["region"].alias("region"))
     )
+    best = F.array_min(F.filter(cover, lambda x: x["o"] < 0))
+    words = words.select("name", F.concat_ws("_", "word", best["region"]).alias("kmer"), best.isNotNull().alias("ok"))
+    return _count(words.filter("ok").drop("ok"))
 
 
 def kmer_vocabulary(seqs: DataFrame, k: int, alphabet: str = S.ALPHABET) -> DataFrame:
     """Distinct k-mers that occur."""
-    words = seqs.select(F.explode(S.windows(F.col("seq"), k)).alias("kmer"))
-    return words.filter(F.col("kmer").rlike(_known(alphabet))).distinct()
+    return seqs.select(F.explode(S.windows(F.col("seq"), k, alphabet=alphabet)).alias("kmer")).distinct()
 
 
 def kmer_count_vocab(seqs: DataFrame, vocabulary: DataFrame, k: int) -> DataFrame:
@@ -103,14 +101,13 @@ def _fractions(words: DataFrame) -> DataFrame:
 
 def sequence_composition(seqs: DataFrame, k: int, alphabet: str = S.ALPHABET) -> DataFrame:
     """Share of each k-mer over all sequences (the window runs on the vocabulary only)."""
-    words = seqs.select(F.explode(S.windows(F.col("seq"), k)).alias("kmer"))
-    return _fractions(words.filter(F.col("kmer").rlike(_known(alphabet))))
+    return _fractions(seqs.select(F.explode(S.windows(F.col("seq"), k, alphabet=alphabet)).alias("kmer")))
 
 
 def codon_composition(seqs: DataFrame, alphabet: str = S.ALPHABET) -> DataFrame:
     """Share of non-overlapping triplets from position 0."""
     words = seqs.select(F.explode(S.windows(F.col("seq"), 3, 3)).alias("kmer"))
-    return _fractions(words.filter(F.col("kmer").rlike(_known(alphabet))))
+    return _fractions(words.filter(F.translate("kmer", alphabet, "") == ""))
 
 
 def compare_compositions(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -127,34 +127,40 @@ def exact_motif_scan(seqs: DataFrame, words: DataFrame, both_strands: bool = Tru
                 F.lit("-").alias("strand"),
             )
         )
+    # the word lengths and context units are a few distinct values of a motif list
     lengths = [r[0] for r in words.select(F.length("word")).distinct().collect()]
+    units = [r[0] for r in w.select("context").distinct().filter("context <> ''").collect()]
+    base = seqs.select("name", "seq").repartition("name")
     stacked = F.concat(
         *[
             F.transform(S.windows(F.col("seq"), n), lambda x, i: F.struct(i.alias("start"), x.alias("word")))
             for n in sorted(lengths)
         ]
     )
-    hits = (
-        seqs.select("name", F.inline(stacked)).join(w, "word").select("name", "motif", "strand", "start", "word", "context")
-    )
-    # only sequences with a hit need their text for the context score
-    withtext = hits.join(seqs.select("name", "seq"), "name")
-    left = F.reverse(F.expr("substring(seq, 1, start)"))
-    right = F.expr("substring(seq, start + length(word) + 1, length(seq))")
-    # the long text is only scanned where the neighbouring letters are the unit
-    n, c = F.length("context"), F.col("context")
-    near_l = F.expr("substring(seq, start - length(context) + 1, length(context))") == c
-    near_r = F.expr("substring(seq, start + length(word) + 1, length(context))") == c
-    zero = F.lit(0)
-    runs = F.when(near_l & (F.col("start") >= n), F.length(_leading_repeats(left, F.reverse("context")))).otherwise(zero) + F.when(
-        near_r, F.length(_leading_repeats(right, c))
-    ).otherwise(zero)
-    return withtext.select(
-        "name", "motif", "strand", "start", (F.col("start") + F.length("word")).alias("end"),
-        F.when(F.col("context") == "", F.lit(0)).otherwise(runs).cast("int").alias("context_bases"),
-    )
-
+    hits = base.select("name", F.inline(stacked)).join(w, "word")
+    hits = hits.select("name", "motif", "strand", "start", (F.col("start") + F.length("word")).alias("end"), "context")
+    if not units:
+        return hits.drop("context").withColumn("context_bases", F.lit(0))
+    runs = base.select("name", F.inline(F.concat(*[_unit_runs(F.col("seq"), u) for u in units])))
+    right = runs.filter("side = 'r'").select("name", F.col("unit").alias("context"), F.col("at").alias("end"), F.col("n").alias("nr"))
+    left = runs.filter("side = 'l'").select("name", F.col("unit").alias("context"), F.col("at").alias("start"), F.col("n").alias("nl"))
+    j = hits.join(right, ["name", "context", "end"], "left").join(left, ["name", "context", "start"], "left")
+    bases = F.coalesce("nl", F.lit(0)) + F.coalesce("nr", F.lit(0))
+    return j.select("name", "motif", "strand", "start", "end", bases.cast("int").alias("context_bases"))
+
+
+def _unit_runs(seq: Column, unit: str) -> Column:
+    """Runs of whole ``unit`` repeats: length of the run that starts at, or ends before, a position."""
+
+    def at_each_start(text: Column, u: str) -> Column:
+        return F.regexp_extract_all(text, F.lit(f"(?=((?:{u})*))"), F.lit(1))
+
+    def found(side: str, text: Column, u: str, place) -> Column:
+        rows = F.transform(
+            at_each_start(text, u),
+            lambda x, i: F.struct(F.lit(side).alias("side"), F.lit(unit).alias("unit"), place(i).cast("int").alias("at"), F.length(x).alias("n")),
+        )
+        return F.filter(rows, lambda r: r["n"] > 0)
 
-def _leading_repeats(text: Column, unit: Column) -> Column:
-    """The run of whole ``unit`` repeats at the start of ``text``."""
-    return F.regexp_substr(F.concat(F.lit("|"), text), F.concat(F.lit(r"^\|("), unit, F.lit(")*"))).substr(F.lit(2), F.length(text))
+    n = F.length(seq)
+    return F.concat(found("r", seq, unit, lambda i: i), found("l", F.reverse(seq), unit[::-1], lambda i: n - i))
