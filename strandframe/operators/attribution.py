@@ -142,7 +142,7 @@ def _islands(profile: DataFrame, gap: int, active: Column, extra: dict[str, Colu
 
 
 def _smoothed(gap: int) -> Column:
-    w = W.partitionBy("seq", "track", "__chunk").orderBy("pos").rangeBetween(-gap, gap)
+    w = W.partitionBy("seq", "track", "__chunk").orderBy("pos").rowsBetween(-gap, gap)
     return F.avg("value").over(w)
 
 

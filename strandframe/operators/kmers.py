@@ -14,10 +14,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandframe.functions import sequence as S
+from strandframe.operators.blocks import spread
 
 
 def _by_name(seqs: DataFrame) -> DataFrame:
-    return seqs.select("name", "seq").repartition("name")
+    return spread(seqs.select("name", "seq"), "name")
 
 
 def _count(words: DataFrame) -> DataFrame:
@@ -68,20 +69,26 @@ def kmer_count_mismatch(seqs: DataFrame, k: int, gap: int, alphabet: str = S.ALP
 def kmer_count_by_region(seqs: DataFrame, regions: DataFrame, k: int, alphabet: str = S.ALPHABET) -> DataFrame:
     """``kmer_region`` counts; the region that covers most of the window is used.
 
-    ``regions`` is ``(name, region, start, end)``, 0-based half open.  The few regions of a
-    sequence travel with it, so the words are counted without another shuffle.
+    ``regions`` is ``(name, region, start, end)``, 0-based half open.  Every interval
+    only cuts the part of the sequence that it touches, and all sums stay in the partition
+    of the name.
     """
-    r = regions.groupBy("name").agg(
-        F.collect_list(F.struct("region", F.col("start").cast("int").alias("rs"), F.col("end").cast("int").alias("re"))).alias("regs")
+    kinds = regions.groupBy("name").agg(F.sort_array(F.collect_set("region")).alias("kinds"))
+    r = regions.join(kinds, "name").select(
+        "name", (F.array_position("kinds", F.col("region")) - 1).alias("kind"), F.col("start").cast("int").alias("rs"), F.col("end").cast("int").alias("re")
     )
-    words = seqs.select("name", "seq").join(r, "name").select("name", "regs", F.posexplode(S.windows(F.col("seq"), k)).alias("s", "word"))
-    words = words.filter(F.translate("word", alphabet, "") == "")
-    cover = F.transform(
-        "regs", lambda x: F.struct((F.greatest(x["rs"], F.col("s")) - F.least(x["re"], F.col("s") + k)).alias("o"), x["region"].alias("region"))
-    )
-    best = F.array_min(F.filter(cover, lambda x: x["o"] < 0))
-    words = words.select("name", F.concat_ws("_", "word", best["region"]).alias("kmer"), best.isNotNull().alias("ok"))
-    return _count(words.filter("ok").drop("ok"))
+    lo = F.greatest(F.lit(0), F.col("rs") - (k - 1))
+    part = _by_name(seqs).join(r, "name").withColumn("lo", lo)
+    part = part.select("name", "kind", "rs", "re", "lo", F.expr(f"substring(seq, lo + 1, re + {k - 1} - lo)").alias("part"))
+    words = part.select("name", "kind", "rs", "re", "lo", F.posexplode(S.windows(F.col("part"), k)).alias("i", "word"))
+    words = words.filter(F.translate("word", alphabet, "") == "").withColumn("s", F.col("lo") + F.col("i"))
+    cover = F.least(F.col("re"), F.col("s") + k) - F.greatest(F.col("rs"), F.col("s"))
+    per_kind = words.groupBy("name", "s", "word", "kind").agg(F.sum(cover).alias("cover"))
+    # largest cover, then the first kind, as one number, so that the aggregation stays a hash aggregation
+    top = per_kind.groupBy("name", "s", "word").agg(F.max(F.col("cover") * 1_000_000 + (999_999 - F.col("kind"))).alias("code"))
+    counts = top.groupBy("name", "word", (999_999 - F.col("code") % 1_000_000).cast("int").alias("kind")).agg(F.count(F.lit(1)).alias("cnt"))
+    names = kinds.select("name", F.posexplode("kinds").alias("kind", "region"))
+    return counts.join(names, ["name", "kind"]).select("name", F.concat_ws("_", "word", "region").alias("kmer"), "cnt")
 
 
 def kmer_vocabulary(seqs: DataFrame, k: int, alphabet: str = S.ALPHABET) -> DataFrame:

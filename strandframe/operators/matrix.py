@@ -35,19 +35,32 @@ def gini(df: DataFrame, keys: list[str], value: str = "value", eps: float = 1e-1
     return agg.select(*keys, (F.col("num") / den).alias("gini"))
 
 
-def matrix_stats(df: DataFrame, axis: str = "row", round_to: int | None = None) -> DataFrame:
-    """min, percentiles, max, mean, 95-5 spread, std, skew, variation and Gini per row or column."""
+def matrix_stats(df: DataFrame, axis: str = "row", round_to: int | None = None, small_groups: bool | None = None) -> DataFrame:
+    """min, percentiles, max, mean, 95-5 spread, std, skew, variation and Gini per row or column.
+
+    A row holds one value per track, so by default rows are summarised in one aggregation over
+    their few values; a column holds one value per data point and goes through value buckets.
+    """
     v = F.col("value").cast("double")
-    base = df.groupBy(axis).agg(
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.avg(v).alias("mean"),
-        F.stddev_pop(v).alias("std"),
-        F.skewness(v).alias("skew"),
-    )
     names = [f"p{int(q * 100)}" for q in _QS]
-    pct = R.exact_percentiles(df, [axis], "value", _QS, names)
-    out = base.join(pct, axis).join(gini(df, [axis]), axis)
+    plain = [
+        F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.skewness(v).alias("skew"),
+    ]
+    if axis == "row" if small_groups is None else small_groups:
+        g = df.groupBy(axis).agg(
+            *plain, F.percentile(v, F.array(*[F.lit(q) for q in _QS])).alias("q"), F.sort_array(F.collect_list(v)).alias("x")
+        )
+        n = F.size("x")
+        num = F.aggregate(
+            F.transform("x", lambda x, i: (2 * (i + 1) - n - 1) * x), F.lit(0.0), lambda s, t: s + t
+        )
+        den = n * (F.aggregate("x", F.lit(0.0), lambda s, t: s + t) - n * F.col("min") + n * F.lit(1e-16))
+        out = g.select(
+            axis, "min", "max", "mean", "std", "skew", *[F.col("q")[i].alias(c) for i, c in enumerate(names)], (num / den).alias("gini")
+        )
+    else:
+        pct = R.exact_percentiles(df, [axis], "value", _QS, names)
+        out = df.groupBy(axis).agg(*plain).join(pct, axis).join(gini(df, [axis]), axis)
     out = out.withColumn("spread", F.col("p95") - F.col("p5")).withColumn(
         "cv", F.try_divide(F.col("std"), F.col("mean"))
     )

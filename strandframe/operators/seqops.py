@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.functions import sequence as S
+from strandframe.operators.blocks import spread
 
 
 def reverse_complement(seqs: DataFrame) -> DataFrame:
@@ -130,37 +131,31 @@ def exact_motif_scan(seqs: DataFrame, words: DataFrame, both_strands: bool = Tru
     # the word lengths and context units are a few distinct values of a motif list
     lengths = [r[0] for r in words.select(F.length("word")).distinct().collect()]
     units = [r[0] for r in w.select("context").distinct().filter("context <> ''").collect()]
-    base = seqs.select("name", "seq").repartition("name")
-    stacked = F.concat(
-        *[
-            F.transform(S.windows(F.col("seq"), n), lambda x, i: F.struct(i.alias("start"), x.alias("word")))
-            for n in sorted(lengths)
-        ]
-    )
+    base = spread(seqs.select("name", "seq"), "name")
+    n_seq = F.length("seq")
+    if units:
+        # the generator keeps the run lengths as values, so they are made once per sequence
+        runs = [_unit_runs(F.col("seq"), u).alias(f"r{i}") for i, u in enumerate(units)]
+        runs += [_unit_runs(F.reverse("seq"), u[::-1]).alias(f"l{i}") for i, u in enumerate(units)]
+        base = base.select("name", "seq", F.inline(F.array(F.struct(*runs))))
+
+    def hit(x: Column, start: Column, size: int) -> Column:
+        arms = [(F.get(f"l{i}", n_seq - start) + F.get(f"r{i}", start + size)).alias(f"c{i}") for i in range(len(units))]
+        return F.struct(start.alias("start"), x.alias("word"), *arms)
+
+    def hits_of(size: int) -> Column:
+        return F.transform(S.windows(F.col("seq"), size), lambda x, i: hit(x, i, size))
+
+    stacked = F.concat(*[hits_of(n) for n in sorted(lengths)])
     hits = base.select("name", F.inline(stacked)).join(w, "word")
-    hits = hits.select("name", "motif", "strand", "start", (F.col("start") + F.length("word")).alias("end"), "context")
-    if not units:
-        return hits.drop("context").withColumn("context_bases", F.lit(0))
-    runs = base.select("name", F.inline(F.concat(*[_unit_runs(F.col("seq"), u) for u in units])))
-    right = runs.filter("side = 'r'").select("name", F.col("unit").alias("context"), F.col("at").alias("end"), F.col("n").alias("nr"))
-    left = runs.filter("side = 'l'").select("name", F.col("unit").alias("context"), F.col("at").alias("start"), F.col("n").alias("nl"))
-    j = hits.join(right, ["name", "context", "end"], "left").join(left, ["name", "context", "start"], "left")
-    bases = F.coalesce("nl", F.lit(0)) + F.coalesce("nr", F.lit(0))
-    return j.select("name", "motif", "strand", "start", "end", bases.cast("int").alias("context_bases"))
-
-
-def _unit_runs(seq: Column, unit: str) -> Column:
-    """Runs of whole ``unit`` repeats: length of the run that starts at, or ends before, a position."""
-
-    def at_each_start(text: Column, u: str) -> Column:
-        return F.regexp_extract_all(text, F.lit(f"(?=((?:{u})*))"), F.lit(1))
-
-    def found(side: str, text: Column, u: str, place) -> Column:
-        rows = F.transform(
-            at_each_start(text, u),
-            lambda x, i: F.struct(F.lit(side).alias("side"), F.lit(unit).alias("unit"), place(i).cast("int").alias("at"), F.length(x).alias("n")),
-        )
-        return F.filter(rows, lambda r: r["n"] > 0)
+    context = F.lit(0)
+    for i, u in enumerate(units):
+        context = F.when(F.col("context") == u, F.col(f"c{i}")).otherwise(context)
+    return hits.select(
+        "name", "motif", "strand", "start", (F.col("start") + F.length("word")).alias("end"), context.cast("int").alias("context_bases")
+    )
+
 
-    n = F.length(seq)
-    return F.concat(found("r", seq, unit, lambda i: i), found("l", F.reverse(seq), unit[::-1], lambda i: n - i))
+def _unit_runs(text: Column, unit: str) -> Column:
+    """Length of the run of whole ``unit`` repeats that starts at each position (and at the end)."""
+    return F.transform(F.regexp_extract_all(text, F.lit(f"(?=((?:{unit})*))"), F.lit(1)), lambda x: F.length(x))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandframe.operators.blocks import spread
+
 BASES = ["A", "C", "G", "T"]
 
 
@@ -246,7 +248,7 @@ LPPM = """lppm AS (SELECT 'L' || CAST(e.label AS VARCHAR) AS motif, p.pos, p.bas
 
 def profile(spark: SparkSession, sf: str) -> DataFrame:
     """A 1-D signal per document: word length minus six, in word order."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return d.select(
         F.col("doc_id").cast("string").alias("seq"), F.lit("words").alias("track"), F.posexplode(F.split("text", " ")).alias("pos", "word")
     ).select("seq", "track", "pos", (F.length("word") - 6).cast("double").alias("value"))
