@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandframe.operators.matrix import attach, signed_maxabs
+from strandframe.operators.matrix import attach, attach_small, signed_maxabs
 
 CHUNK = 4096
 
@@ -20,17 +20,17 @@ def attribution_gauge(attr: DataFrame, how: str = "center", reference: DataFrame
     other bases; ``meaneffect`` value at the base minus the mean of the others, at the base only."""
     keys = ["seq", "track", "pos"]
     if how == "center":
-        m = attach(attr, keys, __t=F.avg("value"))
+        m = attach_small(attr, keys, __t=F.avg("value"))
     elif how == "frequency":
         f = frequencies or {b: 0.25 for b in "ACGT"}
         weight = F.coalesce(*[F.when(F.col("base") == b, F.lit(p)) for b, p in f.items()])
-        m = attach(attr, keys, __t=F.sum(F.col("value") * weight))
+        m = attach_small(attr, keys, __t=F.sum(F.col("value") * weight))
     else:
         ref = reference.select("seq", "pos", F.col("base").alias("__r"))
         m = attr.join(ref, ["seq", "pos"])
         at = F.col("base") == F.col("__r")
         agg = F.max(F.when(at, F.col("value"))) if how == "reference" else F.avg(F.when(~at, F.col("value")))
-        m = attach(m, keys, __t=agg)
+        m = attach_small(m, keys, __t=agg)
         if how == "meaneffect":
             m = m.filter(at)
     return m.select(*keys, "base", (F.col("value") - F.col("__t")).alias("value"))
@@ -398,7 +398,7 @@ def kernel_effects(df: DataFrame) -> DataFrame:
     from strandframe.operators.stats import pearson_expr
 
     d = F.col("yhat") - F.col("yhat_masked")
-    rows = attach(df, ["kernel", "point"], __ss=F.sum(d * d))
+    rows = attach_small(df, ["kernel", "point"], __ss=F.sum(d * d))
     y = F.col("y")
 
     def rmse(c: str) -> Column:

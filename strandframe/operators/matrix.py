@@ -7,6 +7,7 @@ so that a column with a third of all rows never sits in one window task.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandframe.functions import ranking as R
@@ -20,6 +21,15 @@ def attach(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
     return df.join(totals, keys)
 
 
+def attach_small(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
+    """As ``attach`` by a window: one shuffle, for groups that the data model keeps small.
+
+    Such groups are the four bases of a position, the cells of a motif or the tracks of a row.
+    """
+    w = W.partitionBy(*keys)
+    return df.withColumns({n: c.over(w) for n, c in aggs.items()})
+
+
 # ------------------------------------------------------------------ summaries
 def gini(df: DataFrame, keys: list[str], value: str = "value", eps: float = 1e-16) -> DataFrame:
     """Gini coefficient per group after shifting the minimum to 0 and adding ``eps``."""
@@ -129,8 +139,6 @@ def histogram(df: DataFrame, value: str, start: float, end: float, bins: int, ke
         .groupBy(*keys, b.alias("bin"))
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
-    from pyspark.sql import Window as W
-
     wk = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     w = wk.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
     return counts.withColumn("cumulative", F.sum("cnt").over(w) / F.sum("cnt").over(wk))
@@ -242,7 +250,7 @@ def fold_change(df: DataFrame, design: DataFrame, control: str | None = None, ps
         .agg(F.avg(F.log2(F.col("value") + pseudo)).alias("m"))
     )
     if control is None:
-        both = attach(means, ["row"], ref=F.avg("m"))
+        both = attach_small(means, ["row"], ref=F.avg("m"))
     else:
         ref = means.filter(F.col("condition") == control).select("row", F.col("m").alias("ref"))
         both = means.filter(F.col("condition") != control).join(ref, "row")
@@ -253,7 +261,7 @@ def remove_batch_effect(df: DataFrame, design: DataFrame) -> DataFrame:
     """Subtract each batch's deviation from the mean of batch means, per row."""
     d = df.join(design, "col")
     batch = d.groupBy("row", "batch").agg(F.avg("value").alias("bm"))
-    batch = attach(batch, ["row"], overall=F.avg("bm"))
+    batch = attach_small(batch, ["row"], overall=F.avg("bm"))
     return d.join(batch, ["row", "batch"]).select(
         "row", "col", (F.col("value") - F.col("bm") + F.col("overall")).alias("value")
     )
@@ -281,7 +289,10 @@ def normalize_matrix(df: DataFrame, how: str = "center_feature") -> DataFrame:
         "norm1": F.sum(F.abs("value")),
         "norm2": F.sqrt(F.sum(F.col("value") * F.col("value"))),
     }[kind]
-    j = attach(df, [key], __t=agg)
+    if axis == "data" and kind != "norm2":
+        j = attach_small(df, [key], __t=agg)
+    else:
+        j = attach(df, [key], __t=agg)
     if kind == "center":
         v = F.col("value") - F.col("__t")
     else:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import sequence as S
 from strandframe.operators.blocks import against_reference
-from strandframe.operators.matrix import attach
+from strandframe.operators.matrix import attach, attach_small
 from strandframe.sources.sinks import motif_rows
 
 KEY = ["motif"]
@@ -28,7 +28,7 @@ def _complement(base: Column) -> Column:
 
 def reverse_motif(motifs: DataFrame) -> DataFrame:
     """Reverse complement of every motif."""
-    m = attach(motifs, KEY, __n=F.max("pos"))
+    m = attach_small(motifs, KEY, __n=F.max("pos"))
     return m.select("motif", (F.col("__n") - F.col("pos")).alias("pos"), _complement(F.col("base")).alias("base"), "w")
 
 
@@ -62,7 +62,7 @@ def pad_motifs(motifs: DataFrame, length: int, all_shifts: bool = False) -> Data
 
     The padding stays implicit (absent cells are 0).
     """
-    m = attach(motifs, KEY, __n=F.max("pos") + 1)
+    m = attach_small(motifs, KEY, __n=F.max("pos")).withColumn("__n", F.col("__n") + 1)
     if all_shifts:
         shifts = F.explode(F.sequence(F.lit(0), (F.lit(length) - F.col("__n")).cast("int"))).alias("shift")
         return m.select("*", shifts).select("motif", "shift", (F.col("pos") + F.col("shift")).alias("pos"), "base", "w")
@@ -75,11 +75,11 @@ def rescale_motif(motifs: DataFrame, infocont: bool = False, psam: bool = False,
     if infocont:
         m = m.withColumn("w", F.greatest(F.log2((F.col("w") + 0.001) * 4.0), F.lit(-2.0)))
     if psam:
-        m = attach(m, ["motif", "pos"], __t=F.max(F.abs("w")))
+        m = attach_small(m, ["motif", "pos"], __t=F.max(F.abs("w")))
         m = m.withColumn("w", F.col("w") / F.when(F.col("__t") == 0, 1.0).otherwise(F.col("__t"))).drop("__t")
     if norm:
-        m = attach(m, KEY, __n=F.max("pos") + 1, __s=F.stddev_pop("w"))
-        m = m.withColumn("w", F.try_divide(F.col("w"), F.col("__n") * F.col("__s"))).drop("__n", "__s")
+        m = attach_small(m, KEY, __n=F.max("pos"), __s=F.stddev_pop("w"))
+        m = m.withColumn("w", F.try_divide(F.col("w"), (F.col("__n") + 1) * F.col("__s"))).drop("__n", "__s")
     return m.select("motif", "pos", "base", "w")
 
 
@@ -103,7 +103,7 @@ def strip_motif(motifs: DataFrame, cut: float, metric: str = "absum", relative:
     """Keep the stretch from the first to the last position over the cut-off; positions restart at 0."""
     per = motifs.groupBy("motif", "pos").agg(_EDGE[metric](F.col("w")).alias("v"))
     if relative:
-        per = attach(per, KEY, top=F.max("v")).filter(F.col("v") >= cut * F.col("top"))
+        per = attach_small(per, KEY, top=F.max("v")).filter(F.col("v") >= cut * F.col("top"))
     else:
         per = per.filter(F.col("v") >= cut)
     lim = per.groupBy("motif").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
@@ -131,7 +131,7 @@ def transform_motif(motifs: DataFrame, steps: list[str]) -> DataFrame:
             per = m.groupBy("motif", "pos").agg(F.sum("w").alias("s")).groupBy("motif").agg(F.max("s").alias("__t"))
             m = m.join(per, "motif").select("motif", "pos", "base", (F.col("w") / F.col("__t")).alias("w"))
         elif name == "sign":
-            m = attach(m, KEY, __t=F.sum("w")).select("motif", "pos", "base", (F.col("w") * F.signum("__t")).alias("w"))
+            m = attach_small(m, KEY, __t=F.sum("w")).select("motif", "pos", "base", (F.col("w") * F.signum("__t")).alias("w"))
         elif name == "infocont":
             m = m.withColumn("w", F.greatest(F.log2((F.col("w") + 1e-16) / 0.25), F.lit(0.0)))
         else:
@@ -257,11 +257,27 @@ ACTIVATIONS = {
 def kernel_activation(seqlets: DataFrame, kernels: DataFrame, bias: DataFrame | None = None, activation: str = "none") -> DataFrame:
     """Dot product of kernel and seqlet plus bias, then the activation: ``(seqlet, motif, act)``.
 
-    Every seqlet has the kernel's length; the sum is an equi-join on (position, base).
+    Every seqlet has the kernel's length (others are left out).  The products run on letter codes in
+    Arrow batches, so a seqlet is never exploded into one row per base and kernel.
     """
-    letters = seqlets.select("seqlet", F.posexplode(F.split("seqlet", "")).alias("pos", "base")).filter("base <> ''")
-    k = kernels.select("motif", "pos", "base", "w")
-    act = letters.join(k, ["pos", "base"]).groupBy("seqlet", "motif").agg(F.sum("w").alias("act"))
+    ref = motif_rows(kernels)
+    target = ref.agg(F.max(F.size("m"))).first()[0] or 1
+
+    def compare(part: pd.DataFrame, bank_rows: pd.DataFrame) -> pd.DataFrame:
+        part = part[part["seqlet"].str.len() == target]
+        if not len(part):
+            return pd.DataFrame()
+        names, bank = _kernel_bank(bank_rows, target)
+        text = "".join(part["seqlet"]).encode("ascii", "replace")
+        codes = _CODE[np.frombuffer(text, dtype=np.uint8)].reshape(len(part), target)
+        act = np.zeros((len(names), len(part)))
+        for j in range(target):
+            act += bank[:, j, codes[:, j]]
+        return pd.DataFrame({"seqlet": np.repeat(part["seqlet"].to_numpy(), len(names)), "motif": names * len(part), "act": act.T.ravel()})
+
+    act = against_reference(
+        seqlets.select("seqlet"), ref, compare, "seqlet string, motif string, act double", "seqlet", "motif", bound=4_000, batch=4_096
+    )
     if bias is not None:
         act = act.join(bias, "motif").withColumn("act", F.col("act") + F.col("bias")).drop("bias")
     return act.select("seqlet", "motif", ACTIVATIONS[activation](F.col("act")).alias("act"))
@@ -284,7 +300,7 @@ def pwm_from_activations(activations: DataFrame, cut: float, z_score: bool = Tru
     s = cells.groupBy("motif", "pos", "base").agg(F.sum("act").alias("s"))
     grid = s.select("motif", "pos").distinct().select("motif", "pos", F.explode(F.array(*[F.lit(b) for b in "ACGT"])).alias("base"))
     full = grid.join(s, ["motif", "pos", "base"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)) + pseudo)
-    full = attach(full, ["motif", "pos"], __t=F.sum("s"))
+    full = attach_small(full, ["motif", "pos"], __t=F.sum("s"))
     return full.select("motif", "pos", "base", (F.col("s") / F.col("__t")).alias("w"))
 
 
@@ -313,7 +329,7 @@ def consensus_motif(
         "cluster", "motif", F.lit(0).alias("offset"), F.lit(False).alias("revcomp")
     )
     al = to_centre.unionByName(own)
-    m = attach(motifs.select("motif", "pos", "base", "w"), KEY, __n=F.max("pos"))
+    m = attach_small(motifs.select("motif", "pos", "base", "w"), KEY, __n=F.max("pos"))
     cells = m.join(al, "motif").select(
         "cluster", "motif",
         (F.when(F.col("revcomp"), F.col("__n") - F.col("pos")).otherwise(F.col("pos")) + F.col("offset")).alias("pos"),
@@ -325,7 +341,7 @@ def consensus_motif(
     elif norm == "mean":
         s = s.withColumn("w", F.col("w") / F.col("cover"))
     elif norm == "sum":
-        s = attach(s, ["cluster", "pos"], __t=F.sum(F.abs("w"))).withColumn("w", F.try_divide(F.col("w"), F.col("__t"))).drop("__t")
+        s = attach_small(s, ["cluster", "pos"], __t=F.sum(F.abs("w"))).withColumn("w", F.try_divide(F.col("w"), F.col("__t"))).drop("__t")
     per = s.groupBy("cluster", "pos").agg(F.sum(F.abs("w")).alias("v"))
     per = attach(per, ["cluster"], top=F.max("v")).filter(F.col("v") > remove_low * F.col("top"))
     lim = per.groupBy("cluster").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
@@ -367,7 +383,7 @@ def mutation_scan(seqs: DataFrame, scorer, zero_mean: bool = True) -> DataFrame:
     zero = mut.filter("base = ref").select("name", "pos", "base").join(wild.select("name", "track"), "name")
     eff = eff.unionByName(zero.select("name", "track", "pos", "base", F.lit(0.0).alias("effect")))
     if zero_mean:
-        eff = attach(eff, ["name", "track", "pos"], __t=F.avg("effect")).withColumn("effect", F.col("effect") - F.col("__t")).drop("__t")
+        eff = attach_small(eff, ["name", "track", "pos"], __t=F.avg("effect")).withColumn("effect", F.col("effect") - F.col("__t")).drop("__t")
     return eff
 
 

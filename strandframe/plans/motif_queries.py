@@ -186,11 +186,11 @@ SLB = SL16.replace("FROM seqs", "FROM bench")
 
 @query(
     "kernel_activation",
-    C(V.SEQ, *LP, SL16, _ACT) + "SELECT seqlet, motif, greatest(act + CAST(substr(motif, 2) AS INTEGER) / 10.0 - 5, 0) AS act FROM act",
+    C(V.BENCH, *LP, SLB, _ACT) + "SELECT seqlet, motif, greatest(act + CAST(substr(motif, 2) AS INTEGER) / 10.0 - 5, 0) AS act FROM act",
     floats="act",
 )
 def _(spark, sf):
-    sl = seqops.unique_seqlets(seqops.split_seqlets(V.sequences(spark, sf), 16))
+    sl = _bench_seqlets(spark, sf)
     k = V.label_ppms(spark, sf)
     bias = k.select("motif").distinct().withColumn("bias", F.expr("substring(motif, 2)").cast("int") / 10.0 - 5)
     return M.kernel_activation(sl, k, bias, "relu")
