@@ -41,19 +41,25 @@ def _stack(col: pd.Series) -> np.ndarray:
     return np.array([np.asarray(v, dtype=float) for v in col])
 
 
+def _block_pairs(points: DataFrame, block: int, both: bool):
+    """Both sides of every pair of blocks of a group, keyed for a co-group."""
+    n = points.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
+    p = points.join(n, "grp").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    first, last = (F.lit(0), F.col("nb") - 1) if both else (F.col("blk"), F.col("nb") - 1)
+    left = p.select("grp", "id", "vec", F.col("blk").alias("x"), F.explode(F.sequence(first, last)).alias("y"))
+    right = p.select(
+        F.col("grp").alias("rgrp"), F.col("id").alias("rid"), F.col("vec").alias("rvec"), F.col("blk").alias("ry"),
+        F.explode(F.sequence(F.lit(0), F.col("nb") - 1 if both else F.col("blk"))).alias("rx"),
+    )
+    return left.groupBy("grp", "x", "y").cogroup(right.groupBy("rgrp", "rx", "ry"))
+
+
 def near_pairs(points: DataFrame, metric: str, threshold: float, block: int = 2_000) -> DataFrame:
     """Pairs ``(grp, a, b, dist)`` with ``a < b`` and distance under the threshold.
 
     ``points`` is ``(grp, id, vec)``.  Each pair of blocks of a group is one unit of work, so a
     large group is spread over many tasks and only close pairs leave them.
     """
-    n = points.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
-    p = points.join(n, "grp").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    left = p.select("grp", "id", "vec", F.col("blk").alias("x"), F.explode(F.sequence(F.col("blk"), F.col("nb") - 1)).alias("y"))
-    right = p.select(
-        F.col("grp").alias("rgrp"), F.col("id").alias("rid"), F.col("vec").alias("rvec"), F.col("blk").alias("ry"),
-        F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("rx"),
-    )
 
     def pairs(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -68,9 +74,27 @@ def near_pairs(points: DataFrame, metric: str, threshold: float, block: int = 2_
         out = pd.DataFrame({"grp": [key[0]] * len(lo), "a": lo, "b": hi, "dist": d[i, j][keep]})
         return out if len(out) else pd.DataFrame()
 
-    return left.groupBy("grp", "x", "y").cogroup(right.groupBy("rgrp", "rx", "ry")).applyInPandas(
-        pairs, "grp string, a string, b string, dist double"
-    )
+    return _block_pairs(points, block, False).applyInPandas(pairs, "grp string, a string, b string, dist double")
+
+
+def medoids(points: DataFrame, metric: str = "euclidean", block: int = 2_000) -> DataFrame:
+    """Member with the least summed distance and its largest distance per group of ``(grp, id, vec)``.
+
+    A pair of blocks gives one sum and one maximum per point, never its pairs.
+    """
+    p = points.select(F.col("grp").cast("string").alias("grp"), F.col("id").cast("string").alias("id"), "vec")
+
+    def sums(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame()
+        d = distances(_stack(a["vec"]), _stack(b["rvec"]), metric)
+        d[a["id"].to_numpy()[:, None] == b["rid"].to_numpy()[None, :]] = 0.0
+        return pd.DataFrame({"grp": key[0], "id": a["id"].to_numpy(), "s": d.sum(1), "r": d.max(1)})
+
+    part = _block_pairs(p, block, True).applyInPandas(sums, "grp string, id string, s double, r double")
+    total = part.groupBy("grp", "id").agg(F.sum("s").alias("s"), F.max("r").alias("r"))
+    best = F.min_by(F.struct(F.col("id").alias("medoid"), F.col("r").alias("radius")), F.struct("s", "id"))
+    return total.groupBy(F.col("grp").alias("cluster")).agg(best.alias("x")).select("cluster", "x.*")
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:

@@ -114,22 +114,37 @@ def string_similarity_join(
     """Weighted Jaccard of substring counts for name pairs that share a gram.
 
     The weighted sum of maxima is total_a + total_b - shared, so only shared grams
-    are joined.
+    are joined.  With a minimum similarity t, two names can only pass when they share one of
+    their rare grams (grams in global order of frequency whose remaining weight is at least
+    t times the name's total), so frequent grams never make candidate pairs.
     """
     a = _grams(left.select(F.col(left.columns[0]).alias("name")).distinct(), mink, k, emphasize_first, emphasize_last)
     b = _grams(right.select(F.col(right.columns[0]).alias("name")).distinct(), mink, k, emphasize_first, emphasize_last)
     ta = a.groupBy(F.col("name").alias("a")).agg(F.sum("cnt").alias("ta"))
     tb = b.groupBy(F.col("name").alias("b")).agg(F.sum("cnt").alias("tb"))
-    shared = (
-        a.select(F.col("name").alias("a"), "gram", F.col("cnt").alias("ca"))
-        .join(b.select(F.col("name").alias("b"), "gram", F.col("cnt").alias("cb")), "gram")
-        .groupBy("a", "b")
-        .agg(F.sum(F.least("ca", "cb")).alias("shared"))
-    )
+    ga = a.select(F.col("name").alias("a"), "gram", F.col("cnt").alias("ca"))
+    gb = b.select(F.col("name").alias("b"), "gram", F.col("cnt").alias("cb"))
+    if min_similarity > 0:
+        freq = a.select("gram").unionByName(b.select("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("f"))
+        pairs = _rare_part(ga, "a", "ca", ta, "ta", freq, min_similarity).join(
+            _rare_part(gb, "b", "cb", tb, "tb", freq, min_similarity), "gram"
+        )
+        both = pairs.select("a", "b").distinct().join(ga, "a").join(gb, ["b", "gram"])
+    else:
+        both = ga.join(gb, "gram")
+    shared = both.groupBy("a", "b").agg(F.sum(F.least("ca", "cb")).alias("shared"))
     sim = F.col("shared") / (F.col("ta") + F.col("tb") - F.col("shared"))
     return shared.join(ta, "a").join(tb, "b").select("a", "b", sim.alias("similarity")).filter(F.col("similarity") >= min_similarity)
 
 
+def _rare_part(
+    grams: DataFrame, name: str, cnt: str, totals: DataFrame, total: str, freq: DataFrame, t: float
+) -> DataFrame:
+    rest = W.partitionBy(name).orderBy("f", "gram").rowsBetween(0, W.unboundedFollowing)
+    g = grams.join(freq, "gram").join(totals, name).withColumn("__rest", F.sum(cnt).over(rest))
+    return g.filter(F.col("__rest") >= t * F.col(total) - 1e-9).select(name, "gram")
+
+
 def most_unique_substring(names: DataFrame, mink: int = 2, k: int = 4) -> DataFrame:
     """Gram with the largest summed count surplus against all other names; the longest wins a tie.
 
@@ -165,14 +180,15 @@ def join_metric_to_matches(matches: DataFrame, metric: DataFrame, soft: bool = F
     factor belongs to a target whose name contains it.  Without ``soft`` matches
     that have no metric are removed.
     """
-    pair = (
-        matches.select("query", "target")
-        .distinct()
-        .join(metric, "query")
-        .filter(F.contains(F.upper("target"), F.upper("factor")))
-        .groupBy("query", "target")
-        .agg(F.max("metric").alias("metric"))
-    )
+    from strandframe.functions.sequence import windows
+
+    # a factor of length n is looked up among the target's substrings of length n: an equi-join
+    lengths = sorted(r[0] for r in metric.select(F.length("factor")).distinct().collect())
+    parts = F.concat(*[windows(F.upper("target"), n) for n in lengths])
+    names = matches.select("query", "target").distinct()
+    parts = names.select("query", "target", F.explode(F.array_distinct(parts)).alias("part"))
+    factors = metric.select("query", F.upper("factor").alias("part"), "metric")
+    pair = parts.join(factors, ["query", "part"]).groupBy("query", "target").agg(F.max("metric").alias("metric"))
     j = matches.join(pair, ["query", "target"], "left" if soft else "inner")
     w = W.partitionBy("query").orderBy(F.col("metric").desc_nulls_last(), F.col("q").asc(), F.col("target").asc())
     return j.withColumn("rank", F.row_number().over(w))

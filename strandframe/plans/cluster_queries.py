@@ -98,11 +98,25 @@ def _label_pairs(spark, sf):
 @query(
     "cluster_medoid",
     C(PTS, _PAIRS, "s AS (SELECT cluster, a, sum(dist) AS s, max(dist) AS r FROM pr GROUP BY ALL)")
+    + "SELECT CAST(cluster AS VARCHAR) AS cluster, arg_min(a, s) AS medoid, arg_min(r, s) AS radius FROM s GROUP BY cluster",
+    floats="radius",
+)
+def _(spark, sf):
+    return K.medoids(points(spark, sf).select(F.col("label").alias("grp"), "id", "vec"))
+
+
+@query(
+    "cluster_medoid_pairs",
+    C(PTS, _PAIRS, "s AS (SELECT cluster, a, sum(dist) AS s, max(dist) AS r FROM pr WHERE dist < 1.3 GROUP BY ALL)")
     + "SELECT cluster, arg_min(a, s) AS medoid, arg_min(r, s) AS radius FROM s GROUP BY cluster",
     floats="radius",
 )
 def _(spark, sf):
-    return K.cluster_medoid(*_label_pairs(spark, sf))
+    """Medoid on a given pair table, here the pairs under a distance."""
+    p = points(spark, sf)
+    near = K.near_pairs(p.select(F.col("label").cast("string").alias("grp"), "id", "vec"), "euclidean", 1.3).select("a", "b", "dist")
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
+    return K.cluster_medoid(both, p.select(F.col("id").alias("name"), F.col("label").alias("cluster")))
 
 
 @query(

@@ -111,3 +111,25 @@ def test_folds(spark):
     assert out.join(g, "name").select("g", "fold").distinct().count() == 7
     sizes = [r["count"] for r in out.groupBy("fold").count().collect()]
     assert sorted(sizes) == [40, 40, 60]
+
+
+def test_medoids_from_blocks(spark):
+    x = np.random.default_rng(12).random((30, 3))
+    d = K.distances(x, x, "euclidean")
+    p = points(spark, x).selectExpr("if(id < 'p012', 'g', 'h') AS grp", "id", "vec")
+    got = {r["cluster"]: (r["medoid"], r["radius"]) for r in K.medoids(p, "euclidean", block=5).collect()}
+    for g, m in (("g", np.arange(12)), ("h", np.arange(12, 30))):
+        sub = d[np.ix_(m, m)]
+        k = int(sub.sum(1).argmin())
+        assert got[g][0] == f"p{m[k]:03d}" and got[g][1] == pytest.approx(sub[k].max())
+
+
+def test_rare_grams_lose_no_pair(spark):
+    rng = np.random.default_rng(13)
+    words = ["heart", "liver", "naive", "tcell", "bcell", "h3k4", "atac", "rep1", "rep2"]
+    names = sorted({"_".join(rng.choice(words, 3)) for _ in range(40)})
+    a = spark.createDataFrame([(n,) for n in names[::2]], "name string")
+    b = spark.createDataFrame([(n,) for n in names[1::2]], "name string")
+    full = {(r["a"], r["b"]): r["similarity"] for r in J.string_similarity_join(a, b).collect()}
+    cut = {(r["a"], r["b"]): r["similarity"] for r in J.string_similarity_join(a, b, min_similarity=0.5).collect()}
+    assert cut == {k: v for k, v in full.items() if v >= 0.5} and cut
