@@ -329,6 +329,59 @@ def cluster_representatives(pairs: DataFrame, clusters: DataFrame, consider: int
     return best.select("cluster", *[F.col("x")[i].alias(f"rep{i + 1}") for i in range(3)])
 
 
+def representatives(points: DataFrame, metric: str = "euclidean", consider: int = 60, block: int = 2_000) -> DataFrame:
+    """As ``cluster_representatives`` from ``(grp, id, vec)``, without a pair table.
+
+    A pair of blocks gives its ``consider`` most distant pairs; each of the group's best pairs then
+    meets every block once and keeps its best third member there.
+    """
+    p = points.select(F.col("grp").cast("string").alias("grp"), F.col("id").cast("string").alias("id"), "vec")
+
+    def far(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame()
+        d = distances(_stack(a["vec"]), _stack(b["rvec"]), metric)
+        ia, jb = a["id"].to_numpy(), b["rid"].to_numpy()
+        d[(ia[:, None] >= jb[None, :]) if key[1] == key[2] else (ia[:, None] == jb[None, :])] = -np.inf
+        k = min(consider, d.size)
+        # every pair at least as far as the k-th, so that ties are settled by the names below
+        flat = np.nonzero(d.ravel() >= np.partition(d.ravel(), d.size - k)[d.size - k])[0]
+        flat = flat[np.isfinite(d.ravel()[flat])]
+        if not len(flat):
+            return pd.DataFrame()
+        i, j = np.unravel_index(flat, d.shape)
+        rows = sorted((-d[x, y], min(ia[x], jb[y]), max(ia[x], jb[y])) for x, y in zip(i, j))[:consider]
+        return pd.DataFrame({"grp": [key[0]] * len(rows), "a": [r[1] for r in rows], "b": [r[2] for r in rows], "dist": [-r[0] for r in rows]})
+
+    pairs = _block_pairs(p, block, False).applyInPandas(far, "grp string, a string, b string, dist double")
+    w = W.partitionBy("grp").orderBy(F.col("dist").desc(), "a", "b")
+    top = cut_lineage(pairs.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= consider).drop("k"))
+    va = p.select("grp", F.col("id").alias("a"), F.col("vec").alias("va"))
+    vb = p.select("grp", F.col("id").alias("b"), F.col("vec").alias("vb"))
+    top = top.join(va, ["grp", "a"]).join(vb, ["grp", "b"])
+    n = p.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
+    left = top.join(n, "grp").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb")
+    right = p.join(n, "grp").select(
+        F.col("grp").alias("rgrp"), F.col("id").alias("rid"), F.col("vec").alias("rvec"), F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("rx")
+    )
+
+    def third(key, t: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(t) or not len(b):
+            return pd.DataFrame()
+        ids, vec = b["rid"].to_numpy(), _stack(b["rvec"])
+        d = distances(_stack(t["va"]), vec, metric) + distances(_stack(t["vb"]), vec, metric) + t["dist"].to_numpy()[:, None]
+        d[(t["a"].to_numpy()[:, None] == ids[None, :]) | (t["b"].to_numpy()[:, None] == ids[None, :])] = -np.inf
+        k = d.argmax(1)
+        best = d[np.arange(len(t)), k]
+        out = pd.DataFrame({"grp": key[0], "a": t["a"].to_numpy(), "b": t["b"].to_numpy(), "c": ids[k], "total": best})
+        out = out[np.isfinite(best)]
+        return out if len(out) else pd.DataFrame()
+
+    x = left.groupBy("grp", "x").cogroup(right.groupBy("rgrp", "rx")).applyInPandas(third, "grp string, a string, b string, c string, total double")
+    best = x.groupBy("grp").agg(F.max_by(F.array_sort(F.array("a", "b", "c")), F.struct(F.round("total", 9), "a", "b", "c")).alias("x"))
+    return best.select(F.col("grp").alias("cluster"), *[F.col("x")[i].alias(f"rep{i + 1}") for i in range(3)])
+
+
 def assign_leftout_to_cluster(pairs: DataFrame, representatives: DataFrame, linkage: str, threshold: float) -> DataFrame:
     """Attach left-out items to a cluster by their distances to three representatives.
 
@@ -433,17 +486,3 @@ def order_by_hierarchy(points: DataFrame, metric: str = "correlation", linkage:
     before = before.select("at", (F.sum("c").over(W.partitionBy(F.lit(0)).orderBy("at")) - F.col("c")).alias("off"))
     w = W.partitionBy("at").orderBy("id")
     return near.join(before, "at").select("id", (F.col("off") + F.row_number().over(w) - 1).alias("leaf"))
-
-
-def pair_table(points: DataFrame, metric: str = "euclidean", threshold: float = float("inf")) -> DataFrame:
-    """Both directions of near pairs ``(a, b, dist)`` of ``(id, vec)``."""
-    p = points.select(F.lit("all").alias("grp"), F.col("id").cast("string").alias("id"), "vec")
-    one = near_pairs(p, metric, threshold).select("a", "b", "dist")
-    return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
-
-
-def group_pair_table(points: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """Both directions of the pairs inside each group ``(grp, id, vec)``."""
-    one = near_pairs(points.select(F.col("grp").cast("string").alias("grp"), F.col("id").cast("string").alias("id"), "vec"), metric, float("inf"))
-    one = one.select("a", "b", "dist")
-    return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))

@@ -89,12 +89,6 @@ def _(spark, sf):
 _PAIRS = """pr AS (SELECT a.id AS a, b.id AS b, a.label AS cluster, list_distance(a.vec, b.vec) AS dist FROM pt a JOIN pt b ON a.label = b.label AND a.id <> b.id)"""
 
 
-def _label_pairs(spark, sf):
-    p = points(spark, sf)
-    pairs = K.group_pair_table(p.select(F.col("label").alias("grp"), "id", "vec"))
-    return pairs, p.select(F.col("id").alias("name"), F.col("label").alias("cluster"))
-
-
 @query(
     "cluster_medoid",
     C(PTS, _PAIRS, "s AS (SELECT cluster, a, sum(dist) AS s, max(dist) AS r FROM pr GROUP BY ALL)")
@@ -123,10 +117,10 @@ def _(spark, sf):
     "cluster_representatives",
     C(PTS, _PAIRS, "tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY dist DESC, a, b) AS rn FROM pr WHERE a < b) WHERE rn <= 60)",
       "x AS (SELECT tp.cluster, tp.a, tp.b, p.b AS c, tp.dist + p.dist + q.dist AS t FROM tp JOIN pr p ON tp.a = p.a JOIN pr q ON tp.b = q.a AND q.b = p.b WHERE p.b <> tp.a AND p.b <> tp.b)")
-    + "SELECT cluster, tr[1] AS rep1, tr[2] AS rep2, tr[3] AS rep3 FROM (SELECT cluster, list_sort([a, b, c]) AS tr, row_number() OVER (PARTITION BY cluster ORDER BY round(t, 9) DESC, a DESC, b DESC, c DESC) AS rn FROM x) WHERE rn = 1",
+    + "SELECT CAST(cluster AS VARCHAR) AS cluster, tr[1] AS rep1, tr[2] AS rep2, tr[3] AS rep3 FROM (SELECT cluster, list_sort([a, b, c]) AS tr, row_number() OVER (PARTITION BY cluster ORDER BY round(t, 9) DESC, a DESC, b DESC, c DESC) AS rn FROM x) WHERE rn = 1",
 )
 def _(spark, sf):
-    return K.cluster_representatives(*_label_pairs(spark, sf))
+    return K.representatives(points(spark, sf).select(F.col("label").alias("grp"), "id", "vec"))
 
 
 @query(
@@ -330,7 +324,15 @@ def _(spark, sf):
     return D.nearest_distances(_kmer_points(spark, V.sequences(spark, sf)), _kmer_points(spark, V.benchmark_sequences(spark, sf)))
 
 
-@query("nearest_distances_own")
+@query(
+    "nearest_distances_own",
+    C(V.SEQ, _VEC.format(src="seqs"), "kv AS (SELECT name, list(w || CAST(c AS VARCHAR) ORDER BY w) AS v FROM kc GROUP BY name)",
+      "cp AS (SELECT v, min(name) AS name, count(*) AS n FROM kv GROUP BY v)", "u AS (SELECT kc.* FROM kc WHERE name IN (SELECT name FROM cp))",
+      "s AS (SELECT name, sum(c * c) AS s FROM u GROUP BY name)", "dt AS (SELECT x.name AS a, y.name AS b, sum(x.c * y.c) AS d FROM u x JOIN u y USING (w) GROUP BY ALL)",
+      "nn AS (SELECT p.name, min(sqrt(p.s + q.s - 2 * coalesce(d, 0))) AS d FROM s p JOIN s q ON p.name <> q.name LEFT JOIN dt ON a = p.name AND b = q.name GROUP BY p.name)")
+    + "SELECT kv.name, CASE WHEN cp.n > 1 THEN 0 ELSE nn.d END AS distance FROM kv JOIN cp USING (v) JOIN nn ON nn.name = cp.name",
+    floats="distance",
+)
 def _(spark, sf):
     return D.nearest_distances(_kmer_points(spark, V.sequences(spark, sf)))
 

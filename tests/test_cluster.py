@@ -133,3 +133,14 @@ def test_rare_grams_lose_no_pair(spark):
     full = {(r["a"], r["b"]): r["similarity"] for r in J.string_similarity_join(a, b).collect()}
     cut = {(r["a"], r["b"]): r["similarity"] for r in J.string_similarity_join(a, b, min_similarity=0.5).collect()}
     assert cut == {k: v for k, v in full.items() if v >= 0.5} and cut
+
+
+def test_representatives_from_blocks(spark):
+    x = np.random.default_rng(14).random((24, 3))
+    d = K.distances(x, x, "euclidean")
+    p = points(spark, x).selectExpr("'g' AS grp", "id", "vec")
+    got = K.representatives(p, "euclidean", consider=10, block=5).first()
+    rows = [(f"p{i:03d}", f"p{j:03d}", float(d[i, j])) for i in range(24) for j in range(24) if i != j]
+    pairs = spark.createDataFrame(rows, "a string, b string, dist double")
+    names = spark.createDataFrame([(f"p{i:03d}", "g") for i in range(24)], "name string, cluster string")
+    assert got == K.cluster_representatives(pairs, names, 10).first()
