@@ -136,12 +136,10 @@ READS = f"""reads AS (SELECT event_id AS read, event_type AS contig, {POS} AS "s
 
 def regions(spark: SparkSession, sf: str) -> DataFrame:
     """One region per user and contig: an hour from the user's first event there."""
-    r = reads(spark, sf).select("read", "contig", "start")
-    u = table(spark, sf, "events").select(F.col("event_id").alias("read"), "user_id")
+    e = table(spark, sf, "events")
     return (
-        r.join(u, "read")
-        .groupBy("user_id", F.col("contig").alias("chrom"))
-        .agg(F.min("start").alias("start"))
+        e.groupBy("user_id", F.col("event_type").alias("chrom"))
+        .agg(F.min(_pos()).alias("start"))
         .select(
             F.concat_ws(":", "chrom", F.col("user_id").cast("string")).alias("name"),
             "chrom",
