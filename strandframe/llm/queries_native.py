@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandframe.llm.catalog import query
 from strandframe.llm.common import table
 from strandframe.llm.line_dedup import dedup_lines
+from strandframe.llm.pii import KINDS, sanitise
 from strandframe.llm.quality_rules import apply_policy, rule_ledger
 
 WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -62,3 +63,13 @@ def op5(spark, sf):
     ledger = apply_policy(rule_ledger(table(spark, sf, "documents")))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return ledger.withColumn("base_failed", base)
+
+
+@query("op10_pii")
+def op10(spark, sf):
+    found = sanitise(table(spark, sf, "documents"))
+    labelled = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["rank"] < len(KINDS))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(labelled(base), 256).alias("base_sha256"), labelled(F.col("spans")).alias("spans"))
