@@ -29,6 +29,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, BREAK), "")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows through a generator of one row each.
+
+    The optimiser moves no expression across it, so what ``df`` computes is computed
+    once per row, however often the columns are used above.
+    """
+    return df.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder below ``spark.checkpoint.dir`` that driver and executors all see."""
     ensure_checkpoint_dir(spark)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import stored
+from strandframe.llm.common import settled, stored
 
 # White space inside a line, without the line break.
 GAP = r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]"
@@ -83,7 +83,7 @@ def dedup_lines(
         F.arrays_zip(F.split(text, "\n").alias("line"), line_hashes(text).alias("h")),
         lambda x: x["h"].isNull() | ~F.array_contains(F.col("drops"), x["h"]),
     )
-    cut = met.select("row", F.when(F.col("drops").isNotNull() & text.isNotNull(), kept).alias("kept"))
+    cut = settled(met.select("row", F.when(F.col("drops").isNotNull() & text.isNotNull(), kept).alias("kept")))
     n_before, n_after = F.size(F.split(text, "\n")), F.size("kept")
     out = []
     for c in docs.columns:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import stored, text_of
+from strandframe.llm.common import settled, stored, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 # Same matches as the plain patterns, written so that they run in linear time: possessive repetition never
@@ -95,7 +95,7 @@ def terms_of(text: Column) -> Column:
 
 def contexts(texts: DataFrame) -> DataFrame:
     """``id, h, entity, term, line``: terms on the line of an entity, once per document, entity and term."""
-    spans = texts.withColumn("spans", base_spans(F.col("t"))).where(F.size("spans") > 0)
+    spans = settled(texts.withColumn("spans", base_spans(F.col("t")))).where(F.size("spans") > 0)
     before = F.substring(F.col("t"), F.lit(1), F.col("span")["start"])
     line = F.element_at(F.split("t", "\n"), F.length(before) - F.length(F.replace(before, F.lit("\n"))) + 1)
     lines = (
@@ -168,7 +168,7 @@ def sanitise(docs: DataFrame, alpha: float = 0.9, min_support: int = 3, id_col:
         .select(F.col("id").alias("_id"), F.col("h").alias("_h"), "gone", "terms")
     )
     met = texts.join(per_text, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
-    spans = met.select("id", "t", "gone", "terms", base_spans(F.col("t")).alias("base"))
+    spans = settled(met.select("id", "t", "gone", "terms", base_spans(F.col("t")).alias("base")))
     pattern = F.concat(F.lit(f"(?iu)(?<![{WORD}])(?:"), F.array_join("terms", "|"), F.lit(f")(?![{WORD}])"))
 
     def with_mask(s: Column) -> Column:
@@ -180,5 +180,5 @@ def sanitise(docs: DataFrame, alpha: float = 0.9, min_support: int = 3, id_col:
         lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
     )
     more = F.when(F.col("terms").isNotNull(), F.transform(outside, with_mask)).otherwise(F.array().cast(SPAN))
-    every = spans.select("id", "t", F.sort_array(F.concat("base", more)).alias("spans"))
+    every = settled(spans.select("id", "t", F.sort_array(F.concat("base", more)).alias("spans")))
     return every.select(F.col("id").alias(id_col), "spans", masked(F.col("t"), F.col("spans")).alias("clean_text"))

@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import text_of, words
+from strandframe.llm.common import settled, text_of, words
 
 # Place of a window in the text; the hash keeps the bits above it.
 PLACE_BITS = 24
@@ -77,14 +77,18 @@ def repeated_window_words(w: Column, size: int = 3) -> Column:
     return F.when(F.size(w) > size, counted).otherwise(F.lit(0).cast("long"))
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of measurements per input row, all as long."""
-    text = docs.select(F.col(id_col), text_of(text_col).alias("_t"))
-    split = text.select(
-        id_col,
-        "_t",
-        words(F.col("_t")).alias("_w"),
-        F.filter(F.split(F.col("_t"), "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("_l"),
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row of measurements per input row, all as long; with ``row_col`` also the whole input row as a struct."""
+    row = [] if row_col is None else [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")]
+    text = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"), *row)
+    carried = [F.col("_id").alias(id_col)] + ([] if row_col is None else [F.col("_row").alias(row_col)])
+    split = settled(
+        text.select(
+            *carried,
+            "_t",
+            words(F.col("_t")).alias("_w"),
+            F.filter(F.split(F.col("_t"), "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("_l"),
+        )
     )
     w, lines, t = F.col("_w"), F.col("_l"), F.col("_t")
     long = {
@@ -96,17 +100,18 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": repeated_window_words(w),
     }
-    return split.select(id_col, *(c.cast("long").alias(k) for k, c in long.items()))
+    names = [id_col] + ([] if row_col is None else [row_col])
+    return settled(split.select(*names, *(c.cast("long").alias(k) for k, c in long.items())))
 
 
-def rule_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def rule_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Measurements and ``fail_bits`` (one bit per failed rule, see ``RULES``) per input row.
 
     A null or empty text measures 0 throughout and fails ``few_words`` only.  Rows with
     null or repeated ids are judged each by itself; an empty table gives an empty
-    ledger; other columns of the input are ignored.
+    ledger; other columns of the input are ignored, or kept inside ``row_col``.
     """
-    measured = measure(docs, id_col, text_col)
+    measured = measure(docs, id_col, text_col, row_col)
     bits = F.lit(0).cast("long")
     for rule, fails in RULES.items():
         failed = F.expr(fails) if isinstance(fails, str) else fails
