@@ -4,9 +4,10 @@ A document's sketch is the k smallest hashes of its word shingles.  Equal sets a
 class from the start.  Inverted lists of retained values give candidates: two classes at
 or over the threshold share so many retained values that they must meet among the rarest
 few of each, so common passages are never looked up.  Inside a list, classes are first
-compared with one hub and pairs that are already connected are left out, so a large group
-of copies costs its size and not its square.  The sketch of the union filters candidates,
-the full sets decide.
+compared with one typical member, then with eight, and what is connected by then is not
+compared again; of the rest, only pairs that could share enough shingles are formed.  So
+a large group of copies costs its size and not its square.  The sketch of the union
+filters candidates, the full sets decide.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import hash_words, key_filter, may_hold, stored, text_of, window_hashes
+from strandframe.llm.common import hash_words, key_filter, may_hold, settled, stored, text_of, window_hashes
 from strandframe.llm.components import components
 
 _words: dict[bytes, int] = {}
@@ -73,16 +74,21 @@ def sketches(docs: DataFrame, k: int, size: int, id_col: str, text_col: str) ->
 
 
 def rare_lists(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """``v, p, n``: inverted lists of the rarest retained values of each class that another class has too."""
+    """``v, p, n, own, prefix``: inverted lists of the rarest retained values of each class that another class has too.
+
+    ``own`` counts the retained values that no other class has, ``prefix`` are all values the class is listed under.
+    """
     entries = classes.select("p", "n", F.explode("sketch").alias("v"))
     shared = entries.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
     hits = entries.join(shared, "v").groupBy("p", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("hits"))
     n = F.col("n")
-    retained = F.least(n, F.lit(k))
+    own = F.least(n, F.lit(k)) - F.size("hits")
     # Small sets are kept whole, and so are all their partners: the exact bound holds.
     need = F.when(100 * n <= percent * k, F.ceil(n * percent / 100)).otherwise(F.lit(least_shared(k, percent)))
-    take = (retained - need + 1) - (retained - F.size("hits"))
-    return hits.where(take > 0).select("p", "n", F.explode(F.slice("hits", F.lit(1), take.cast("int"))).alias("hit")).select(F.col("hit.v").alias("v"), "p", "n")
+    take = F.least(n, F.lit(k)) - need + 1 - own
+    rare = F.transform(F.slice("hits", F.lit(1), take.cast("int")), lambda x: x["v"])
+    listed = settled(hits.where(take > 0).select("p", "n", own.alias("own"), rare.alias("prefix")))
+    return listed.select("p", "n", "own", "prefix", F.explode("prefix").alias("v"))
 
 
 def size_fits(a: Column, b: Column, percent: int) -> Column:
@@ -141,6 +147,54 @@ def candidate_texts(docs: DataFrame, classes: DataFrame, lists: DataFrame, size:
     return found.join(wanted.select("p", "sig"), "sig").groupBy("p", "sig").agg(F.first("t").alias("t"))
 
 
+def single_shingles(texts: DataFrame, size: int) -> DataFrame:
+    """``p, single``: shingles of each class that no other class of ``texts`` has; classes without any are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, t in zip(batch.column("p").to_pylist(), batch.column("t").to_pylist()):
+                values = shingle_set(t, size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), p, np.int64)), pa.array(values)], names=["p", "v"])
+
+    flat = texts.select("p", "t").mapInArrow(run, "p long, v long")
+    once = flat.groupBy("v").agg(F.count(F.lit(1)).alias("df"), F.min("p").alias("p")).where(F.col("df") == 1)
+    return once.groupBy("p").agg(F.count(F.lit(1)).alias("single"))
+
+
+def mixed_lists(state: DataFrame) -> DataFrame:
+    """``v`` of the lists whose classes are not all in one component."""
+    return state.groupBy("v").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") != F.col("c1")).select("v")
+
+
+def star_pairs(state: DataFrame, hubs: int, percent: int) -> DataFrame:
+    """Each class of a mixed list with the list's most typical classes: those with the fewest values of their own."""
+    rest = state.join(mixed_lists(state), "v", "left_semi")
+    part = F.pmod(F.xxhash64("p"), F.lit(hubs))
+    hub = rest.groupBy("v", part.alias("part")).agg(F.min(F.struct("own", "p", "n", "c")).alias("hub"))
+    return (
+        rest.join(hub.select("v", F.col("hub.p").alias("hp"), F.col("hub.n").alias("hn"), F.col("hub.c").alias("hc")), "v")
+        .where((F.col("c") != F.col("hc")) & size_fits(F.col("n"), F.col("hn"), percent))
+        .select(F.least("p", "hp").alias("a"), F.greatest("p", "hp").alias("b"))
+    )
+
+
+def open_pairs(state: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """All pairs of a mixed list, not connected yet, that the sizes of the full sets allow; each pair once.
+
+    Shingles that no other class of the mixed lists has cannot be shared, which bounds the intersection from above.
+    """
+    rest = stored(state.join(mixed_lists(state), "v", "left_semi"), "mixed-lists")
+    single = single_shingles(texts.join(rest.select("p").distinct(), "p", "left_semi"), size)
+    most = F.col("n") - F.coalesce("single", F.lit(0))
+    able = rest.join(single, "p", "left").withColumn("most", most).where(100 * F.col("most") >= percent * F.col("n"))
+    able = stored(able.select("v", "p", "n", "c", "most", "prefix"), "open-lists")
+    a, b = (able.select("v", *(F.col(c).alias(f"{c}_{x}") for c in ("p", "n", "c", "most", "prefix"))) for x in "ab")
+    enough = (100 + percent) * F.least("most_a", "most_b") >= percent * (F.col("n_a") + F.col("n_b"))
+    first = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("v")
+    fits = (F.col("p_a") < F.col("p_b")) & (F.col("c_a") != F.col("c_b")) & size_fits(F.col("n_a"), F.col("n_b"), percent)
+    return a.join(b, "v").where(fits & enough & first).select(F.col("p_a").alias("a"), F.col("p_b").alias("b"))
+
+
 def near_duplicates(
     docs: DataFrame, percent: int = 80, size: int = 5, k: int = 64, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -163,49 +217,23 @@ def near_duplicates(
     known = classes.join(lists.select("p").distinct(), "p", "left_semi").select("p", "n", "sig", "sketch")
     known = stored(known, "candidate-sketches")
 
+
     def settle(pairs: DataFrame, tested: DataFrame | None, links: DataFrame | None, label: str):
         new = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
         new = stored(new, f"{label}-pairs")
         found = stored(verified(estimated(new, known, k, percent), texts, size, percent), f"{label}-links")
-        return (new if tested is None else tested.unionByName(new)), (found if links is None else links.unionByName(found)), found
+        return (new if tested is None else tested.unionByName(new)), (found if links is None else links.unionByName(found))
 
     def labelled(links: DataFrame) -> DataFrame:
-        """The lists with the component of each class, where it is in one."""
+        """The lists with the component of each class."""
         groups = components(links)
         by_class = known.select("p", "sig").join(groups, known["sig"] == groups["node"]).select("p", F.xxhash64("label").alias("c"))
         own = F.xxhash64(F.lit("alone"), F.col("p"))
-        return stored(lists.join(by_class, "p", "left").select("v", "p", "n", F.coalesce("c", own).alias("c")), "labelled-lists")
-
-    state, tested, links, before, turn = lists.withColumn("c", F.col("p")), None, None, None, 0
-    n_entries = lists.count()
-    while True:
-        # One hub per list: another one each time, so that every class in a mixed list gets its turn.
-        rank = F.struct(F.xxhash64(F.lit(turn), F.col("p")), "p", "n", "c")
-        hubs = state.groupBy("v").agg(F.min(rank).alias("hub"), F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") != F.col("c1"))
-        stars = (
-            state.join(hubs.select("v", F.col("hub.p").alias("hp"), F.col("hub.n").alias("hn"), F.col("hub.c").alias("hc")), "v")
-            .where((F.col("c") != F.col("hc")) & size_fits(F.col("n"), F.col("hn"), percent))
-            .select(F.least("p", "hp").alias("a"), F.greatest("p", "hp").alias("b"))
-        )
-        tested, links, found = settle(stars, tested, links, f"star-{turn}")
-        state = labelled(links)
-        groups = state.groupBy("v", "c").agg(F.count(F.lit(1)).alias("m"))
-        per_list = groups.groupBy("v").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("open"))
-        left = per_list.agg(F.coalesce(F.sum("open"), F.lit(0.0))).first()[0]
-        turn += 1
-        if left <= n_entries or found.isEmpty() or (before is not None and left > 0.8 * before):
-            break
-        before = left
-    # What is left are lists of classes that are mostly unlike: every open pair of them, once.
-    mixed = state.groupBy("v").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") != F.col("c1")).select("v")
-    rest = state.join(mixed, "v", "left_semi")
-    a, b = (rest.select("v", *(F.col(c).alias(f"{c}_{x}") for c in ("p", "n", "c"))) for x in "ab")
-    open_pairs = (
-        a.join(b, "v")
-        .where((F.col("p_a") < F.col("p_b")) & (F.col("c_a") != F.col("c_b")) & size_fits(F.col("n_a"), F.col("n_b"), percent))
-        .select(F.col("p_a").alias("a"), F.col("p_b").alias("b"))
-    )
-    _, links, _ = settle(open_pairs, tested, links, "open")
+        return stored(lists.join(by_class, "p", "left").withColumn("c", F.coalesce("c", own)), "labelled-lists")
+
+    tested, links = settle(star_pairs(lists.withColumn("c", F.col("p")), 1, percent), None, None, "star")
+    tested, links = settle(star_pairs(labelled(links), 8, percent), tested, links, "stars")
+    _, links = settle(open_pairs(labelled(links), texts, size, percent), tested, links, "open")
     groups = components(links)
     rows = base.join(groups, base["sig"] == groups["node"], "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("label", "sig")).alias("label"))
     named = rows.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("id").alias("component_id"))
