@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,8 +27,14 @@ from strandframe.session import maybe_broadcast
 MAGIC = b"BPS1"
 # White space of the tokenizer's own splitting; a run of it and the run of other letters after it are encoded alone.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-CACHED = 400_000  # pieces whose ids a Python worker remembers; bounds memory only
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+MARKS = ".,;:!?"
+# A plain word, the marks that end it, or else a whole run: always at a border of the tokenizer's own pieces.
+CHUNK = re.compile(
+    f" ?[{LETTERS}]+(?=[{MARKS}]*(?:[{SPACE}]|\\Z))|[{MARKS}]+(?=[{SPACE}]|\\Z)|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
+)
+CACHED = 400_000  # pieces in each of the two generations that a Python worker remembers; bounds memory only
+TOGETHER = 64  # texts encoded at a time
 
 _encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
 
@@ -35,8 +42,9 @@ _encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
 def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """Texts to little-endian 32-bit ids for a byte-level BPE file of the tokenizers library.
 
-    Its splitting never joins letters across the start of a white-space run, so the ids
-    of a text are those of its pieces one after the other; known pieces are looked up.
+    Its splitting never joins letters across the start of a white-space run, nor a word
+    with the marks after it, so the ids of a text are those of its pieces one after the
+    other; known pieces are looked up.
     """
     if path not in _encoders:
         import os
@@ -46,20 +54,21 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
 
         tok = Tokenizer.from_file(path)
         known: dict[str, bytes] = {}
+        older: dict[str, bytes] = {}
 
         def encode(texts: list[str]) -> list[bytes]:
-            out = []
-            for text in texts:
-                pieces = CHUNK.findall(text)
-                new = [p for p in dict.fromkeys(pieces) if p not in known]
-                if new:
-                    if len(known) + len(new) > CACHED:
-                        known.clear()
-                        new = list(dict.fromkeys(pieces))
-                    for p, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False)):
-                        known[p] = np.array(e.ids, "<u4").tobytes()
-                out.append(b"".join([known[p] for p in pieces]))
-            return out
+            nonlocal known, older
+            pieces = [CHUNK.findall(t) for t in texts]
+            new = set().union(*pieces).difference(known)
+            if len(known) + len(new) > CACHED:
+                known, older = {}, known
+                new = set().union(*pieces)
+            for p in new.intersection(older):
+                known[p] = older[p]
+            rest = list(new.difference(older))
+            for p, e in zip(rest, tok.encode_batch_fast(rest, add_special_tokens=False)):
+                known[p] = array("I", e.ids).tobytes()
+            return [b"".join([known[p] for p in text]) for text in pieces]
 
         _encoders[path] = encode
     return _encoders[path]
@@ -164,16 +173,17 @@ def write_token_files(
 
         for batch in batches:
             id_kind = batch.schema.field("id").type
-            for p, i, t in zip(batch.column("part").to_pylist(), batch.column("id").to_pylist(), batch.column("t").to_pylist()):
-                part = p
-                data = encode([t])[0] + tail
-                ids.append(i)
-                parts.append(data)
-                lengths.append(len(data) // 4)
-                held += lengths[-1]
-                if held >= segment_ids:
-                    yield flush()
-                    segment, ids, parts, lengths, held = segment + 1, [], [], [], 0
+            for at in range(0, batch.num_rows, TOGETHER):
+                some = batch.slice(at, TOGETHER)
+                part = some.column("part")[0].as_py()
+                for i, raw in zip(some.column("id").to_pylist(), encode(some.column("t").to_pylist())):
+                    ids.append(i)
+                    parts.append(raw + tail)
+                    lengths.append(len(raw) // 4 + 1)
+                    held += lengths[-1]
+                    if held >= segment_ids:
+                        yield flush()
+                        segment, ids, parts, lengths, held = segment + 1, [], [], [], 0
         if ids:
             yield flush()
 
