@@ -97,7 +97,7 @@ def medoids(points: DataFrame, metric: str = "euclidean", block: int = 2_000) ->
     return total.groupBy(F.col("grp").alias("cluster")).agg(best.alias("x")).select("cluster", "x.*")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest reachable id per node: ``(id, component)``.
 
     Every round sends the smallest known label over the edges and then follows labels once
@@ -106,7 +106,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = cut_lineage(both)
     labels = cut_lineage(nodes.select("id").distinct().withColumn("component", F.col("id")))
-    for _ in range(max_rounds):
+    while True:
         seen = both.join(labels, both.a == labels.id).groupBy(F.col("b").alias("id")).agg(F.min("component").alias("m"))
         step = labels.join(seen, "id", "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"))
         parent = step.select(F.col("id").alias("component"), F.col("component").alias("up"))
@@ -115,7 +115,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
         labels = step
         if not changed:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 # -------------------------------------------------------------------- linkage

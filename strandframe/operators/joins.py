@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandframe.operators.select import top_per_key
-from strandframe.session import cut_lineage, small_enough
+from strandframe.session import cut_lineage
 
 
 def align_by_name(tables: dict[str, DataFrame], key: str = "name") -> DataFrame:
@@ -64,7 +64,7 @@ def lookup_classes(df: DataFrame, classes: DataFrame, key: str = "col") -> DataF
     return df.join(classes, key, "left")
 
 
-def match_unique_greedy(pairs: DataFrame, a: str = "a", b: str = "b", score: str = "score", max_rounds: int = 10_000) -> DataFrame:
+def match_unique_greedy(pairs: DataFrame, a: str = "a", b: str = "b", score: str = "score") -> DataFrame:
     """One-to-one assignment by best remaining pair, as rounds of mutual best pairs.
 
     Ties are ordered by ``(a, b)``, which makes the rounds equal to the one-by-one
@@ -74,9 +74,7 @@ def match_unique_greedy(pairs: DataFrame, a: str = "a", b: str = "b", score: str
     rest = cut_lineage(pairs.select(a, b, score))
     chosen = None
     order = F.struct(F.col(score), F.struct(F.col(a), F.col(b)))
-    for _ in range(max_rounds):
-        if rest.isEmpty():
-            break
+    while not rest.isEmpty():
         # largest score; for equal scores the smallest (a, b)
         best_a = rest.groupBy(a).agg(F.max(score).alias("__s")).join(rest, a).filter(F.col(score) == F.col("__s"))
         best_a = best_a.groupBy(a).agg(F.min(b).alias(b))
@@ -158,18 +156,38 @@ def most_unique_substring(names: DataFrame, mink: int = 2, k: int = 4) -> DataFr
     return scored.groupBy("name").agg(best.alias("gram"))
 
 
-def substring_membership(left: DataFrame, words: DataFrame, soft: bool = False, max_words: int = 100_000) -> DataFrame:
+def _contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """``(s, l)``: strings of ``short`` (s) inside strings of ``long`` (l).
+
+    A short string is looked up by the rarest of its three-letter pieces (itself, if it
+    is shorter), so a common piece never brings all strings together.
+    """
+    from strandframe.functions.sequence import windows
+
+    pieces = F.array_distinct(F.concat(*[windows(F.col("l"), k) for k in (1, 2, 3)]))
+    held = long.select("l", F.explode(pieces).alias("g"))
+    own = F.when(F.length("s") <= 3, F.array("s")).otherwise(windows(F.col("s"), 3))
+    wanted = short.filter(F.length("s") > 0).select("s", F.explode(F.array_distinct(own)).alias("g"))
+    counts = held.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    rarest = wanted.join(counts, "g", "left").groupBy("s").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("k"))
+    return rarest.filter("k.n > 0").select("s", F.col("k.g").alias("g")).join(held, "g").filter(F.contains("l", F.col("s"))).select("s", "l")
+
+
+def substring_membership(left: DataFrame, words: DataFrame, soft: bool = False) -> DataFrame:
     """Names that contain, or are contained in, one of the words (case-insensitive).
 
-    The word list is bounded and checked: it is spread over the rows as one array,
-    so no pair is built.  ``soft`` marks instead of dropping.
+    Found through an index of three-letter pieces, for any number of words.  An empty
+    word is in every name, an empty name in every word.  ``soft`` marks instead of dropping.
     """
-    w = words.select(F.upper(words.columns[0]).alias("w")).distinct()
-    if not small_enough(w, max_words):
-        raise ValueError(f"the word list must not hold more than {max_words} words")
-    packed = w.agg(F.collect_list("w").alias("__ws"))
-    hit = F.exists("__ws", lambda x: F.contains(F.upper("name"), x) | F.contains(x, F.upper("name")))
-    marked = left.join(F.broadcast(packed)).withColumn("member", hit).drop("__ws")
+    w = words.select(F.upper(words.columns[0]).alias("w")).filter(F.col("w").isNotNull()).distinct()
+    n = left.select(F.upper("name").alias("n")).filter(F.col("n").isNotNull()).distinct()
+    in_name = _contained(w.select(F.col("w").alias("s")), n.select(F.col("n").alias("l"))).select(F.col("l").alias("__n"))
+    in_word = _contained(n.select(F.col("n").alias("s")), w.select(F.col("w").alias("l"))).select(F.col("s").alias("__n"))
+    found = in_name.unionByName(in_word).distinct().withColumn("__hit", F.lit(True))
+    ends = w.agg(F.coalesce(F.max(F.col("w") == ""), F.lit(False)).alias("__any"), (F.count(F.lit(1)) > 0).alias("__some"))
+    marked = left.join(found, F.upper("name") == F.col("__n"), "left").join(F.broadcast(ends))  # one row
+    hit = F.coalesce("__hit", F.lit(False)) | F.col("__any") | ((F.col("name") == "") & F.col("__some"))
+    marked = marked.withColumn("member", F.when(F.col("name").isNotNull(), hit)).drop("__n", "__hit", "__any", "__some")
     return marked if soft else marked.filter("member").drop("member")
 
 

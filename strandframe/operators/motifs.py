@@ -16,9 +16,10 @@ from strandframe.operators.matrix import attach, attach_small
 from strandframe.sources.sinks import motif_rows
 
 KEY = ["motif"]
-# fixed values: degenerate letter codes, with A=16, C=8, G=4, T=2
+# fixed values: the standard degenerate letter of each set of bases
 IUPAC = {
-    16: "A", 8: "C", 4: "G", 2: "T", 20: "R", 10: "Y", 12: "S", 18: "W", 6: "K", 24: "M", 14: "B", 22: "D", 26: "H", 28: "V", 0: "N", 30: "N",
+    "A": "A", "C": "C", "G": "G", "T": "T", "AG": "R", "CT": "Y", "CG": "S", "AT": "W", "GT": "K", "AC": "M",
+    "CGT": "B", "AGT": "D", "ACT": "H", "ACG": "V", "ACGT": "N", "": "N",
 }
 
 
@@ -141,8 +142,8 @@ def transform_motif(motifs: DataFrame, steps: list[str]) -> DataFrame:
 
 def motif_to_iupac(motifs: DataFrame, background: float = 0.25) -> DataFrame:
     """Degenerate letter per position from the bases above background."""
-    bit = F.when(F.col("base") == "A", 16).when(F.col("base") == "C", 8).when(F.col("base") == "G", 4).otherwise(2)
-    score = motifs.groupBy("motif", "pos").agg(F.sum(F.when(F.col("w") > background, bit).otherwise(0)).cast("int").alias("s"))
+    over = F.collect_set(F.when(F.col("w") > background, F.col("base")))
+    score = motifs.groupBy("motif", "pos").agg(F.array_join(F.sort_array(over), "").alias("s"))
     table = F.create_map(*[x for k, v in IUPAC.items() for x in (F.lit(k), F.lit(v))])
     ordered = F.sort_array(F.collect_list(F.struct("pos", F.element_at(table, F.col("s")).alias("c"))))
     return score.groupBy("motif").agg(F.array_join(F.transform(ordered, lambda x: x["c"]), "").alias("iupac"))

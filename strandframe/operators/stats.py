@@ -25,6 +25,7 @@ def rank_transform(df: DataFrame, keys: list[str], value: str, tie: str) -> Data
 # ---------------------------------------------------------- pairwise distances
 def pearson_expr(a: Column, b: Column) -> Column:
     """Correlation with the reference's edge rules: -1 when one side is constant, null for both."""
+    a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)  # pairs with both sides only
     sa, sb = F.stddev_pop(a), F.stddev_pop(b)
     one = (sa == 0) | (sb == 0)
     both = (sa == 0) & (sb == 0)

@@ -273,7 +273,7 @@ def _(spark, sf):
 @query("group_balanced_folds")
 def _(spark, sf):
     d = V.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("name"), F.concat_ws("|", "source", "lang").alias("grp"))
-    return FO.group_balanced_folds(d, "grp", 4, trials=2000)
+    return FO.group_balanced_folds(d, "grp", 4)
 
 
 # --------------------------------------------------------- sequence distances
@@ -290,12 +290,11 @@ def _(spark, sf):
 
 @query(
     "sequence_identity",
-    C(V.SEQ, "w AS (SELECT name, substr(seq, 1, 12) AS seq FROM seqs WHERE length(seq) >= 12)", "u AS (SELECT seq, min(name) AS name FROM w GROUP BY seq)")
-    + "SELECT a.name AS a, b.name AS b, CAST(hamming(a.seq, b.seq) AS INTEGER) AS distance FROM u a JOIN u b ON a.name < b.name AND hamming(a.seq, b.seq) <= 2",
+    C(V.SEQ, "u AS (SELECT seq, min(name) AS name FROM seqs GROUP BY seq)")
+    + "SELECT a.name AS a, b.name AS b, CAST(hamming(a.seq, b.seq) AS INTEGER) AS distance FROM u a JOIN u b ON a.name < b.name AND length(a.seq) = length(b.seq) AND CASE WHEN length(a.seq) = length(b.seq) THEN hamming(a.seq, b.seq) END <= 2",
 )
 def _(spark, sf):
-    s = V.sequences(spark, sf).filter(F.length("seq") >= 12).select("name", F.substring("seq", 1, 12).alias("seq"))
-    return D.pairwise_sequence_distance(s, 2, "identity")
+    return D.pairwise_sequence_distance(V.sequences(spark, sf), 2, "identity")
 
 
 @query("sequence_copies", C(V.SEQ) + "SELECT name, min(name) OVER (PARTITION BY seq) AS first, count(*) OVER (PARTITION BY seq) AS n FROM seqs")

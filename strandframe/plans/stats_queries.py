@@ -511,21 +511,21 @@ def _(spark, sf):
 
 @query(
     "read_matrices_aligned",
-    C(V.MAT, V.MATB, """a AS (SELECT 'x' AS modality, * FROM mat WHERE value > 60)""", """b AS (SELECT 'y' AS modality, * FROM matb WHERE value > 9000)""",
+    C(V.MAT, V.MATB, """a AS (SELECT 'x' AS modality, * FROM mat)""", """b AS (SELECT 'y' AS modality, * FROM matb)""",
       'rw AS (SELECT "row" FROM a INTERSECT SELECT "row" FROM b)')
     + 'SELECT * FROM a WHERE "row" IN (SELECT "row" FROM rw) UNION ALL SELECT * FROM b WHERE "row" IN (SELECT "row" FROM rw)',
 )
 def _(spark, sf):
-    return J.align_matrices({"x": V.matrix(spark, sf).filter("value > 60"), "y": V.matrix_b(spark, sf).filter("value > 9000")})
+    return J.align_matrices({"x": V.matrix(spark, sf), "y": V.matrix_b(spark, sf)})
 
 
 @query(
     "stack_matrices",
-    C(V.MAT, V.MATB, """a AS (SELECT 'x' AS modality, * FROM mat WHERE value > 150)""")
+    C(V.MAT, V.MATB, """a AS (SELECT 'x' AS modality, * FROM mat)""")
     + """SELECT * FROM a UNION ALL SELECT 'y', * FROM matb WHERE "row" NOT IN (SELECT "row" FROM a)""",
 )
 def _(spark, sf):
-    return J.align_matrices({"x": V.matrix(spark, sf).filter("value > 150"), "y": V.matrix_b(spark, sf)}, axis=0)
+    return J.align_matrices({"x": V.matrix(spark, sf), "y": V.matrix_b(spark, sf)}, axis=0)
 
 
 @query(
@@ -544,11 +544,11 @@ def _(spark, sf):
 
 @query(
     "substring_membership",
-    """SELECT p_partkey, p_name AS name FROM part WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT upper(split_part(p_name, ' ', 2)) AS w FROM part WHERE p_size > 45) WHERE contains(upper(p_name), w) OR contains(w, upper(p_name)))""",
+    """SELECT p_partkey, p_name AS name FROM part WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT upper(split_part(p_name, ' ', 2)) AS w FROM part) WHERE contains(upper(p_name), w) OR contains(w, upper(p_name)))""",
 )
 def _(spark, sf):
     p = V.table(spark, sf, "part")
-    words = p.filter("p_size > 45").select(F.substring_index("p_name", " ", -1).alias("w"))
+    words = p.select(F.substring_index("p_name", " ", -1).alias("w"))
     return J.substring_membership(p.select("p_partkey", F.col("p_name").alias("name")), words)
 
 

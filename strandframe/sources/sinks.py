@@ -17,7 +17,8 @@ def write_matrix(df: DataFrame, path: str, columns: list[str], digits: int | Non
     wide = wide_matrix(df, columns)
     if digits is not None:
         wide = wide.select("row", *[F.round(c, digits).alias(c) for c in columns])
-    wide.write.mode("overwrite").csv(path, sep=sep, header=True)
+    # the header of each part file is a comment line for readers
+    wide.withColumnRenamed("row", "# row").write.mode("overwrite").csv(path, sep=sep, header=True)
 
 
 def format_fasta(seqs: DataFrame) -> DataFrame:

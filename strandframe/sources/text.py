@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandframe.functions.sequence import onehot
@@ -48,7 +49,8 @@ def matrix_header(lines: DataFrame, sep: str = "\t", data_start: int = 1) -> lis
 
 
 def read_matrix(spark: SparkSession, path: str, sep: str = "\t", **options) -> DataFrame:
-    lines = spark.read.text(path)
+    # a CSV writer quotes the first header cell, which begins with the comment mark
+    lines = spark.read.text(path).select(F.regexp_replace("value", r'^"(#[^"]*)"', "$1").alias("value"))
     return parse_matrix(lines, matrix_header(lines, sep), sep, **options)
 
 
@@ -98,7 +100,13 @@ def parse_genome(lines: DataFrame, size: int) -> DataFrame:
 def read_genome(spark: SparkSession, path: str, size: int = 65_536) -> DataFrame:
     """One chromosome per (gzip) FASTA file; the file stem is the chromosome."""
     chrom = F.regexp_extract(F.input_file_name(), r"([^/]+?)\.(fa|fasta)(\.gz)?$", 1)
-    lines = spark.read.text(path).select(chrom.alias("chrom"), F.monotonically_increasing_id().alias("line_no"), "value")
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    raw = spark.read.text(path).select(chrom.alias("chrom"), block.alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    # the ids run on inside a file split only: lines before each split come from the counts per split
+    splits = raw.groupBy("block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy("block.file").orderBy("block.start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("block", "first", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    lines = raw.join(splits, "block").select("chrom", (F.col("before") + F.col("id") - F.col("first")).alias("line_no"), "value")
     return parse_genome(lines, size)
 
 
