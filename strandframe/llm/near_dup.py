@@ -5,9 +5,9 @@ class from the start.  Inverted lists of retained values give candidates: two cl
 or over the threshold share so many retained values that they must meet among the rarest
 few of each, so common passages are never looked up.  Inside a list, classes are first
 compared with one typical member, then with eight, and what is connected by then is not
-compared again; of the rest, only pairs that could share enough shingles are formed.  So
-a large group of copies costs its size and not its square.  The sketch of the union
-filters candidates, the full sets decide.
+compared again; of the rest, pairs are formed by how they differ from what their group
+has in common.  So a large group of copies costs its size and not its square.  The sketch
+of the union filters candidates, the full sets decide.
 """
 
 from __future__ import annotations
@@ -178,21 +178,85 @@ def star_pairs(state: DataFrame, hubs: int, percent: int) -> DataFrame:
     )
 
 
+def full_sets(texts: DataFrame, size: int) -> DataFrame:
+    """``p, values``: all shingles of each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [shingle_set(t, size) for t in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("p"), pa.array(values, pa.list_(pa.int64()))], names=["p", "values"])
+
+    return texts.select("p", "t").mapInArrow(run, "p long, values array<long>")
+
+
+SALTS = 16  # copies of a group's row, so that a large group is joined by as many keys
+
+
+def per_group(rows: DataFrame, small: DataFrame) -> DataFrame:
+    """Join a table of one row per group; ``rows`` has ``g`` and ``salt``."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    return rows.join(small.select("*", salts), ["g", "salt"])
+
+
+def differences(able: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """``g, salt, p, n, c, k, diff``: how each class differs from the core of its group.
+
+    A group is what lists connect; its core are the shingles that more than half of its
+    classes have, so cores are never larger than the sets they come from.  ``diff`` are the
+    core's shingles that the class lacks and the class's that the core lacks.  Two classes
+    of one group are linked exactly when 2 * (100 + percent) * (shared differences) >= k + k.
+    """
+    hub = able.groupBy("v").agg(F.min("p").alias("b"))
+    groups = components(able.select("v", F.col("p").alias("a")).join(hub, "v").select("a", "b"))
+    one = able.select("p", "n", "c").distinct().join(groups.withColumnsRenamed({"node": "p", "label": "g"}), "p")
+    members = one.join(full_sets(texts, size), "p").withColumn("salt", F.pmod(F.xxhash64("p"), F.lit(SALTS)).cast("int"))
+    members = stored(members, "open-sets")
+    counts = members.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
+    held = members.select("g", F.explode("values").alias("x")).groupBy("g", "x").agg(F.count(F.lit(1)).alias("df"))
+    core = held.join(counts, "g").where(2 * F.col("df") > F.col("m")).groupBy("g").agg(F.collect_list("x").alias("core"))
+    core = counts.join(core, "g", "left").select("g", F.coalesce("core", F.array().cast("array<bigint>")).alias("core"))
+    met = per_group(members, core).select(
+        "g", "salt", "p", "n", "c", F.size("core").alias("h"),
+        F.array_except("core", "values").alias("gone"), F.array_except("values", "core").alias("extra"),
+    )
+    k = 2 * percent * F.col("n") + (100 + percent) * (2 * F.size("gone") - F.col("h"))
+    return stored(settled(met).select("g", "salt", "p", "n", "c", k.alias("k"), F.concat("gone", "extra").alias("diff")), "open-differences")
+
+
 def open_pairs(state: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """All pairs of a mixed list, not connected yet, that the sizes of the full sets allow; each pair once.
+    """Pairs of mixed lists, not connected yet, that can be links; enough of them to connect all links.
 
-    Shingles that no other class of the mixed lists has cannot be shared, which bounds the intersection from above.
+    Shingles that no other class of the mixed lists has cannot be shared, which leaves out
+    classes first.  What two of the others share follows from their differences from the
+    core of their group: a pair that needs no shared difference is a link, and the class
+    with the smallest ``k`` connects all of these; any other pair must share a difference
+    so rare that enough of them follow in the order of frequency.
     """
     rest = stored(state.join(mixed_lists(state), "v", "left_semi"), "mixed-lists")
     single = single_shingles(texts.join(rest.select("p").distinct(), "p", "left_semi"), size)
     most = F.col("n") - F.coalesce("single", F.lit(0))
-    able = rest.join(single, "p", "left").withColumn("most", most).where(100 * F.col("most") >= percent * F.col("n"))
-    able = stored(able.select("v", "p", "n", "c", "most", "prefix"), "open-lists")
-    a, b = (able.select("v", *(F.col(c).alias(f"{c}_{x}") for c in ("p", "n", "c", "most", "prefix"))) for x in "ab")
-    enough = (100 + percent) * F.least("most_a", "most_b") >= percent * (F.col("n_a") + F.col("n_b"))
-    first = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("v")
-    fits = (F.col("p_a") < F.col("p_b")) & (F.col("c_a") != F.col("c_b")) & size_fits(F.col("n_a"), F.col("n_b"), percent)
-    return a.join(b, "v").where(fits & enough & first).select(F.col("p_a").alias("a"), F.col("p_b").alias("b"))
+    able = stored(rest.join(single, "p", "left").where(100 * most >= percent * F.col("n")).select("v", "p", "n", "c"), "open-lists")
+    apart = differences(able, texts, size, percent)
+
+    hub = apart.groupBy("g").agg(F.min(F.struct("k", "p", "n", "c")).alias("hub"))
+    at = per_group(apart, hub).withColumn("sure", F.col("k") + F.col("hub.k") <= 0)
+    hp = F.col("hub.p")
+    stars = at.where("sure AND c <> hub.c").select(F.least("p", hp).alias("a"), F.greatest("p", hp).alias("b"))
+
+    each = at.select("g", "p", "n", "c", "k", F.col("hub.k").alias("k0"), "sure", F.explode("diff").alias("x"))
+    shared = each.groupBy("g", "x").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
+    of_class = ["g", "p", "n", "c", "k", "k0", "sure"]
+    hits = each.join(shared, ["g", "x"]).groupBy(*of_class).agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("hits"))
+    ranked = hits.select(*of_class, F.size("hits").alias("all"), F.posexplode("hits").alias("at", "hit"))
+    # Differences that can still be shared from this one on.
+    ranked = ranked.select(*of_class, F.col("hit.x").alias("x"), (2 * (100 + percent) * (F.col("all") - F.col("at"))).alias("left"))
+    ranked = stored(ranked.where(F.col("left") >= F.col("k") + F.col("k0")), "open-ranked")
+    side = lambda s: ranked.select("g", "x", *(F.col(c).alias(f"{c}_{s}") for c in ("p", "n", "c", "k", "sure", "left")))
+    a, b = side("a").where("left_a >= 2 * k_a"), side("b")
+    fits = (F.struct("k_a", "p_a") < F.struct("k_b", "p_b")) & (F.col("c_a") != F.col("c_b")) & size_fits(F.col("n_a"), F.col("n_b"), percent)
+    enough = (F.least("left_a", "left_b") >= F.col("k_a") + F.col("k_b")) & ~(F.col("sure_a") & F.col("sure_b"))
+    others = a.join(b, ["g", "x"]).where(fits & enough).select(F.least("p_a", "p_b").alias("a"), F.greatest("p_a", "p_b").alias("b"))
+    return stars.unionByName(others)
 
 
 def near_duplicates(
@@ -217,7 +281,6 @@ def near_duplicates(
     known = classes.join(lists.select("p").distinct(), "p", "left_semi").select("p", "n", "sig", "sketch")
     known = stored(known, "candidate-sketches")
 
-
     def settle(pairs: DataFrame, tested: DataFrame | None, links: DataFrame | None, label: str):
         new = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
         new = stored(new, f"{label}-pairs")
