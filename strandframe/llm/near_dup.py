@@ -281,23 +281,21 @@ def near_duplicates(
     known = classes.join(lists.select("p").distinct(), "p", "left_semi").select("p", "n", "sig", "sketch")
     known = stored(known, "candidate-sketches")
 
-    def settle(pairs: DataFrame, tested: DataFrame | None, links: DataFrame | None, label: str):
+    def settle(pairs: DataFrame, tested: DataFrame | None, groups: DataFrame | None, label: str):
         new = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
         new = stored(new, f"{label}-pairs")
-        found = stored(verified(estimated(new, known, k, percent), texts, size, percent), f"{label}-links")
-        return (new if tested is None else tested.unionByName(new)), (found if links is None else links.unionByName(found))
+        links = stored(verified(estimated(new, known, k, percent), texts, size, percent), f"{label}-links")
+        return (new if tested is None else tested.unionByName(new)), components(links, groups)
 
-    def labelled(links: DataFrame) -> DataFrame:
+    def labelled(groups: DataFrame) -> DataFrame:
         """The lists with the component of each class."""
-        groups = components(links)
         by_class = known.select("p", "sig").join(groups, known["sig"] == groups["node"]).select("p", F.xxhash64("label").alias("c"))
         own = F.xxhash64(F.lit("alone"), F.col("p"))
         return stored(lists.join(by_class, "p", "left").withColumn("c", F.coalesce("c", own)), "labelled-lists")
 
-    tested, links = settle(star_pairs(lists.withColumn("c", F.col("p")), 1, percent), None, None, "star")
-    tested, links = settle(star_pairs(labelled(links), 8, percent), tested, links, "stars")
-    _, links = settle(open_pairs(labelled(links), texts, size, percent), tested, links, "open")
-    groups = components(links)
+    tested, groups = settle(star_pairs(lists.withColumn("c", F.col("p")), 1, percent), None, None, "star")
+    tested, groups = settle(star_pairs(labelled(groups), 8, percent), tested, groups, "stars")
+    _, groups = settle(open_pairs(labelled(groups), texts, size, percent), tested, groups, "open")
     rows = base.join(groups, base["sig"] == groups["node"], "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("label", "sig")).alias("label"))
     named = rows.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("id").alias("component_id"))
     out = rows.join(named, "label", "left").select(

@@ -232,6 +232,17 @@ def test_components_of_a_chain(spark):
 # ---- benchmark decontamination
 
 
+def test_components_in_two_steps(spark):
+    rng = np.random.default_rng(3)
+    links = [tuple(map(int, rng.integers(0, 300, 2))) for _ in range(260)]
+    links = [(a, b) for a, b in links if a != b]
+    frame = lambda x: spark.createDataFrame(x, "a long, b long")
+    whole = {r.node: r.label for r in components(frame(links)).collect()}
+    steps = {r.node: r.label for r in components(frame(links[90:]), components(frame(links[:90]))).collect()}
+    assert steps == whole and len(set(whole.values())) > 1
+    assert {r.node: r.label for r in components(frame([]), components(frame(links))).collect()} == whole
+
+
 def test_contamination(spark):
     item = "If Anna buys 12 apples and later Anna sells 5 apples for 3 dollars each how much does she earn today"
     other = "the quick brown fox jumps over the lazy dog while seven wise owls watch from a tree nearby"
