@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strandframe.operators.matrix import attach, attach_small, signed_maxabs
 
@@ -146,62 +144,67 @@ def _smoothed(gap: int) -> Column:
     return F.avg("value").over(w)
 
 
-def runs_in_island(pos, value, mean, stop: int, cut: float, max_gap: int, min_size: int) -> list[list[int]]:
-    """Runs of one sign inside an island; positions that are not listed count as gaps up to ``stop``."""
-    info = {p: (v, m) for p, v, m in zip(pos, value, mean)}
-    found: list[list[int]] = []
-    members: list[int] = []
-    sign, gap, i = 1.0, 0, int(pos[0])
-    while i < stop:
-        v, m = info.get(i, (0.0, 0.0))
-        strong = abs(v) > cut
-        if strong and not members:
-            sign = 1.0 if v > 0 else -1.0
-        if strong and v * sign > 0:
-            members.append(i)
-            gap = 0
-        elif members and (i not in info or sign * m < cut):
-            gap += 1
-            if gap > max_gap:
-                if len(members) >= min_size:
-                    found.append(members)
-                # the gap is read again, so that a run of the other sign can start inside it
-                i -= gap
-                members, gap = [], 0
-        i += 1
-    if len(members) >= min_size:
-        found.append(members)
-    return found
-
-
-_RUNS = T.ArrayType(T.ArrayType(T.IntegerType()))
+def _apart(rows: DataFrame, keys: list[str], begin: str, reach: str) -> DataFrame:
+    """Number ``part`` of sets of rows whose spans ``[begin, reach)`` do not touch those of other sets."""
+    w = W.partitionBy(*keys).orderBy(begin)
+    covered = F.max(reach).over(w.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("__new", F.when(F.col(begin) < covered, 0).otherwise(1))
+    return rows.withColumn("part", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__new")
+
+
+_OPEN = 2**31 - 1  # reach of what the end of the sequence leaves open
 
 
 def find_motif_runs(profile: DataFrame, cut: float, max_gap: int = 1, min_size: int = 4, smooth: bool = True) -> DataFrame:
     """Sign-consistent runs over a cut-off with bridged gaps: ``(seq, track, positions)``.
 
-    A position that is weak on its own may still belong to a run when the mean around it passes
-    (``smooth``).  Positions that can never matter are dropped first; what is left falls into
-    independent islands, and each island is read in order.  Input ``(seq, track, pos, value)``
-    with every position of the sequence present.
+    Members of a sign are positions over the cut-off with that sign.  Another position is a
+    break, unless the mean around it passes (``smooth``).  Members with at most ``max_gap``
+    breaks between neighbours are a chain; break counts are position minus rank among the
+    other rows, so a chain is a window away.  A chain reaches over as many positions behind
+    its last member as it has passing ones before it closes, or over all if it does not
+    close.  A chain that no other one reaches is a run.  Where chains of both signs overlap,
+    the one with the earliest member wins and the others keep what lies beyond its reach.
+    Input ``(seq, track, pos, value)`` with every position of the sequence present.
     """
-    half = max_gap if smooth else 0
-    length = profile.groupBy("seq", "track").agg((F.max("pos") + 1).alias("__len"))
+    length = profile.groupBy("seq", "track").agg((F.max("pos") + 1).cast("int").alias("__len"))
     active = (F.abs("value") > cut) | (F.abs("__mean") >= cut)
-    rows = _islands(profile.select("seq", "track", "pos", "value"), max_gap, active, {"__mean": _smoothed(half)})
-    packed = rows.groupBy("seq", "track", "island").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "value", "__mean"))).alias("r")
-    )
-    packed = packed.join(length, ["seq", "track"]).select(
-        "seq", "track", F.col("r.pos").alias("p"), F.col("r.value").alias("v"), F.col("r.__mean").alias("m"),
-        F.least(F.col("__len"), F.element_at("r", -1)["pos"] + max_gap + 2).alias("stop"),
+    mean = {"__mean": _smoothed(max_gap if smooth else 0)}
+    rows = _islands(profile.select("seq", "track", F.col("pos").cast("int").alias("pos"), "value"), max_gap, active, mean)
+    rows = rows.select("*", F.explode(F.array(F.lit(1), F.lit(-1))).alias("s"))
+    rows = rows.withColumn("member", F.coalesce((F.abs("value") > cut) & (F.col("value") * F.col("s") > 0), F.lit(False)))
+    rows = rows.where(F.col("member") | (F.col("s") * F.col("__mean") >= cut))
+
+    w = W.partitionBy("seq", "track", "island", "s").orderBy("pos")
+    rows = rows.withColumn("rank", F.row_number().over(w)).withColumn("breaks", F.col("pos") - F.col("rank"))
+    before = F.last(F.when(F.col("member"), F.col("breaks")), True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("near", F.coalesce(F.col("breaks") - before <= max_gap, F.lit(False)))
+    first = F.when(F.col("member") & ~F.col("near"), 1).otherwise(0)
+    rows = rows.withColumn("chain", F.sum(first).over(w.rowsBetween(W.unboundedPreceding, 0))).where("chain > 0 AND (member OR near)")
+    chains = rows.groupBy("seq", "track", "island", "s", "chain").agg(
+        F.sort_array(F.collect_list(F.when(F.col("member"), F.col("pos")))).alias("positions"),
+        (F.max("rank") - F.max(F.when(F.col("member"), F.col("rank")))).alias("passing"),
     )
+    chains = chains.join(length, ["seq", "track"]).withColumn("first", F.col("positions")[0])
+    reach = F.element_at("positions", -1) + F.col("passing") + 1
+    chains = chains.withColumn("reach", F.when(reach + max_gap < F.col("__len"), reach).otherwise(F.lit(_OPEN)).cast("int"))
+
+    keys = ["seq", "track", "island"]
+    parts = _apart(chains, keys, "first", "reach").groupBy(*keys, "part").agg(F.collect_list(F.struct("positions", "reach")).alias("c"))
+
+    def left_from(t: Column) -> Column:
+        """Earliest chain of what lies at ``t`` or later."""
+        cut_off = F.transform("c", lambda c: F.struct(F.filter(c["positions"], lambda x: x >= t).alias("positions"), c["reach"].alias("reach")))
+        return F.array_min(F.filter(cut_off, lambda c: F.size(c["positions"]) > 0))
 
-    @F.pandas_udf(_RUNS)
-    def read(p: pd.Series, v: pd.Series, m: pd.Series, stop: pd.Series) -> pd.Series:
-        return pd.Series([runs_in_island(a, b, c, int(s), cut, max_gap, min_size) for a, b, c, s in zip(p, v, m, stop)])
+    def step(acc: Column, _: Column) -> Column:
+        best = left_from(acc["t"])
+        more = F.when(best.isNull(), acc["runs"]).otherwise(F.concat(acc["runs"], F.array(best["positions"])))
+        return F.struct(F.coalesce(best["reach"], acc["t"]).alias("t"), more.alias("runs"))
 
-    return packed.select("seq", "track", F.explode(read("p", "v", "m", "stop")).alias("positions"))
+    start = F.struct(F.lit(-1).alias("t"), F.array().cast("array<array<int>>").alias("runs"))
+    runs = F.when(F.size("c") == 1, F.array(F.col("c")[0]["positions"])).otherwise(F.aggregate("c", start, step)["runs"])
+    return parts.select("seq", "track", F.explode(runs).alias("positions")).where(F.size("positions") >= min_size)
 
 
 def strict_runs(profile: DataFrame, cut: float, max_gap: int = 1, min_size: int = 4) -> DataFrame:
@@ -218,43 +221,13 @@ def strict_runs(profile: DataFrame, cut: float, max_gap: int = 1, min_size: int
     )
 
 
-def zscore_runs_in_island(pos, sign, stop: int, min_size: int) -> list[list[int]]:
-    """Stretches of one sign with a budget of one gap; ``[start, end, direction]`` with a closed end.
-
-    A second gap ends the stretch: a long one is kept, a short one is read again from its last
-    unbroken part.
-    """
-    at = dict(zip(pos, sign))
-    found: list[list[int]] = []
-    i = int(pos[0])
-    length, gaps, streak, start, s = 0, 0, 0, 0, 0
-    while i < stop:
-        here = at.get(i, 0)
-        if here and length == 0:
-            start, s, gaps, streak = i, here, 0, 0
-        if here and here == s:
-            length += 1
-            streak += 1
-        elif length:
-            gaps += 1
-            if not here:
-                streak = 0 if gaps < 2 else streak
-            if gaps == 2:
-                if length >= min_size:
-                    found.append([start, i - 1, int(s)])
-                    i -= 1
-                else:
-                    i -= streak + 1
-                length, gaps = 0, 0
-            streak = 0
-        i += 1
-    return found
-
-
 def find_zscore_runs(profile: DataFrame, z_cut: float = 1.3, min_size: int = 5, mean: float | None = 0.0) -> DataFrame:
     """Runs on z-scored saliency per (seq, track): ``(seq, track, start, end, direction)``.
 
     With ``mean`` None the sequence's own mean and std are used, else the std around ``mean``.
+    A run is a stretch of one sign with one interruption by one position; it must be ended
+    inside the sequence by a second one.  A run with ``min_size`` members is kept and the next
+    one begins where it ended, else the next one begins behind the interruption.
     """
     keys = ["seq", "track"]
     if mean is None:
@@ -264,20 +237,36 @@ def find_zscore_runs(profile: DataFrame, z_cut: float = 1.3, min_size: int = 5,
         p = p.withColumn("__m", F.lit(float(mean)))
     z = F.try_divide(F.col("value") - F.col("__m"), F.col("__s"))
     p = p.select(*keys, "pos", z.alias("z"), "__len")
-    rows = _islands(p, 1, F.abs("z") >= z_cut)
-    packed = rows.groupBy(*keys, "island").agg(
-        F.sort_array(F.collect_list(F.struct("pos", F.signum("z").cast("int").alias("s")))).alias("r"), F.max("__len").alias("__len")
+    rows = _islands(p, 1, F.abs("z") >= z_cut).withColumn("s", F.signum("z").cast("int"))
+    # Blocks are unbroken positions of one sign, [b, f); with the block behind one interruption they end at e.
+    at = [*keys, "island"]
+    w = W.partitionBy(*at, "s").orderBy("pos")
+    blocks = rows.withColumn("__block", F.col("pos") - F.row_number().over(w)).groupBy(*at, "s", "__block").agg(
+        F.min("pos").cast("int").alias("b"), (F.max("pos") + 1).cast("int").alias("f"), F.max("__len").alias("__len")
     )
-    packed = packed.select(
-        *keys, F.col("r.pos").alias("p"), F.col("r.s").alias("s"), F.least(F.col("__len"), F.element_at("r", -1)["pos"] + 4).alias("stop")
+    order = W.partitionBy(*at).orderBy("b")
+    block = F.struct("b", "f", "s")
+    blocks = blocks.withColumn("__n1", F.lead(block, 1).over(order)).withColumn("__n2", F.lead(block, 2).over(order))
+    goes_on = lambda n: (F.col(f"{n}.b") == F.col("f") + 1) & (F.col(f"{n}.s") == F.col("s"))
+    e = F.when(goes_on("__n1"), F.col("__n1.f")).when(goes_on("__n2"), F.col("__n2.f")).otherwise(F.col("f") + 1)
+    blocks = blocks.withColumn("e", e.cast("int")).withColumn("closed", F.col("e") < F.col("__len"))
+    blocks = blocks.withColumn("reach", F.when(F.col("closed"), F.col("e")).otherwise(F.lit(_OPEN)))
+    parts = _apart(blocks, at, "b", "reach").groupBy(*at, "part").agg(
+        F.sort_array(F.collect_list(F.struct("b", "f", "e", "s", "closed"))).alias("blocks")
     )
 
-    @F.pandas_udf(_RUNS)
-    def read(p: pd.Series, s: pd.Series, stop: pd.Series) -> pd.Series:
-        return pd.Series([zscore_runs_in_island(a, b, int(c), min_size) for a, b, c in zip(p, s, stop)])
-
-    out = packed.select(*keys, F.explode(read("p", "s", "stop")).alias("x"))
-    return out.select(*keys, F.col("x")[0].alias("start"), F.col("x")[1].alias("end"), F.col("x")[2].alias("direction"))
+    def step(acc: Column, x: Column) -> Column:
+        start = F.greatest(x["b"], acc["t"])
+        long = x["e"] - 1 - start >= min_size
+        run = F.struct(start.alias("start"), (x["e"] - 1).alias("end"), x["s"].alias("direction"))
+        after = F.when(~x["closed"], F.lit(_OPEN)).when(long, x["e"]).otherwise(x["f"] + 1)
+        met = x["f"] > acc["t"]
+        more = F.when(met & long & x["closed"], F.concat(acc["runs"], F.array(run))).otherwise(acc["runs"])
+        return F.struct(F.when(met, after).otherwise(acc["t"]).alias("t"), more.alias("runs"))
+
+    none = F.array().cast("array<struct<start:int,end:int,direction:int>>")
+    runs = F.aggregate("blocks", F.struct(F.lit(-1).alias("t"), none.alias("runs")), step)["runs"]
+    return parts.select(*keys, F.inline(runs))
 
 
 # -------------------------------------------------------------------- seqlets

@@ -145,29 +145,70 @@ def test_run_rules(spark):
     assert runs(spark, [0, 0, 0], cut=1) == []
 
 
-def test_islands_equal_one_pass(spark, monkeypatch):
-    """Chunks of 16 positions against one pass over the whole sequence."""
+def runs_by_rule(v, mean, cut, gap, least):
+    """The rule position by position, one run after the other."""
+    found, t = [], 0
+    while strong := [i for i in range(t, len(v)) if abs(v[i]) > cut]:
+        s = np.sign(v[strong[0]])
+        members = [i for i in strong if v[i] * s > 0]
+        breaks = [i for i in range(strong[0], len(v)) if i not in members and s * mean[i] < cut]
+        run = members[:1]
+        for q in members[1:]:
+            if sum(run[-1] < b < q for b in breaks) > gap:
+                break
+            run.append(q)
+        if len(run) >= least:
+            found.append(run)
+        behind = [b for b in breaks if b > run[-1]]
+        if len(behind) <= gap:
+            break
+        t = behind[gap] - gap
+    return found
+
+
+def zscore_runs_by_rule(sign, least):
+    found, t = [], 0
+    while strong := [i for i in range(t, len(sign)) if sign[i]]:
+        start = strong[0]
+        others = [i for i in range(start, len(sign)) if sign[i] != sign[start]]
+        if len(others) < 2:
+            break
+        one, end = others[:2]
+        long = end - 1 - start >= least
+        if long:
+            found.append([start, end - 1, sign[start]])
+        t = end if long else one + 1
+    return found
+
+
+def test_motif_runs_equal_the_rule(spark, monkeypatch):
+    """Chunks of 16 positions, smooth and rough profiles with overlapping signs."""
     monkeypatch.setattr(A, "CHUNK", 16)
     rng = np.random.default_rng(2)
     seqs = {f"s{i}": np.round(np.convolve(rng.normal(size=220), np.ones(3), "valid"), 3) for i in range(6)}
-    for gap, smooth in ((1, True), (2, True), (1, False), (0, False)):
+    seqs |= {f"r{i}": np.round(rng.normal(size=90) * 2, 3) for i in range(6)}
+    total = 0
+    for gap, smooth in ((1, True), (2, True), (4, True), (1, False), (0, False)):
         got = A.find_motif_runs(profile(spark, seqs), 1.2, gap, 3, smooth).toPandas()
         for k, v in seqs.items():
             h = gap if smooth else 0
             mean = [v[max(0, i - h) : i + h + 1].mean() for i in range(len(v))]
-            want = A.runs_in_island(list(range(len(v))), list(v), mean, len(v), 1.2, gap, 3)
+            want = runs_by_rule(v, mean, 1.2, gap, 3)
+            total += len(want)
             assert sorted(list(p) for p in got[got.seq == k]["positions"]) == sorted(want)
+    assert total > 100
 
 
-def test_zscore_islands_equal_one_pass(spark, monkeypatch):
+def test_zscore_runs_equal_the_rule(spark, monkeypatch):
     monkeypatch.setattr(A, "CHUNK", 16)
     rng = np.random.default_rng(4)
-    v = np.convolve(rng.normal(size=300), np.ones(4), "valid")
-    got = A.find_zscore_runs(profile(spark, {"s": v}), 1.0, 3).collect()
-    z = v / np.sqrt((v**2).mean())
-    pos = [i for i in range(len(z)) if abs(z[i]) >= 1.0]
-    want = A.zscore_runs_in_island(pos, [int(np.sign(z[i])) for i in pos], len(z), 3)
-    assert sorted([r["start"], r["end"], r["direction"]] for r in got) == sorted(want)
+    seqs = {f"s{i}": np.convolve(rng.normal(size=300), np.ones(4), "valid") for i in range(4)} | {"r": rng.normal(size=200)}
+    got = A.find_zscore_runs(profile(spark, seqs), 1.0, 3).toPandas()
+    for k, v in seqs.items():
+        z = v / np.sqrt((v**2).mean())
+        want = zscore_runs_by_rule([int(np.sign(x)) if abs(x) >= 1.0 else 0 for x in z], 3)
+        mine = got[got.seq == k][["start", "end", "direction"]].to_numpy().tolist()
+        assert sorted(mine) == sorted(want) and want
 
 
 def test_seqlets(spark):
