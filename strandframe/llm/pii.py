@@ -1,7 +1,7 @@
 """Personal data and the terms that give it away.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers.  For every
-such value (the protected entity) the corpus tells how much a term of the same line
+such value (the protected entity) the corpus tells how much a term of the same document
 reveals it: the pointwise mutual information of term and entity against the entity's own
 information content.  Terms over the disclosure threshold are spans too; a term that
 occurs with that entity only is removed, any other is generalised to its kind of word.
@@ -93,33 +93,55 @@ def terms_of(text: Column) -> Column:
     return F.filter(runs, lambda w: w.rlike(r"\p{L}"))
 
 
-def contexts(texts: DataFrame) -> DataFrame:
-    """``id, h, entity, term, line``: terms on the line of an entity, once per document, entity and term."""
-    spans = settled(texts.withColumn("spans", base_spans(F.col("t")))).where(F.size("spans") > 0)
-    before = F.substring(F.col("t"), F.lit(1), F.col("span")["start"])
-    line = F.element_at(F.split("t", "\n"), F.length(before) - F.length(F.replace(before, F.lit("\n"))) + 1)
-    lines = (
-        spans.select("id", "h", "t", F.explode("spans").alias("span"))
-        .select("id", "h", F.lower(F.col("span")["value"]).alias("entity"), line.alias("line"))
-        .select("id", "h", "entity", F.xxhash64("line").alias("line"), F.explode(terms_of(F.replace(F.lower("line"), F.col("entity"), F.lit(" ")))).alias("term"))
+def outside_of(text: Column, spans: Column) -> Column:
+    """The text with a blank for each span, also where spans overlap."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        gap = F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], F.array(gap)).alias("out"))
+
+    return F.aggregate(spans, start, step, lambda a: F.concat_ws(" ", a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+
+
+def with_terms(texts: DataFrame) -> DataFrame:
+    """``id, h, entities, terms`` per row: its distinct values and the distinct terms outside of them."""
+    spans = settled(texts.withColumn("spans", base_spans(F.col("t"))))
+    entities = F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"])))
+    rest = F.when(F.size("spans") > 0, outside_of(F.col("t"), F.col("spans"))).otherwise(F.col("t"))
+    return spans.select("id", "h", entities.alias("entities"), terms_of(rest).alias("terms"))
+
+
+def contexts(rows: DataFrame, min_support: int) -> tuple[DataFrame, DataFrame]:
+    """``entity, n_e`` of the entities in ``min_support`` different texts or more, and ``id, h, terms, known`` of the rows with any of these.
+
+    No other entity can meet a term in so many texts, so its pairs are not made.
+    """
+    single = rows.select("id", "h", F.explode("entities").alias("entity"))
+    n_e = single.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.count_distinct("h").alias("texts"))
+    n_e = n_e.where(F.col("texts") >= min_support).select("entity", "n_e")
+    known = (
+        single.join(n_e.select("entity"), "entity")
+        .groupBy(F.col("id").alias("_id"), F.col("h").alias("_h"))
+        .agg(F.collect_set("entity").alias("known"))
     )
-    return lines.groupBy("id", "h", "entity", "term").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("n"))
+    met = rows.join(known, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
+    return n_e, met.select("id", "h", "terms", "known")
 
 
-def disclosing_terms(texts: DataFrame, seen: DataFrame, alpha: float, min_support: int) -> DataFrame:
+def disclosing_terms(texts: DataFrame, n_e: DataFrame, seen: DataFrame, alpha: float, min_support: int) -> DataFrame:
     """``entity, term, sole``: terms whose information about the entity is at least ``alpha`` of the entity's own.
 
-    With N documents, n_e with the entity, n_t with the term and n_et with both on one
-    line, the term is taken when log2(N n_et / (n_e n_t)) >= alpha log2(N / n_e) and the
-    two meet on ``min_support`` different lines or more, so that copies prove nothing.
+    With N documents, n_e with the entity, n_t with the term outside of base spans and
+    n_et with both, the term is taken when log2(N n_et / (n_e n_t)) >= alpha log2(N / n_e)
+    and the two meet in ``min_support`` different texts or more, so that copies prove nothing.
     """
     joint = (
         seen.groupBy("entity", "term")
-        .agg(F.count(F.lit(1)).alias("n_et"), F.count_distinct("line").alias("support"))
+        .agg(F.count(F.lit(1)).alias("n_et"), F.count_distinct("h").alias("support"))
         .where(F.col("support") >= min_support)
     )
-    n_e = seen.groupBy("entity", "id", "h").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    n_t = texts.select(F.explode(terms_of(F.col("t"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    n_t = with_terms(texts).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     total = texts.agg(F.count(F.lit(1)).alias("n"))
     n = F.col("n").cast("double")
     information = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
@@ -156,8 +178,10 @@ def sanitise(docs: DataFrame, alpha: float = 0.9, min_support: int = 3, id_col:
     """
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
     texts = base.withColumn("h", F.xxhash64("t"))
-    seen = stored(contexts(texts), "entity-terms")
-    found = disclosing_terms(texts, seen, alpha, min_support)
+    rows = stored(with_terms(texts).where(F.size("entities") > 0), "entity-rows")
+    n_e, met = contexts(rows, min_support)
+    seen = stored(met, "entity-terms").select("id", "h", F.explode("known").alias("entity"), "terms").select("id", "h", "entity", F.explode("terms").alias("term"))
+    found = disclosing_terms(texts, n_e, seen, alpha, min_support)
     per_text = (
         seen.join(found, ["entity", "term"])
         .groupBy("id", "h")

@@ -134,6 +134,27 @@ def test_disclosing_terms(spark):
     assert sanitise(docs_of(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_disclosing_terms_of_repeated_and_neighbouring_lines(spark):
+    words = [f"w{k}x w{k}y w{k}z" for k in range(200)]
+    contact = [f"{w} alpha\nContact John Smith at john@x.com\n{w} beta" for w in words[:5]]
+    above = [f"{w} alpha\nMary Jones\nSales\n\nmary@y.com" for w in words[5:10]]
+    bare = ["zoe@z.com"] * 2 + [f"Zoe {w}\nzoe@z.com" for w in words[10:13]]
+    copies = [f"{words[13]} Unique Person\nsole@q.com"] * 6
+    plain = [f"{w} alpha beta contact at sales" for w in words[20:]]
+    rows = [*contact, *above, *bare, *copies, *plain]
+    got = {r.doc_id: {s.value for s in r.spans if s.kind == "term"} for r in sanitise(docs_of(spark, rows)).collect()}
+    assert all(got[i] == {"John", "Smith"} for i in range(5))
+    assert all(got[i] == {"Mary", "Jones"} for i in range(5, 10))
+    assert got[10] == got[11] == set() and all(got[i] == {"Zoe"} for i in range(12, 15))
+    assert not any(got[i] for i in range(15, len(rows)))
+
+
+def test_an_entity_without_terms_counts(spark):
+    # 36 of the 40 documents with the address hold nothing else; counted as 4, the address would be given away by Quill.
+    rows = [f"Quill w{k}x q@q.com" for k in range(4)] + ["q@q.com"] * 36 + ["Quill w4x"] + [f"v{k}x" for k in range(59)]
+    assert not any(s.kind == "term" for r in sanitise(docs_of(spark, rows)).collect() for s in r.spans)
+
+
 # ---- chat formatting
 
 
