@@ -103,6 +103,9 @@ def hash_words(tokens: list[bytes], known: dict[bytes, int]) -> np.ndarray:
     return np.array([known[t] for t in tokens], np.uint64)
 
 
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Bits of a 64-bit hash spread over the whole word."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -110,10 +113,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every window of ``size`` consecutive word hashes."""
+def window_sums(h: np.ndarray, size: int) -> np.ndarray:
+    """Sum per window of ``size`` consecutive word hashes: the hash at place k times STEP to the power size - 1 - k."""
     n = len(h) - size + 1
     acc = np.zeros(max(n, 0), np.uint64)
     for k in range(size):
-        acc = acc * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(acc)]
-    return mix(acc)
+        acc = acc * STEP + h[k : k + len(acc)]
+    return acc
+
+
+def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every window of ``size`` consecutive word hashes."""
+    return mix(window_sums(h, size))

@@ -1,9 +1,10 @@
 """Benchmark items inside documents, also with other numbers, names and units.
 
-Texts become templates: numbers, names inside a sentence and units are typed
-placeholders.  Hashes of template windows are joined; matches of one document and item
-on neighbouring diagonals are put together, and the values in their placeholders must
-translate one to one from item to document.
+Texts become templates: numbers and units are typed placeholders.  A capitalised word
+may be a name, also where it begins a sentence, or a word to be met as it is, so a
+window has a hash for each choice.  Hashes of template windows are joined; matches of
+one document and item on neighbouring diagonals are put together, and the values in
+their placeholders must translate one to one from item to document.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import key_filter, may_hold, stored, text_of, window_hashes
+from strandframe.llm.common import STEP, key_filter, may_hold, mix, stored, text_of, window_sums
 
 TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,]\d+)*|[.!?:\n]|[%$€£]")
 PLAIN, NUMBER, NAME, END, UNIT, SIGN = range(6)
@@ -30,6 +31,8 @@ UNITS = set(
     "month months year years s min h dollar dollars cent cents euro euros pound pounds percent degree degrees volt volts watt watts joule joules".split()
 )
 KINDS = np.uint64(7)
+INSIDE, FIRST = 1, 2  # a capitalised word inside a sentence and at its start
+CHUNK = 1 << 14  # windows whose choices are held at once
 _tokens: dict[str, int] = {}
 
 
@@ -50,11 +53,10 @@ def _coded(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token.lower().encode("utf-8", "surrogatepass")) & ~7 | kind
 
 
-def template(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Tokens, their literal hashes, and their placeholder kind (0: plain).
+def template(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, their literal hashes, their placeholder kind (0: none), and whether they may be a name (0: no, INSIDE, FIRST).
 
-    A capitalised word is a name unless it begins a sentence; a unit needs a number
-    before it, a currency or percent sign always is one.
+    A unit needs a number before it, a currency or percent sign always is one.
     """
     tokens = TOKEN.findall(text)
     if len(_tokens) > 1_000_000:
@@ -74,54 +76,83 @@ def template(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     before = np.zeros(len(kind), np.uint8)
     before[1:] = kind[:-1]
     slot = kind.copy()
-    slot[(kind == NAME) & first] = PLAIN
+    slot[kind == NAME] = PLAIN
     slot[(kind == UNIT) & (before != NUMBER)] = PLAIN
     slot[kind == SIGN] = UNIT
-    return [t for t, w in zip(tokens, word) if w], codes, slot
+    name = np.where(kind == NAME, np.where(first, FIRST, INSIDE), 0).astype(np.uint8)
+    return [t for t, w in zip(tokens, word) if w], codes, slot, name
 
 
-def template_windows(codes: np.ndarray, slot: np.ndarray, size: int) -> np.ndarray:
-    """Hash per window: of the template, or of the literal tokens where fewer than half of them are plain."""
-    if len(codes) < size:
-        return np.empty(0, np.int64)
-    holes = np.where(slot > 0, slot.astype(np.uint64), codes)
-    plain = np.convolve(slot == 0, np.ones(size, np.int64), "valid")
-    mixed = np.where(2 * plain >= size, window_hashes(holes, size), window_hashes(codes, size) ^ np.uint64(size))
-    return mixed.astype(np.int64)
+def template_windows(codes: np.ndarray, slot: np.ndarray, name: np.ndarray, width: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(starts, choices, hashes)``: one hash per window and choice of the words taken as names, these as bits from the start.
+
+    Half of the words of a window stay plain at least, and half of ``size`` where a sentence
+    start is taken as a name.  A window with more numbers and units has the hash of its literal tokens.
+    """
+    n = len(codes) - width + 1
+    if n <= 0:
+        return
+    sums = window_sums(np.where(slot > 0, slot.astype(np.uint64), codes), width)
+    literal = window_sums(codes, width)
+    holes = np.convolve(slot > 0, np.ones(width, np.int64), "valid")
+    power = [np.uint64(pow(int(STEP), width - 1 - k, 1 << 64)) for k in range(width)]
+    change = np.uint64(NAME) - codes
+    for lo in range(0, n, CHUNK):
+        at = np.arange(lo, min(n, lo + CHUNK))
+        dense = 2 * holes[at] > width
+        if dense.any():
+            yield at[dense], np.zeros(int(dense.sum()), np.int64), (mix(literal[at[dense]]) ^ np.uint64(width)).astype(np.int64)
+        at = at[~dense]
+        acc, plain, bits, starts = sums[at], width - holes[at], np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+        for k in range(width):
+            begins = starts | (name[at + k] == FIRST)
+            more = np.flatnonzero((name[at + k] > 0) & (2 * (plain - 1) >= np.where(begins, size, width)))
+            if len(more):
+                acc = np.concatenate([acc, acc[more] + change[at[more] + k] * power[k]])
+                plain = np.concatenate([plain, plain[more] - 1])
+                bits = np.concatenate([bits, bits[more] | 1 << k])
+                starts = np.concatenate([starts, begins[more]])
+                at = np.concatenate([at, at[more]])
+        yield at, bits, mix(acc).astype(np.int64)
 
 
 def item_windows(benchmark: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``item, n_windows, width, p, w, slots`` of every item; one shorter than ``size`` is a single window."""
+    """``item, n_windows, width, p, w, slots, same`` of every item, place and choice of names; one shorter than ``size`` is a single window."""
     picked = benchmark.select(F.col(id_col).alias("item"), text_of(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out = [], defaultdict(list)
             for i, text in enumerate(batch.column("t").to_pylist()):
-                tokens, codes, slot = template(text)
+                tokens, codes, slot, name = template(text)
                 width = min(size, len(tokens))
                 if width == 0:
                     continue
-                hashes = template_windows(codes, slot, width)
-                for p, w in enumerate(hashes.tolist()):
-                    ids.append(i)
-                    for k, v in (("n", len(hashes)), ("width", width), ("p", p), ("w", w), ("slots", filled(tokens, slot, p, width))):
-                        out[k].append(v)
+                for found in template_windows(codes, slot, name, width, size):
+                    for p, bits, w in zip(*(x.tolist() for x in found)):
+                        ids.append(i)
+                        for k, v in (("n", len(tokens) - width + 1), ("width", width), ("p", p), ("w", w), ("slots", filled(tokens, slot, p, width, bits)), ("same", as_is(tokens, name, p, width, bits))):
+                            out[k].append(v)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("item").take(pa.array(ids, pa.int64())), pa.array(out["n"], pa.int32()), pa.array(out["width"], pa.int32()),
-                 pa.array(out["p"], pa.int32()), pa.array(out["w"], pa.int64()), pa.array(out["slots"], pa.list_(pa.string()))],
-                names=["item", "n_windows", "width", "p", "w", "slots"],
+                 pa.array(out["p"], pa.int32()), pa.array(out["w"], pa.int64()), pa.array(out["slots"], pa.list_(pa.string())), pa.array(out["same"], pa.list_(pa.string()))],
+                names=["item", "n_windows", "width", "p", "w", "slots", "same"],
             )
 
-    return picked.mapInArrow(run, f"item {picked.schema['item'].dataType.simpleString()}, n_windows int, width int, p int, w long, slots array<string>")
+    return picked.mapInArrow(run, f"item {picked.schema['item'].dataType.simpleString()}, n_windows int, width int, p int, w long, slots array<string>, same array<string>")
+
+
+def as_is(tokens: list[str], name: np.ndarray, at: int, width: int, bits: int) -> list[str]:
+    """Possible names of a window that are met as they are; they translate to themselves."""
+    return [tokens[k].lower() for k in range(at, at + width) if name[k] and not bits >> (k - at) & 1]
 
 
-def filled(tokens: list[str], slot: np.ndarray, at: int, width: int) -> list[str]:
-    """``place=value`` of the placeholders in a window."""
-    return [f"{k}={tokens[k].lower()}" for k in range(at, at + width) if slot[k]]
+def filled(tokens: list[str], slot: np.ndarray, at: int, width: int, bits: int) -> list[str]:
+    """``place=value`` of the placeholders in a window; ``bits`` are the words taken as names."""
+    return [f"{k}={tokens[k].lower()}" for k in range(at, at + width) if slot[k] or bits >> (k - at) & 1]
 
 
-def document_windows(docs: DataFrame, widths: list[int], bits: bytes, id_col: str, text_col: str) -> DataFrame:
+def document_windows(docs: DataFrame, widths: list[int], size: int, bits: bytes, id_col: str, text_col: str) -> DataFrame:
     """``id, h, q, w, slots`` of the windows that pass the filter; ``h`` tells texts of one id apart."""
     picked = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), text_of(text_col).alias("t"))
     sent = docs.sparkSession.sparkContext.broadcast(bits)
@@ -131,14 +162,15 @@ def document_windows(docs: DataFrame, widths: list[int], bits: bytes, id_col: st
         for batch in batches:
             rows, qs, ws, slots = [], [], [], []
             for i, text in enumerate(batch.column("t").to_pylist()):
-                tokens, codes, slot = template(text)
+                tokens, codes, slot, name = template(text)
                 for width in widths:
-                    hashes = template_windows(codes, slot, width)
-                    for q in np.flatnonzero(may_hold(bitmap, hashes)).tolist():
-                        rows.append(i)
-                        qs.append(q)
-                        ws.append(int(hashes[q]))
-                        slots.append(filled(tokens, slot, q, width))
+                    for found in template_windows(codes, slot, name, width, size):
+                        held = np.flatnonzero(may_hold(bitmap, found[2]))
+                        for q, chosen, w in zip(*(x[held].tolist() for x in found)):
+                            rows.append(i)
+                            qs.append(q)
+                            ws.append(w)
+                            slots.append(filled(tokens, slot, q, width, chosen))
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(at), batch.column("h").take(at), pa.array(qs, pa.int32()), pa.array(ws, pa.int64()), pa.array(slots, pa.list_(pa.string()))],
@@ -152,23 +184,29 @@ def judge(hits: list[dict], n_windows: int, width: int, slack: int) -> tuple[int
     """(item windows found, longest run in words, placeholders compared, placeholders changed) of the best place.
 
     Hits on one diagonal are one place; a place counts as far as its values translate
-    one to one, and takes in others no more than ``slack`` words apart.
+    one to one, and takes in others no more than ``slack`` words apart.  Of the choices of
+    names in a window the one with most names that do is used.
     """
-    places: dict[int, dict[int, tuple]] = defaultdict(dict)
+    places: dict[int, dict[int, list[tuple]]] = defaultdict(lambda: defaultdict(list))
     for h in hits:
-        places[h["q"] - h["p"]][h["p"]] = (h["item_slots"], h["doc_slots"])
+        places[h["q"] - h["p"]][h["p"]].append((list(h["item_slots"]), list(h["doc_slots"]), list(h["same"])))
     sound: dict[int, tuple[set[int], set, set]] = {}
     for d, found in places.items():
         there, back, kept, slots, changed = {}, {}, set(), set(), set()
         for p in sorted(found):
-            pairs = [(a.split("=", 1), b.split("=", 1)[1]) for a, b in zip(*found[p])]
-            if all(there.get(a, b) == b and back.get(b, a) == a for (_, a), b in pairs):
-                for (k, a), b in pairs:
-                    there[a], back[b] = b, a
-                    slots.add(k)
-                    if a != b:
-                        changed.add(k)
-                kept.add(p)
+            for choice in sorted(found[p], key=lambda c: (-len(c[0]), c)):
+                pairs = [(a.split("=", 1), b.split("=", 1)[1]) for a, b in zip(*choice[:2])]
+                own = set(choice[2])
+                every = [(a, b) for (_, a), b in pairs] + [(a, a) for a in own]
+                if all(there.get(a, b) == b and back.get(b, a) == a and (a == b or not own & {a, b}) for a, b in every):
+                    for a, b in every:
+                        there[a], back[b] = b, a
+                    for (k, a), b in pairs:
+                        slots.add(k)
+                        if a != b:
+                            changed.add(k)
+                    kept.add(p)
+                    break
         sound[d] = (kept, slots, changed)
     best = (0, 0, 0, 0)
     for d in sorted(sound):
@@ -204,12 +242,12 @@ def contaminated(
     """
     items = stored(item_windows(benchmark, size, item_col, item_text_col), "item-windows")
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most ``size`` values
-    hits = document_windows(docs, widths, key_filter(items, "w"), id_col, text_col)
+    hits = document_windows(docs, widths, size, key_filter(items, "w"), id_col, text_col)
     met = hits.withColumnRenamed("slots", "doc_slots").join(items.withColumnRenamed("slots", "item_slots"), "w")
     pairs = (
         met.where(F.size("doc_slots") == F.size("item_slots"))
         .groupBy(F.struct("id", "h", "item", "n_windows", "width").alias("key"))
-        .agg(F.collect_set(F.struct("p", "q", "item_slots", "doc_slots")).alias("hits"))
+        .agg(F.collect_set(F.struct("p", "q", "item_slots", "doc_slots", "same")).alias("hits"))
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

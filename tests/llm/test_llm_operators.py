@@ -279,6 +279,19 @@ def test_contamination(spark):
     assert contaminated(docs_of(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_contamination_with_names_at_sentence_starts(spark):
+    item = "Tom has 5 red apples. Mary has 3 green apples. Peter gives 2 pears to Tom and Anna eats 4 apples. How many apples are left?"
+    names = {"Tom": "Lukas", "Mary": "Ida", "Peter": "Olga", "Anna": "Bruno", "5": "15", "3": "13", "2": "7", "4": "6"}
+    other = re.sub(r"\w+", lambda m: names.get(m[0], m[0]), item)
+    story = "If Anna buys pears and later Peter sells them to Clara how much does Anna earn in the end today"
+    bench = spark.createDataFrame([(1, item), (2, story), (3, "Nice item")], "item_id long, text string")
+    texts = [other, other.replace(".", ""), item.lower(), story.lower(), story, "Other item. " + LONG, "Ida has red hair. " + LONG]
+    got = {(r.doc_id, r.item_id): r for r in contaminated(docs_of(spark, texts), bench).collect()}
+    assert set(got) == {(0, 1), (1, 1), (2, 1), (3, 2), (4, 2)}
+    assert all(r.coverage == 1 for r in got.values())
+    assert not got[0, 1].verbatim and got[2, 1].verbatim and got[3, 2].verbatim
+
+
 # ---- language model
 
 
