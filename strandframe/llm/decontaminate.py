@@ -180,8 +180,8 @@ def document_windows(docs: DataFrame, widths: list[int], size: int, bits: bytes,
     return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, h long, q int, w long, slots array<string>")
 
 
-def judge(hits: list[dict], n_windows: int, width: int, slack: int) -> tuple[int, int, int, int]:
-    """(item windows found, longest run in words, placeholders compared, placeholders changed) of the best place.
+def judge(hits: list[dict], n_windows: int, width: int, slack: int, min_coverage: float, min_run: int) -> tuple[int, int, int, int]:
+    """(item windows found, longest run in words, placeholders compared, placeholders changed) of the best place that passes a limit.
 
     Hits on one diagonal are one place; a place counts as far as its values translate
     one to one, and takes in others no more than ``slack`` words apart.  Of the choices of
@@ -217,7 +217,8 @@ def judge(hits: list[dict], n_windows: int, width: int, slack: int) -> tuple[int
             run = run + 1 if p in found else 0
             longest = max(longest, run)
         words = longest + width - 1 if longest else 0
-        best = max(best, (len(found), words, len(set().union(*(v[1] for v in near))), len(set().union(*(v[2] for v in near)))))
+        if len(found) / n_windows >= min_coverage or words >= min_run:
+            best = max(best, (len(found), words, len(set().union(*(v[1] for v in near))), len(set().union(*(v[2] for v in near)))))
     return best
 
 
@@ -252,7 +253,7 @@ def contaminated(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(k, *judge(hs, k["n_windows"], k["width"], size)) for k, hs in zip(batch["key"], batch["hits"])]
+            out = [(k, *judge(hs, k["n_windows"], k["width"], size, min_coverage, min_run)) for k, hs in zip(batch["key"], batch["hits"])]
             yield pd.DataFrame(out, columns=["key", "n_found", "longest_run", "n_slots", "n_changed"])
 
     judged = pairs.mapInPandas(run, f"key {pairs.schema['key'].dataType.simpleString()}, n_found long, longest_run long, n_slots long, n_changed long")

@@ -292,6 +292,17 @@ def test_contamination_with_names_at_sentence_starts(spark):
     assert not got[0, 1].verbatim and got[2, 1].verbatim and got[3, 2].verbatim
 
 
+def test_contamination_by_a_run_beside_a_place_with_more_windows(spark):
+    words = [f"item{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
+    scattered = [w if k not in (10, 21) else "other" for k, w in enumerate(words[:32])]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    run, more = " ".join(words[:13]), " ".join(scattered)
+    texts = [f"{run} {LONG} {more}", run, more]
+    got = {r.doc_id: r for r in contaminated(docs_of(spark, texts), bench).collect()}
+    assert set(got) == {0, 1}
+    assert (got[0].n_found, got[0].longest_run) == (6, 13)
+
+
 # ---- language model
 
 
