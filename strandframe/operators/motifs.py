@@ -206,31 +206,32 @@ def pwm_scan(
 ) -> DataFrame:
     """Motif score at every start, pooled by window: ``(name, motif, window, score)``.
 
-    The last partial window is scored.  ``maxscale`` divides by the motif's largest pooled score.
+    Every motif is scored at its own length, at all starts where it fits; a sequence has no row
+    for a motif longer than itself.  The last partial window is scored.  ``maxscale`` divides by the motif's largest pooled score.
     """
     ref = motif_rows(motifs)
-    target = ref.agg(F.max(F.size("m"))).first()[0] or 1
     mean = pooling == "Mean"
 
     def compare(part: pd.DataFrame, bank_rows: pd.DataFrame) -> pd.DataFrame:
-        names, bank = _kernel_bank(bank_rows, target)
+        banks = [_kernel_bank(rows, k) for k, rows in bank_rows.groupby(bank_rows["m"].map(len)) if k]
         out_n, out_m, out_w, out_s = [], [], [], []
         for name, seq in zip(part["name"], part["seq"]):
-            if len(seq) < target:
-                continue
-            sc = _scores(seq, bank)
-            n = sc.shape[1]
-            size = min(pool_size or n, n)
-            step = pool_step or size
-            starts = list(range(0, max(n - size, 0) + 1, step))
-            if starts[-1] + size < n:
-                starts.append(starts[-1] + step)
-            for w, lo in enumerate(starts):
-                block = sc[:, lo : lo + size]
-                out_s.append(block.mean(axis=1) if mean else block.max(axis=1))
-                out_n.extend([name] * len(names))
-                out_m.extend(names)
-                out_w.extend([w] * len(names))
+            for names, bank in banks:
+                if len(seq) < bank.shape[1]:
+                    continue
+                sc = _scores(seq, bank)
+                n = sc.shape[1]
+                size = min(pool_size or n, n)
+                step = pool_step or size
+                starts = list(range(0, max(n - size, 0) + 1, step))
+                if starts[-1] + size < n:
+                    starts.append(starts[-1] + step)
+                for w, lo in enumerate(starts):
+                    block = sc[:, lo : lo + size]
+                    out_s.append(block.mean(axis=1) if mean else block.max(axis=1))
+                    out_n.extend([name] * len(names))
+                    out_m.extend(names)
+                    out_w.extend([w] * len(names))
         if not out_s:
             return pd.DataFrame({"name": [], "motif": [], "window": [], "score": []})
         return pd.DataFrame({"name": out_n, "motif": out_m, "window": out_w, "score": np.concatenate(out_s)})
@@ -258,23 +259,27 @@ ACTIVATIONS = {
 def kernel_activation(seqlets: DataFrame, kernels: DataFrame, bias: DataFrame | None = None, activation: str = "none") -> DataFrame:
     """Dot product of kernel and seqlet plus bias, then the activation: ``(seqlet, motif, act)``.
 
-    Every seqlet has the kernel's length (others are left out).  The products run on letter codes in
+    Kernel and seqlet of different lengths are laid centre on centre; what lies outside of either
+    adds nothing.  The products run on letter codes in
     Arrow batches, so a seqlet is never exploded into one row per base and kernel.
     """
     ref = motif_rows(kernels)
     target = ref.agg(F.max(F.size("m"))).first()[0] or 1
 
     def compare(part: pd.DataFrame, bank_rows: pd.DataFrame) -> pd.DataFrame:
-        part = part[part["seqlet"].str.len() == target]
-        if not len(part):
-            return pd.DataFrame()
-        names, bank = _kernel_bank(bank_rows, target)
-        text = "".join(part["seqlet"]).encode("ascii", "replace")
-        codes = _CODE[np.frombuffer(text, dtype=np.uint8)].reshape(len(part), target)
-        act = np.zeros((len(names), len(part)))
-        for j in range(target):
-            act += bank[:, j, codes[:, j]]
-        return pd.DataFrame({"seqlet": np.repeat(part["seqlet"].to_numpy(), len(names)), "motif": names * len(part), "act": act.T.ravel()})
+        out = []
+        for length, same in part.groupby(part["seqlet"].str.len()):
+            width = max(int(length), target)
+            names, bank = _kernel_bank(bank_rows, width)
+            text = "".join(same["seqlet"]).encode("ascii", "replace")
+            codes = np.full((len(same), width), 4)
+            at = (width - int(length)) // 2
+            codes[:, at : at + int(length)] = _CODE[np.frombuffer(text, dtype=np.uint8)].reshape(len(same), int(length))
+            act = np.zeros((len(names), len(same)))
+            for j in range(width):
+                act += bank[:, j, codes[:, j]]
+            out.append(pd.DataFrame({"seqlet": np.repeat(same["seqlet"].to_numpy(), len(names)), "motif": names * len(same), "act": act.T.ravel()}))
+        return pd.concat(out) if out else pd.DataFrame()
 
     act = against_reference(
         seqlets.select("seqlet"), ref, compare, "seqlet string, motif string, act double", "seqlet", "motif", bound=4_000, batch=4_096

@@ -95,6 +95,16 @@ def test_pwm_scan_partial_window(spark):
     assert got == {0: 3.0, 1: 0.0}
 
 
+def test_motifs_of_other_lengths(spark):
+    bank = long(spark, {"two": np.array([[1.0, 0, 0, 0], [0, 2.0, 0, 0]]), "five": np.eye(4)[[0, 1, 2, 3, 0]]})
+    seqs = spark.createDataFrame([("short", "GAC"), ("long", "ACGTAC"), ("tiny", "A")], "name string, seq string")
+    got = {(r["name"], r["motif"]): r["score"] for r in M.pwm_scan(seqs, bank).collect()}
+    assert got == {("short", "two"): 3.0, ("long", "two"): 3.0, ("long", "five"): 5.0}
+    seqlets = spark.createDataFrame([("ACGTA",), ("CGT",), ("TACGTAT",)], "seqlet string")
+    got = {(r["seqlet"], r["motif"]): r["act"] for r in M.kernel_activation(seqlets, bank).collect()}
+    assert len(got) == 6 and {k: v for k, v in got.items() if k[1] == "five"} == {("ACGTA", "five"): 5.0, ("CGT", "five"): 3.0, ("TACGTAT", "five"): 5.0}
+
+
 def test_consensus_of_shifted_copies(spark):
     core = np.eye(4)[[0, 1, 2, 3, 0, 1]]
     mats = {"a": core, "b": core[1:], "c": core[::-1, ::-1]}
