@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from strandframe.llm.common import settled, text_of, words
 
-# Place of a window in the text; the hash keeps the bits above it.
-PLACE_BITS = 24
-
 # Rule -> condition on the measurements under which a document fails. The order fixes the bits.
 RULES: dict[str, Column | str] = {
     "few_words": "n_words < 50",
@@ -44,26 +41,28 @@ def policy_mask(policy: str, policies: Mapping[str, tuple[str, ...]] = POLICIES)
 def repeated_window_words(w: Column, size: int = 3) -> Column:
     """Words inside windows of ``size`` words that occur twice or more in the array.
 
-    Window hashes carry their place in the low bits, so one sort of longs brings equal
-    windows together; neighbours with equal hashes are compared word by word.
+    One sort by hash, then by the words themselves, brings equal windows together,
+    whatever other windows share their hash.
     """
-    place = F.lit((1 << PLACE_BITS) - 1)
+    names = [f"w{k}" for k in range(size)]
     keys = F.sort_array(
         F.transform(
             F.sequence(F.lit(0), F.size(w) - size),
-            lambda i: F.shiftleft(F.xxhash64(*(w[i + k] for k in range(size))), PLACE_BITS).bitwiseOR(i.cast("long")),
+            lambda i: F.struct(
+                F.xxhash64(*(w[i + k] for k in range(size))).alias("h"), *(w[i + k].alias(n) for k, n in enumerate(names)), i.cast("long").alias("place")
+            ),
         )
     )
 
     def found_again(x: Column, y: Column) -> Column:
-        same = F.shiftright(x, PLACE_BITS) == F.shiftright(y, PLACE_BITS)
-        for k in range(size):
-            same = same & (w[x.bitwiseAND(place).cast("int") + k] == w[y.bitwiseAND(place).cast("int") + k])
+        same = x["h"] == y["h"]
+        for n in names:
+            same = same & (x[n] == y[n])
         return F.coalesce(same, F.lit(False))
 
     def repeats(s: Column) -> Column:
         hits = F.filter(s, lambda x, j: ((j > 0) & found_again(x, F.get(s, j - 1))) | found_again(x, F.get(s, j + 1)))
-        places = F.sort_array(F.transform(hits, lambda x: x.bitwiseAND(place)))
+        places = F.sort_array(F.transform(hits, lambda x: x["place"]))
         start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
         return F.aggregate(
             places,

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import Row
 
 import check
@@ -94,6 +95,21 @@ def test_ledger_counts_and_ablations(spark):
 # ---- personal data
 
 
+def test_repeated_windows_among_equal_hash_bits(spark):
+    # two windows whose hashes agree in the low 40 bits, the other one between two copies of the first
+    seed, known = xxhash.xxh64_intdigest(b"b", xxhash.xxh64_intdigest(b"a", 42)), {}
+    for k in range(8_000_000):
+        at = xxhash.xxh64_intdigest(b"%d" % k, seed) & ((1 << 40) - 1)
+        if at in known:
+            break
+        known[at] = k
+    x, y = known[at], k
+    assert x != y
+    texts = [f"a b {x} a b {y} a b {x}", f"a b {y} a b {x} a b {y}", f"a b {x} a b {y}"]
+    got = {r.doc_id: r.n_repeat_words for r in rule_ledger(docs_of(spark, texts)).collect()}
+    assert got == {0: 6, 1: 6, 2: 0}
+
+
 def base_spans(t):
     out = []
     kinds = [
