@@ -13,6 +13,7 @@ from strandframe.llm.chat_format import format_conversations, read_marked, unesc
 from strandframe.llm.common import shared_folder, table, text_of, words
 from strandframe.llm.html_text import extract_main_text
 from strandframe.llm.packing import pack
+from strandframe.llm.token_counts import count_tokens
 from strandframe.llm.token_file import read_token_files, write_token_files
 
 
@@ -60,3 +61,11 @@ def op8(spark, sf):
 @query("op9_html_text")
 def op9(spark, sf):
     return extract_main_text(table(spark, sf, "pages"))
+
+
+@query("op12_token_counts")
+def op12(spark, sf):
+    import public_tokenizers
+
+    counted = count_tokens(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
