@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from strandframe.llm.catalog import query
 from strandframe.llm.chat_format import format_conversations, read_marked, unescape
-from strandframe.llm.common import shared_folder, table, text_of, words
+from strandframe.llm.common import settled, shared_folder, table, text_of, words
 from strandframe.llm.html_text import extract_main_text
 from strandframe.llm.packing import pack
+from strandframe.llm.periodic_runs import periodic_runs
 from strandframe.llm.token_counts import count_tokens
 from strandframe.llm.token_file import read_token_files, write_token_files
 
@@ -69,3 +70,31 @@ def op12(spark, sf):
 
     counted = count_tokens(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+@query("op11_periodic_runs")
+def op11(spark, sf):
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    tiled = h % 10 == 0
+    docs = settled(table(spark, sf, "documents").select("doc_id", text_of("text").alias("text"), g.alias("g"), F.when(tiled, words(text_of("text"))).alias("w")))
+    n = F.size("w")
+    a = F.col("g") % n
+    parts = settled(docs.select("doc_id", "text", "w", a.alias("a"), (1 + F.floor((n - a) / (3 + F.col("g") % 8))).alias("p")))
+
+    def source(i):
+        return F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+
+    repeated = F.transform(F.sequence(F.lit(0).cast("long"), F.size("w") - F.lit(1).cast("long")), lambda i: F.get("w", source(i).cast("int")))
+    made = parts.select("doc_id", F.when(F.size("w") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+    found = periodic_runs(made)
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    better = lambda a, r: F.when(a.isNull() | (r["length"] * a["period"] > a["length"] * r["period"]), r).otherwise(a)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = settled(found.withColumn("best", F.aggregate("runs", none, better)))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.*",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
