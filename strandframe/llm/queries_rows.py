@@ -16,6 +16,7 @@ from strandframe.llm.packing import pack
 from strandframe.llm.periodic_runs import periodic_runs
 from strandframe.llm.token_counts import count_tokens
 from strandframe.llm.token_file import read_token_files, write_token_files
+from strandframe.llm.whitening import on_grid, whiten
 
 
 @query("op3_chat_format")
@@ -98,3 +99,8 @@ def op11(spark, sf):
         F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query("op13_embedding_whitening")
+def op13(spark, sf):
+    return whiten(on_grid(table(spark, sf, "embeddings")))
