@@ -8,11 +8,9 @@ rows of a Parquet table, so Spark's committer decides which task attempt counts.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,56 +20,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandframe.llm.common import shuffle_width, text_of
+from strandframe.llm.token_machine import machine, parted
 from strandframe.session import maybe_broadcast
 
 MAGIC = b"BPS1"
-# White space of the tokenizer's own splitting; a run of it and the run of other letters after it are encoded alone.
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-MARKS = ".,;:!?"
-# A plain word, the marks that end it, or else a whole run: always at a border of the tokenizer's own pieces.
-CHUNK = re.compile(
-    f" ?[{LETTERS}]+(?=[{MARKS}]*(?:[{SPACE}]|\\Z))|[{MARKS}]+(?=[{SPACE}]|\\Z)|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
-)
-CACHED = 400_000  # pieces in each of the two generations that a Python worker remembers; bounds memory only
-TOGETHER = 64  # texts encoded at a time
-
-_encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
-
-
-def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Texts to little-endian 32-bit ids for a byte-level BPE file of the tokenizers library.
-
-    Its splitting never joins letters across the start of a white-space run, nor a word
-    with the marks after it, so the ids of a text are those of its pieces one after the
-    other; known pieces are looked up.
-    """
-    if path not in _encoders:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        known: dict[str, bytes] = {}
-        older: dict[str, bytes] = {}
-
-        def encode(texts: list[str]) -> list[bytes]:
-            nonlocal known, older
-            pieces = [CHUNK.findall(t) for t in texts]
-            new = set().union(*pieces).difference(known)
-            if len(known) + len(new) > CACHED:
-                known, older = {}, known
-                new = set().union(*pieces)
-            for p in new.intersection(older):
-                known[p] = older[p]
-            rest = list(new.difference(older))
-            for p, e in zip(rest, tok.encode_batch_fast(rest, add_special_tokens=False)):
-                known[p] = array("I", e.ids).tobytes()
-            return [b"".join([known[p] for p in text]) for text in pieces]
-
-        _encoders[path] = encode
-    return _encoders[path]
 
 
 def to_planes(ids: np.ndarray, planes: str) -> list[bytes]:
@@ -153,43 +105,45 @@ def write_token_files(
     spark = docs.sparkSession
     ordered = keyed.withColumn("h", F.xxhash64("t")).repartitionByRange(shuffle_width(spark), "id", "h").sortWithinPartitions("id", "h")
     sized = ordered.select(F.spark_partition_id().alias("part"), "id", "t")
-    tail = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
-        part, segment, ids, parts, lengths, held = 0, 0, [], [], [], 0
-        id_kind = None
+        part, segment, held = 0, 0, 0
+        ids, parts, lengths = [], [], []
 
         def flush():
-            flat = np.frombuffer(b"".join(parts), "<u4")
+            flat, doc_ids, counts = np.concatenate(parts), pa.concat_arrays(ids), np.concatenate(lengths)
             payload = write_segment(flat, block, planes)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([ids], pa.list_(id_kind)),
-                    pa.array([lengths], pa.list_(pa.int64())), pa.array([len(flat)], pa.int64()), pa.array([payload], pa.binary()),
+                    pa.array([part], pa.int32()), pa.array([segment], pa.int32()), one_list(doc_ids), one_list(pa.array(counts, pa.int64())),
+                    pa.array([len(flat)], pa.int64()), pa.array([payload], pa.binary()),
                 ],
                 names=["part", "segment", "doc_ids", "lengths", "n_ids", "payload"],
             )
 
         for batch in batches:
-            id_kind = batch.schema.field("id").type
-            for at in range(0, batch.num_rows, TOGETHER):
-                some = batch.slice(at, TOGETHER)
-                part = some.column("part")[0].as_py()
-                for i, raw in zip(some.column("id").to_pylist(), encode(some.column("t").to_pylist())):
-                    ids.append(i)
-                    parts.append(raw + tail)
-                    lengths.append(len(raw) // 4 + 1)
-                    held += lengths[-1]
-                    if held >= segment_ids:
-                        yield flush()
-                        segment, ids, parts, lengths, held = segment + 1, [], [], [], 0
+            at = 0
+            for texts in parted(batch.column("t").cast(pa.string())):
+                flat, counts = machine(tokenizer).token_ids(texts)
+                part = batch.column("part")[0].as_py()
+                ids.append(batch.column("id").slice(at, len(texts)))
+                lengths.append(counts + 1)
+                parts.append(np.insert(flat, np.cumsum(counts), np.uint32(end_id)))
+                at, held = at + len(texts), held + len(parts[-1])
+                if held >= segment_ids:
+                    yield flush()
+                    segment, ids, parts, lengths, held = segment + 1, [], [], [], 0
         if ids:
             yield flush()
 
     sized.mapInArrow(run, SEGMENT.format(id=kind)).write.option("compression", "none").parquet(path)
 
 
+def one_list(values: pa.Array) -> pa.Array:
+    """A list array of one row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 def segment_starts(segments: DataFrame) -> DataFrame:
     """``part, segment, first``: ids before each segment, from totals per part and then inside the part."""
     counts = segments.select("part", "segment", "n_ids")

@@ -372,7 +372,7 @@ def test_token_files(spark, tmp_path):
     tok = Tokenizer.from_file(path)
     texts = [*ODD, "x<|endoftext|> y", "It's  a b\n\n c.́ 漢字 ½"]
     ids = [5, 3, None, 2, 1, 2, 9, 8, 7]
-    write_token_files(docs_of(spark, texts, ids), str(tmp_path / "t"), path, segment_ids=1000)
+    write_token_files(docs_of(spark, texts, ids), str(tmp_path / "t"), path, segment_ids=1000, block=700)
     got = read_token_files(spark, str(tmp_path / "t")).orderBy("start").collect()
     assert [r.doc_id for r in got] == sorted(ids, key=lambda i: -1 if i is None else i)
     want = Counter((i, struct.pack(f"<{len(e) + 1}I", *e, 2)) for i, e in zip(ids, (tok.encode(t or "", add_special_tokens=False).ids for t in texts)))
