@@ -2,9 +2,7 @@
 
 For single, complete and average linkage with a threshold no cluster crosses a
 connected component of the graph ``distance < threshold``.  Pairs are found block
-by block, components by iterative joins, and the exact linkage runs inside each
-component.  Above ``maxsize`` points per group a hashed sample is clustered and
-every other point is assigned to the nearest medoid, as the reference does.
+by block, components by iterative joins, and trees by rounds of merges (``linkage``).
 """
 
 from __future__ import annotations
@@ -16,67 +14,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandframe.operators.blocks import against_reference
+from strandframe.operators.distance import block_pairs, distances, near_pairs, stack
+from strandframe.operators.graph import connected_components
+from strandframe.operators.linkage import LOCAL, keyed_name, leaf_positions, lowest_merges, merge_table, plain_name, spanning_forest
 from strandframe.operators.matrix import signed_maxabs
 from strandframe.session import cut_lineage
 
 
-# ------------------------------------------------------------------ distances
-def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    """Distance matrix of two row blocks."""
-    if metric == "correlation":
-        a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
-    if metric in ("correlation", "cosine"):
-        na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-        a, b = a / np.where(na == 0, 1, na)[:, None], b / np.where(nb == 0, 1, nb)[:, None]
-        return 1 - a @ b.T
-    if metric == "euclidean":
-        d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
-        return np.sqrt(np.maximum(d, 0))
-    if metric == "cityblock":
-        return np.abs(a[:, None, :] - b[None, :, :]).sum(-1)
-    raise ValueError(metric)
-
-
-def _stack(col: pd.Series) -> np.ndarray:
-    return np.array([np.asarray(v, dtype=float) for v in col])
-
-
-def _block_pairs(points: DataFrame, block: int, both: bool):
-    """Both sides of every pair of blocks of a group, keyed for a co-group."""
-    n = points.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
-    p = points.join(n, "grp").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    first, last = (F.lit(0), F.col("nb") - 1) if both else (F.col("blk"), F.col("nb") - 1)
-    left = p.select("grp", "id", "vec", F.col("blk").alias("x"), F.explode(F.sequence(first, last)).alias("y"))
-    right = p.select(
-        F.col("grp").alias("rgrp"), F.col("id").alias("rid"), F.col("vec").alias("rvec"), F.col("blk").alias("ry"),
-        F.explode(F.sequence(F.lit(0), F.col("nb") - 1 if both else F.col("blk"))).alias("rx"),
-    )
-    return left.groupBy("grp", "x", "y").cogroup(right.groupBy("rgrp", "rx", "ry"))
-
-
-def near_pairs(points: DataFrame, metric: str, threshold: float, block: int = 2_000) -> DataFrame:
-    """Pairs ``(grp, a, b, dist)`` with ``a < b`` and distance under the threshold.
-
-    ``points`` is ``(grp, id, vec)``.  Each pair of blocks of a group is one unit of work, so a
-    large group is spread over many tasks and only close pairs leave them.
-    """
-
-    def pairs(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame()
-        d = distances(_stack(a["vec"]), _stack(b["rvec"]), metric)
-        i, j = np.nonzero(d < threshold)
-        ia, jb = a["id"].to_numpy()[i], b["rid"].to_numpy()[j]
-        if not len(ia):
-            return pd.DataFrame()
-        keep = ia < jb if key[1] == key[2] else ia != jb
-        lo, hi = np.where(ia[keep] < jb[keep], ia[keep], jb[keep]), np.where(ia[keep] < jb[keep], jb[keep], ia[keep])
-        out = pd.DataFrame({"grp": [key[0]] * len(lo), "a": lo, "b": hi, "dist": d[i, j][keep]})
-        return out if len(out) else pd.DataFrame()
-
-    return _block_pairs(points, block, False).applyInPandas(pairs, "grp string, a string, b string, dist double")
-
-
 def medoids(points: DataFrame, metric: str = "euclidean", block: int = 2_000) -> DataFrame:
     """Member with the least summed distance and its largest distance per group of ``(grp, id, vec)``.
 
@@ -87,182 +31,57 @@ def medoids(points: DataFrame, metric: str = "euclidean", block: int = 2_000) ->
     def sums(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame()
-        d = distances(_stack(a["vec"]), _stack(b["rvec"]), metric)
+        d = distances(stack(a["vec"]), stack(b["rvec"]), metric)
         d[a["id"].to_numpy()[:, None] == b["rid"].to_numpy()[None, :]] = 0.0
         return pd.DataFrame({"grp": key[0], "id": a["id"].to_numpy(), "s": d.sum(1), "r": d.max(1)})
 
-    part = _block_pairs(p, block, True).applyInPandas(sums, "grp string, id string, s double, r double")
+    part = block_pairs(p, block, True).applyInPandas(sums, "grp string, id string, s double, r double")
     total = part.groupBy("grp", "id").agg(F.sum("s").alias("s"), F.max("r").alias("r"))
     best = F.min_by(F.struct(F.col("id").alias("medoid"), F.col("r").alias("radius")), F.struct("s", "id"))
     return total.groupBy(F.col("grp").alias("cluster")).agg(best.alias("x")).select("cluster", "x.*")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Smallest reachable id per node: ``(id, component)``.
-
-    Every round sends the smallest known label over the edges and then follows labels once
-    (pointer jumping), so long chains need few rounds.  Rounds are checkpointed.
-    """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut_lineage(both)
-    labels = cut_lineage(nodes.select("id").distinct().withColumn("component", F.col("id")))
-    while True:
-        seen = both.join(labels, both.a == labels.id).groupBy(F.col("b").alias("id")).agg(F.min("component").alias("m"))
-        step = labels.join(seen, "id", "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"))
-        parent = step.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        step = cut_lineage(step.join(parent, "component").select("id", F.least("component", "up").alias("component"), F.lit(0)).select("id", "component"))
-        changed = step.join(labels.withColumnRenamed("component", "old"), "id").filter("component <> old").limit(1).count()
-        labels = step
-        if not changed:
-            return labels
-
-
 # -------------------------------------------------------------------- linkage
-def linkage_merges(d: np.ndarray, method: str) -> list[tuple[int, int, float]]:
-    """Merges (i, j, height) by nearest-neighbour chains; j is merged into i.  Heights are sorted."""
-    d = d.astype(float).copy()
-    n = len(d)
-    np.fill_diagonal(d, np.inf)
-    size = np.ones(n)
-    alive = np.ones(n, dtype=bool)
-    merges: list[tuple[int, int, float]] = []
-    chain: list[int] = []
-    while len(merges) < n - 1:
-        if not chain:
-            chain = [int(np.argmax(alive))]
-        while True:
-            i = chain[-1]
-            row = np.where(alive, d[i], np.inf)
-            row[i] = np.inf
-            j = int(np.argmin(row))
-            if len(chain) > 1 and row[chain[-2]] <= row[j]:
-                j = chain[-2]
-                break
-            chain.append(j)
-        i = chain.pop()
-        chain.pop()
-        lo, hi = min(i, j), max(i, j)
-        merges.append((lo, hi, float(d[lo, hi])))
-        if method == "single":
-            new = np.minimum(d[lo], d[hi])
-        elif method == "complete":
-            new = np.maximum(d[lo], d[hi])
-        else:
-            new = (size[lo] * d[lo] + size[hi] * d[hi]) / (size[lo] + size[hi])
-        size[lo] += size[hi]
-        alive[hi] = False
-        d[lo], d[:, lo] = new, new
-        d[lo, lo] = np.inf
-    return sorted(merges, key=lambda m: m[2])
-
-
-def cut_merges(n: int, merges: list[tuple[int, int, float]], threshold: float | None, k: int | None = None) -> np.ndarray:
-    """Labels from merges under a height, or down to ``k`` clusters."""
-    parent = np.arange(n)
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    left = n
-    for i, j, h in merges:
-        if (threshold is not None and h >= threshold) or (k is not None and left <= k):
-            break
-        a, b = root(i), root(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            left -= 1
-    return np.array([root(i) for i in range(n)])
-
-
-def leaf_order(d: np.ndarray, method: str = "average") -> np.ndarray:
-    """Order of leaves: members of a merge stay side by side."""
-    groups = {i: [i] for i in range(len(d))}
-    where = np.arange(len(d))
-    for i, j, _ in linkage_merges(d, method):
-        a, b = where[i], where[j]
-        groups[a] = groups[a] + groups.pop(b)
-        where[groups[a]] = a
-    return np.array(next(iter(groups.values()))) if len(groups) == 1 else np.concatenate(list(groups.values()))
-
-
-_LABEL = "grp string, id string, cluster string, is_medoid boolean, radius double"
-
-
-def _label_frame(grp: str, ids: np.ndarray, d: np.ndarray, labels: np.ndarray) -> pd.DataFrame:
-    out = {"grp": [], "id": [], "cluster": [], "is_medoid": [], "radius": []}
-    for lab in np.unique(labels):
-        m = np.nonzero(labels == lab)[0]
-        sub = d[np.ix_(m, m)]
-        c = int(np.argmin(sub.sum(1)))
-        for k, i in enumerate(m):
-            out["grp"].append(grp)
-            out["id"].append(ids[i])
-            out["cluster"].append(min(ids[m]))
-            out["is_medoid"].append(k == c)
-            out["radius"].append(float(sub[c].max()))
-    return pd.DataFrame(out)
-
-
 def cluster_groups(
     points: DataFrame, metric: str = "correlation", linkage: str = "complete", threshold: float | None = None, n_clusters: int | None = None,
-    maxsize: int = 10_000, seed: int = 0,
+    local: int = LOCAL, block: int = 2_000,
 ) -> DataFrame:
     """Labels ``(grp, id, cluster)`` for ``(grp, id, vec)``; a cluster is named by its smallest member.
 
-    A point farther from every medoid than that medoid's radius gets ``-1``.
+    With a threshold, no cluster crosses a component of the graph ``distance < threshold``, and
+    for single linkage the components are the clusters.  With a number of clusters the lowest
+    merges of a group's whole tree are done until that many are left.
     """
     if (threshold is None) == (n_clusters is None):
         raise ValueError("give a threshold or a number of clusters")
-    points = points.select(F.col("grp").cast("string").alias("grp"), F.col("id").cast("string").alias("id"), "vec")
-    size = points.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    hashed = points.join(size, "grp").withColumn("h", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_003)))
-    likely = hashed.filter((F.col("n") <= maxsize) | (F.col("h") < 1_000_003.0 * maxsize / F.col("n")))
-    sample = cut_lineage(likely.select("grp", "id", "vec"))
-
+    points = cut_lineage(points.select(F.col("grp").cast("string").alias("grp"), F.col("id").cast("string").alias("id"), "vec"))
+    nodes = points.select(keyed_name("grp", "id").alias("id"))
     if threshold is not None:
-        edges = near_pairs(sample, metric, threshold)
-        keyed = edges.select(F.concat_ws("\u0001", "grp", "a").alias("a"), F.concat_ws("\u0001", "grp", "b").alias("b"))
-        nodes = sample.select(F.concat_ws("\u0001", "grp", "id").alias("id"))
-        comp = connected_components(nodes, keyed).withColumnRenamed("id", "key")
-        parts = sample.withColumn("key", F.concat_ws("\u0001", "grp", "id")).join(comp, "key").drop("key")
+        edges = near_pairs(points, metric, threshold, block)
+        comp = connected_components(nodes, edges.select(keyed_name("grp", "a").alias("a"), keyed_name("grp", "b").alias("b"))).withColumnRenamed("id", "key")
+        if linkage != "single":
+            parts = points.withColumn("key", keyed_name("grp", "id")).join(comp, "key").select(F.col("component").alias("grp"), F.col("key").alias("id"), "vec")
+            merges = merge_table(parts, metric, linkage, threshold, local, block)
+            comp = connected_components(nodes, merges).withColumnRenamed("id", "key")
     else:
-        parts = sample.withColumn("component", F.col("grp"))
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        ids = pdf["id"].to_numpy()
-        if len(ids) == 1:
-            return _label_frame(pdf["grp"].iloc[0], ids, np.zeros((1, 1)), np.zeros(1, int))
-        vec = _stack(pdf["vec"])
-        d = distances(vec, vec, metric)
-        np.fill_diagonal(d, 0.0)
-        labels = cut_merges(len(ids), linkage_merges(d, linkage), threshold, n_clusters)
-        return _label_frame(pdf["grp"].iloc[0], ids, d, labels)
-
-    labelled = parts.groupBy("grp", "component").applyInPandas(lambda pdf: label(pdf), _LABEL)
-    if sample_is_whole(points, sample):
-        return labelled.select("grp", "id", "cluster")
-    labelled = cut_lineage(labelled)
-    medoids = labelled.filter("is_medoid").join(sample, ["grp", "id"]).select("grp", "cluster", "radius", "vec")
-    rest = points.join(sample.select("grp", "id"), ["grp", "id"], "left_anti")
-    assigned = assign_to_centroid(rest, medoids, metric)
-    return labelled.select("grp", "id", "cluster").unionByName(assigned)
-
-
-def sample_is_whole(points: DataFrame, sample: DataFrame) -> bool:
-    return points.count() == sample.count()
+        if linkage == "single":  # the edges of the spanning tree have the heights of the merges
+            merges = spanning_forest(points, metric, block).select("grp", "a", "b", F.col("dist").alias("height"), F.lit(0).alias("round"))
+        else:
+            merges = merge_table(points, metric, linkage, None, local, block)
+        keep = points.groupBy("grp").agg((F.count(F.lit(1)) - n_clusters).alias("keep"))
+        low = lowest_merges(merges, keep)
+        comp = connected_components(nodes, low.select(keyed_name("grp", "a").alias("a"), keyed_name("grp", "b").alias("b"))).withColumnRenamed("id", "key")
+    labelled = points.select("grp", "id", keyed_name("grp", "id").alias("key")).join(comp, "key")
+    return labelled.select("grp", "id", plain_name("component").alias("cluster"))
 
 
 def agglomerative_cluster(
     points: DataFrame, metric: str = "correlation", linkage: str = "complete", threshold: float | None = None, n_clusters: int | None = None,
-    maxsize: int = 10_000,
+    local: int = LOCAL,
 ) -> DataFrame:
     """``(id, cluster)`` for one set of points ``(id, vec)``."""
     p = points.select(F.lit("all").alias("grp"), "id", "vec")
-    return cluster_groups(p, metric, linkage, threshold, n_clusters, maxsize).drop("grp")
+    return cluster_groups(p, metric, linkage, threshold, n_clusters, local).drop("grp")
 
 
 def number_clusters(labels: DataFrame) -> DataFrame:
@@ -282,7 +101,7 @@ def assign_to_centroid(points: DataFrame, centroids: DataFrame, metric: str = "e
             ref = right[right["grp"] == grp].sort_values("cluster")
             if not len(ref):
                 continue
-            d = distances(_stack(part["vec"]), _stack(ref["vec"]), metric)
+            d = distances(stack(part["vec"]), stack(ref["vec"]), metric)
             k = d.argmin(1)
             out.append(pd.DataFrame({
                 "grp": grp, "id": part["id"].to_numpy(), "cluster": ref["cluster"].astype(str).to_numpy()[k],
@@ -339,7 +158,7 @@ def representatives(points: DataFrame, metric: str = "euclidean", consider: int
     def far(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame()
-        d = distances(_stack(a["vec"]), _stack(b["rvec"]), metric)
+        d = distances(stack(a["vec"]), stack(b["rvec"]), metric)
         ia, jb = a["id"].to_numpy(), b["rid"].to_numpy()
         d[(ia[:, None] >= jb[None, :]) if key[1] == key[2] else (ia[:, None] == jb[None, :])] = -np.inf
         k = min(consider, d.size)
@@ -352,7 +171,7 @@ def representatives(points: DataFrame, metric: str = "euclidean", consider: int
         rows = sorted((-d[x, y], min(ia[x], jb[y]), max(ia[x], jb[y])) for x, y in zip(i, j))[:consider]
         return pd.DataFrame({"grp": [key[0]] * len(rows), "a": [r[1] for r in rows], "b": [r[2] for r in rows], "dist": [-r[0] for r in rows]})
 
-    pairs = _block_pairs(p, block, False).applyInPandas(far, "grp string, a string, b string, dist double")
+    pairs = block_pairs(p, block, False).applyInPandas(far, "grp string, a string, b string, dist double")
     w = W.partitionBy("grp").orderBy(F.col("dist").desc(), "a", "b")
     top = cut_lineage(pairs.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= consider).drop("k"))
     va = p.select("grp", F.col("id").alias("a"), F.col("vec").alias("va"))
@@ -367,8 +186,8 @@ def representatives(points: DataFrame, metric: str = "euclidean", consider: int
     def third(key, t: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(t) or not len(b):
             return pd.DataFrame()
-        ids, vec = b["rid"].to_numpy(), _stack(b["rvec"])
-        d = distances(_stack(t["va"]), vec, metric) + distances(_stack(t["vb"]), vec, metric) + t["dist"].to_numpy()[:, None]
+        ids, vec = b["rid"].to_numpy(), stack(b["rvec"])
+        d = distances(stack(t["va"]), vec, metric) + distances(stack(t["vb"]), vec, metric) + t["dist"].to_numpy()[:, None]
         d[(t["a"].to_numpy()[:, None] == ids[None, :]) | (t["b"].to_numpy()[:, None] == ids[None, :])] = -np.inf
         k = d.argmax(1)
         best = d[np.arange(len(t)), k]
@@ -426,7 +245,7 @@ def cluster_members(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("cluster").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
 
 
-def subcluster_by_effect(effects: DataFrame, clusters: DataFrame, threshold: float, maxsize: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def subcluster_by_effect(effects: DataFrame, clusters: DataFrame, threshold: float, local: int = LOCAL) -> tuple[DataFrame, DataFrame]:
     """Complete linkage on correlation distance inside each cluster, and the mean effect row per new cluster.
 
     ``effects`` is ``(name, condition, effect)``; missing conditions are 0.
@@ -436,7 +255,7 @@ def subcluster_by_effect(effects: DataFrame, clusters: DataFrame, threshold: flo
     vec = F.transform("conds", lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0.0)))
     points = packed.join(F.broadcast(conds)).select("name", vec.alias("vec")).join(clusters, "name")
     labels = cluster_groups(
-        points.select(F.col("cluster").alias("grp"), F.col("name").alias("id"), "vec"), "correlation", "complete", threshold, maxsize=maxsize
+        points.select(F.col("cluster").alias("grp"), F.col("name").alias("id"), "vec"), "correlation", "complete", threshold, local=local
     ).select(F.col("id").alias("name"), F.col("grp").alias("cluster"), F.col("cluster").alias("subcluster"))
     n = labels.groupBy("cluster", "subcluster").agg(F.count(F.lit(1)).alias("n"))
     means = effects.join(labels, "name").groupBy("cluster", "subcluster", "condition").agg(F.sum("effect").alias("s")).join(
@@ -459,29 +278,8 @@ def merge_similar_motifs(motifs: DataFrame, clusters: DataFrame, pairs: DataFram
     return joined, cluster_members(clusters), merge_effects(effects, clusters, how)
 
 
-def order_by_hierarchy(points: DataFrame, metric: str = "correlation", linkage: str = "average", maxsize: int = 10_000) -> DataFrame:
-    """Leaf order ``(id, leaf)`` for reports.
-
-    Points are first put near one of at most ``maxsize`` hashed representatives; the tree is built on
-    the representatives, and the others follow theirs by distance.
-    """
-    p = points.select(F.lit("all").alias("grp"), F.col("id").cast("string").alias("id"), "vec")
-    n = p.count()
-    h = F.pmod(F.xxhash64("id"), F.lit(1_000_003))
-    reps = cut_lineage(p if n <= maxsize else p.filter(h < 1_000_003.0 * maxsize / n))
-
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        vec = _stack(pdf["vec"])
-        o = leaf_order(distances(vec, vec, metric), linkage) if len(vec) > 1 else np.zeros(1, int)
-        return pd.DataFrame({"rep": pdf["id"].to_numpy()[o], "at": np.arange(len(o))})
-
-    tree = reps.groupBy("grp").applyInPandas(lambda pdf: order(pdf), "rep string, at long")
-    if n <= maxsize:
-        return tree.select(F.col("rep").alias("id"), F.col("at").alias("leaf"))
-    cent = reps.select("grp", F.col("id").alias("cluster"), F.lit(float("inf")).alias("radius"), "vec")
-    near = assign_to_centroid(p, cent, metric).select("id", F.col("cluster").alias("rep")).join(tree, "rep")
-    before = near.groupBy("at").agg(F.count(F.lit(1)).alias("c"))
-    before = before.select("at", (F.sum("c").over(W.partitionBy(F.lit(0)).orderBy("at")) - F.col("c")).alias("off"))
-    w = W.partitionBy("at").orderBy("id")
-    return near.join(before, "at").select("id", (F.col("off") + F.row_number().over(w) - 1).alias("leaf"))
+def order_by_hierarchy(points: DataFrame, metric: str = "correlation", linkage: str = "average", local: int = LOCAL) -> DataFrame:
+    """Leaf order ``(id, leaf)`` of the whole tree for reports."""
+    p = cut_lineage(points.select(F.lit("all").alias("grp"), F.col("id").cast("string").alias("id"), "vec"))
+    merges = cut_lineage(merge_table(p, metric, linkage, None, local))
+    return leaf_positions(p, merges).select("id", "leaf")

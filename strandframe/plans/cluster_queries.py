@@ -139,7 +139,7 @@ def _(spark, sf):
         import numpy as np
         import pandas as pd
 
-        d = K.distances(K._stack(left["vec"]), K._stack(right["vec"]), "euclidean")
+        d = K.distances(K.stack(left["vec"]), K.stack(right["vec"]), "euclidean")
         return pd.DataFrame({"a": np.repeat(left["id"].to_numpy(), len(right)), "b": np.tile(right["b"].to_numpy(), len(left)), "dist": d.ravel()})
 
     pairs = against_reference(points(spark, sf).select("id", "vec"), reps.select("b", "vec"), compare, "a string, b string, dist double", "id", "b")

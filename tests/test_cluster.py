@@ -4,6 +4,7 @@ import pytest
 from strandframe.operators import cluster as K
 from strandframe.operators import folds as FO
 from strandframe.operators import joins as J
+from strandframe.operators import linkage as L
 from strandframe.operators.blocks import against_reference
 
 
@@ -37,10 +38,69 @@ def test_components_then_linkage_is_exact(spark, method):
     assert sets(got) == naive_labels(d, method, 0.35)
 
 
-def test_rest_is_assigned_to_sample(spark):
+def chain_merges(d, method):
+    """The whole tree by merging the closest pair, one after the other; the smaller first member names a cluster."""
+    d = d.astype(float).copy()
+    np.fill_diagonal(d, np.inf)
+    size, out = np.ones(len(d)), []
+    for _ in range(len(d) - 1):
+        i, j = sorted(np.unravel_index(d.argmin(), d.shape))
+        out.append((i, j, d[i, j]))
+        x, y = d[i], d[j]
+        new = {"single": np.minimum(x, y), "complete": np.maximum(x, y), "average": (size[i] * x + size[j] * y) / (size[i] + size[j])}[method]
+        size[i] += size[j]
+        d[i], d[:, i] = new, new
+        d[j], d[:, j] = np.inf, np.inf
+        d[i, i] = np.inf
+    return out
+
+
+@pytest.mark.parametrize("method, metric", [("single", "euclidean"), ("complete", "cosine"), ("average", "cityblock"), ("average", "correlation")])
+def test_rounds_over_tables_give_the_whole_tree(spark, method, metric):
+    x = np.random.default_rng(21).normal(size=(24, 5))
+    p = points(spark, x).selectExpr("'g' AS grp", "id", "vec")
+    want = chain_merges(K.distances(x, x, metric), method)
+    for local, block in ((8, 8), (100, 2000)):
+        rows = L.merge_table(p, metric, method, None, local, block).collect()
+        got = sorted((r["height"], int(r["a"][1:]), int(r["b"][1:])) for r in rows)
+        assert len(got) == 23 and all(g[1:] == w[:2] and g[0] == pytest.approx(w[2]) for g, w in zip(got, want))
+    cut = K.agglomerative_cluster(points(spark, x), metric, method, n_clusters=6, local=8).collect()
+    where = {i: {i} for i in range(24)}
+    for i, j, _ in want[:18]:
+        where[i] = where[i] | where.pop(j)
+    assert sets(cut) == {frozenset(v) for v in where.values()}
+    if metric != "correlation":
+        return
+    order = {int(r["id"][1:]): r["leaf"] for r in K.order_by_hierarchy(points(spark, x), metric, method, local=8).collect()}
+    line = {i: [i] for i in range(24)}
+    for i, j, _ in want:
+        line[i] = line[i] + line.pop(j)
+    assert [order[i] for i in line[0]] == list(range(24))
+
+
+@pytest.mark.parametrize("method", ["single", "complete", "average"])
+def test_components_over_tables(spark, method):
+    x = np.random.default_rng(7).random((40, 3))
+    d = K.distances(x, x, "euclidean")
+    got = K.agglomerative_cluster(points(spark, x), "euclidean", method, 0.35, local=6).collect()
+    assert sets(got) == naive_labels(d, method, 0.35)
+
+
+def test_tied_points(spark):
+    x = np.array([[0.0], [0.0], [0.0], [1.0], [1.0], [2.0], [2.0], [3.0]])
+    for method in ("single", "complete"):
+        one = K.agglomerative_cluster(points(spark, x), "euclidean", method, 0.5, local=1).collect()
+        assert sets(one) == {frozenset(g) for g in ({0, 1, 2}, {3, 4}, {5, 6}, {7})}
+    same = K.agglomerative_cluster(points(spark, np.ones((9, 3))), "correlation", "average", n_clusters=1, local=1).collect()
+    assert sets(same) == {frozenset(range(9))}
+    assert K.order_by_hierarchy(points(spark, x[:1])).collect()[0]["leaf"] == 0
+    assert K.agglomerative_cluster(points(spark, x).limit(0), "euclidean", "average", 1.0).count() == 0
+
+
+def test_blobs(spark):
     rng = np.random.default_rng(8)
     x = np.vstack([rng.normal(c, 0.05, (60, 2)) for c in (0, 5)])
-    got = K.agglomerative_cluster(points(spark, x), "euclidean", "complete", 1.0, maxsize=30).collect()
+    got = K.agglomerative_cluster(points(spark, x), "euclidean", "complete", 1.0, local=30).collect()
     assert len(got) == 120
     labelled = {k for k in {r["cluster"] for r in got} if k != "-1"}
     assert len(labelled) == 2
@@ -79,12 +139,6 @@ def test_greedy_matching(spark):
     assert got == want
 
 
-def test_leaf_order_keeps_merges_together():
-    x = np.array([[0.0], [10.0], [0.1], [10.2]])
-    o = list(K.leaf_order(K.distances(x, x, "euclidean")))
-    assert abs(o.index(0) - o.index(2)) == 1 and abs(o.index(1) - o.index(3)) == 1
-
-
 def test_reference_blocks(spark):
     import pandas as pd
 
