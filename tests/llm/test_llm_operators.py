@@ -4,6 +4,7 @@
 import math
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -431,12 +432,68 @@ T = P.replace("&amp;", "&")
         (f"<div><div class='cookie-notice'>{P}</div><form><p>{P}</p></form><p>{P}</p><ul><li><a href=1>a</a><li><a href=2>b</a><li><a href=3>c</a></ul></div>", [T]),
         ("<script>var t='</p>';</script><style>x</style><!-- c --><p>1 < 2 &lt;b&gt;</p>", ["1 < 2 <b>"]),
         ("plain", ["plain"]), ("", []), ("<div><p>" * 3000 + P, [T]), ("<!-- open", []), ("<p a='x>y</p>", ["y"]),
+        (f"<article><header><h1>Head</h1><p>{P}</p></header><p class='notice-period'>{P}</p><div class=share-prices>{P}</div></article>", ["Head", T, T, T]),
+        (f"<article><p>{P}</p><div class='comment-box'>{P}</div><div class='related-work'><p>{P}</p></div></article>", [T, T, T]),
+        (f"<article><p>{P}</p><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>", [T, "so x=2 holds"]),
+        (f"<article><p>{P}{P}</p><section class=comments><p>{P}</p></section><div class='share-bar-top'><a href=1>Share</a></div><div class='box-newsletter'>{P}<input></div></article>", [T + T]),
+        (f"<article><p>{P}</p><p>x <a href='a>b'>y</a> \"z</p></article>", [T, 'x y "z']),
     ],
 )
 def test_main_blocks(html, want):
     assert main_blocks(html) == want
 
 
+@pytest.mark.parametrize("html", ["<a" * 200_000, '<a "' * 200_000, "<a '>\"" * 100_000, '<p "">' * 50_000 + "'", "<script>" + "</script " * 100_000, "<b>" * 50_000 + "</i>" * 50_000, "<div>" * 50_000 + "</p>" * 50_000, "<li><b>" * 50_000])
+def test_scanner_is_linear(html):
+    begin = time.time()
+    main_blocks(html)
+    assert time.time() - begin < 3
+
+
+def test_pages_equal_a_parser_based_version(spark, sf):
+    """The given pages: text of their one article by the standard library's event parser."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.depth, self.blocks, self.text = 0, [], []
+
+        def cut(self):
+            words = " ".join("".join(self.text).split())
+            self.blocks += [words] if words else []
+            self.text = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "article":
+                self.depth += 1
+            if tag == "br":
+                self.text.append(" ")
+            elif tag not in ("b", "a", "i", "em", "strong", "span"):
+                self.cut()
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "a", "i", "em", "strong", "span"):
+                self.cut()
+            if tag == "article":
+                self.depth -= 1
+
+        def handle_data(self, data):
+            if self.depth:
+                self.text.append(data)
+
+    def plain(html):
+        one = Article()
+        one.feed(html)
+        one.close()
+        one.cut()
+        return "\n".join(one.blocks)
+
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    got = {r.page_id: r.text for r in QUERIES["op9_html_text"](spark, sf).collect()}
+    assert got == {r.page_id: plain(r.html or "") for r in rows}
+
+
 def test_pages(spark):
     rows = [(1, "u", None, "x"), (1, "u", "", "x"), (None, None, f"<p>{P}</p>", "x")]
     got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
