@@ -12,6 +12,8 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,89 +33,142 @@ UNITS = set(
     "month months year years s min h dollar dollars cent cents euro euros pound pounds percent degree degrees volt volts watt watts joule joules".split()
 )
 KINDS = np.uint64(7)
+STEP_BACK = np.uint64(pow(int(STEP), -1, 1 << 64))
 INSIDE, FIRST = 1, 2  # a capitalised word inside a sentence and at its start
 CHUNK = 1 << 14  # windows whose choices are held at once
-_tokens: dict[str, int] = {}
-
-
-def _coded(token: str) -> int:
-    """Hash of the lower-case token with its kind in the low three bits."""
-    if token in ".!?:\n":
-        kind = END
-    elif token in "%$€£":
-        kind = SIGN
-    elif token[0].isdigit():
-        kind = NUMBER
-    elif token.lower() in UNITS:
-        kind = UNIT
-    elif token[0].isupper() and token[1:].islower():
-        kind = NAME
-    else:
-        kind = PLAIN
-    return xxhash.xxh3_64_intdigest(token.lower().encode("utf-8", "surrogatepass")) & ~7 | kind
-
-
-def template(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens, their literal hashes, their placeholder kind (0: none), and whether they may be a name (0: no, INSIDE, FIRST).
-
-    A unit needs a number before it, a currency or percent sign always is one.
-    """
-    tokens = TOKEN.findall(text)
-    if len(_tokens) > 1_000_000:
-        _tokens.clear()
-    try:
-        codes = np.array([_tokens[t] for t in tokens], np.uint64)
-    except KeyError:
-        for t in tokens:
-            if t not in _tokens:
-                _tokens[t] = _coded(t)
-        codes = np.array([_tokens[t] for t in tokens], np.uint64)
+TOGETHER = 200_000  # tokens of texts whose windows are made at once; bounds memory only
+
+
+class Codes(dict):
+    """Hash of the lower-case token with its kind in the low three bits, remembered per worker."""
+
+    def __missing__(self, token: str) -> int:
+        if token in ".!?:\n":
+            kind = END
+        elif token in "%$€£":
+            kind = SIGN
+        elif token[0].isdigit():
+            kind = NUMBER
+        elif token.lower() in UNITS:
+            kind = UNIT
+        elif token[0].isupper() and token[1:].islower():
+            kind = NAME
+        else:
+            kind = PLAIN
+        code = self[token] = xxhash.xxh3_64_intdigest(token.lower().encode("utf-8", "surrogatepass")) & ~7 | kind
+        return code
+
+
+_codes = Codes()
+
+
+@dataclass
+class Templates:
+    """Tokens of some texts one after the other: literal hash, kind of placeholder (0: none), whether it may be a name
+    (0: no, INSIDE, FIRST), and the end of its text.  A unit needs a number before it, a currency or percent sign always is one."""
+
+    tokens: list[str]
+    places: np.ndarray  # of the words among all tokens
+    codes: np.ndarray
+    slot: np.ndarray
+    name: np.ndarray
+    begins: np.ndarray  # first word of each text
+    ends: np.ndarray
+
+    def token(self, k: int) -> str:
+        return self.tokens[self.places[k]]
+
+    def filled(self, a: int, b: int, bits: int) -> list[str]:
+        """``place=value`` of the placeholders of words a to b, by place in the text; ``bits`` are the words taken as names."""
+        first = self.begins[np.searchsorted(self.begins, a, "right") - 1]
+        return [f"{k - first}={self.token(k).lower()}" for k in range(a, b) if self.slot[k] or bits >> (k - a) & 1]
+
+    def as_is(self, a: int, b: int, bits: int) -> list[str]:
+        """Possible names that are met as they are; they translate to themselves."""
+        return [self.token(k).lower() for k in range(a, b) if self.name[k] and not bits >> (k - a) & 1]
+
+
+def templates(texts: list[str]) -> Templates:
+    if len(_codes) > 1_000_000:
+        _codes.clear()
+    each = [TOKEN.findall(t) for t in texts]
+    tokens = list(chain.from_iterable(each))
+    codes = np.fromiter(map(_codes.__getitem__, tokens), np.uint64, len(tokens))
+    size = np.fromiter(map(len, each), np.int64, len(each))
     kind = (codes & KINDS).astype(np.uint8)
     word = kind != END
+    new = np.zeros(len(kind) + 1, bool)
+    new[np.cumsum(size) - size] = True  # the first token of a text
+    new = new[:-1]
     after_end = np.ones(len(kind), bool)
     after_end[1:] = ~word[:-1]
-    first, codes, kind = after_end[word], codes[word] & ~KINDS, kind[word]
+    places = np.flatnonzero(word)
+    first, start = (after_end | new)[places], np.append(0, np.cumsum(word))[np.append(0, np.cumsum(size))]
+    codes, kind = codes[places] & ~KINDS, kind[places]
     before = np.zeros(len(kind), np.uint8)
     before[1:] = kind[:-1]
+    inner = start[:-1][start[:-1] < len(kind)]
+    before[inner] = 0
     slot = kind.copy()
     slot[kind == NAME] = PLAIN
     slot[(kind == UNIT) & (before != NUMBER)] = PLAIN
     slot[kind == SIGN] = UNIT
     name = np.where(kind == NAME, np.where(first, FIRST, INSIDE), 0).astype(np.uint8)
-    return [t for t, w in zip(tokens, word) if w], codes, slot, name
+    return Templates(tokens, places, codes, slot, name, start[:-1], start[1:])
 
 
-def template_windows(codes: np.ndarray, slot: np.ndarray, name: np.ndarray, width: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``(starts, choices, hashes)``: one hash per window and choice of the words taken as names, these as bits from the start.
+def template_windows(t: Templates, width: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(starts, ends, choices, hashes)``: one hash per window and choice of the words taken as names, these as bits from the start.
 
     Half of the words of a window stay plain at least, and half of ``size`` where a sentence
-    start is taken as a name.  A window with more numbers and units has the hash of its literal tokens.
+    start is taken as a name.  A window with more numbers and units goes on until half of
+    ``width`` words are plain, and has the hash of its literal tokens as well.
     """
-    n = len(codes) - width + 1
+    n = len(t.codes) - width + 1
     if n <= 0:
         return
-    sums = window_sums(np.where(slot > 0, slot.astype(np.uint64), codes), width)
-    literal = window_sums(codes, width)
-    holes = np.convolve(slot > 0, np.ones(width, np.int64), "valid")
+    typed = np.where(t.slot > 0, t.slot.astype(np.uint64), t.codes)
+    sums = window_sums(typed, width)
+    holes = np.append(0, np.cumsum(t.slot > 0))
+    holes = holes[width:] - holes[:-width]
+    # windows inside one text
+    end = np.repeat(t.ends, t.ends - t.begins)
+    inside = np.flatnonzero(np.arange(n) + width <= end[:n])
+    dense = 2 * holes[inside] > width
+    at = inside[dense]
+    if len(at):
+        literal = window_sums(t.codes, width)[at]
+        yield at, at + width, np.zeros(len(at), np.int64), (mix(literal) ^ np.uint64(width)).astype(np.int64)
+        plain = np.cumsum(t.slot == 0)
+        stop = np.searchsorted(plain, np.append(0, plain)[at] + (width + 1) // 2) + 1
+        ok = stop <= end[at]
+        at, stop = at[ok], stop[ok]
+        if len(at):
+            power = np.multiply.accumulate(np.append(np.uint64(1), np.full(len(typed), STEP_BACK)))
+            prefix = np.append(np.uint64(0), np.cumsum(typed * power[:-1]))
+            # a window's sum from prefixes, times STEP to the power of its last place
+            scale = np.multiply.accumulate(np.append(np.uint64(1), np.full(len(typed), STEP)))
+            acc = (prefix[stop] - prefix[at]) * scale[stop - 1]
+            yield at, stop, np.zeros(len(at), np.int64), (mix(acc) ^ (stop - at).astype(np.uint64)).astype(np.int64)
     power = [np.uint64(pow(int(STEP), width - 1 - k, 1 << 64)) for k in range(width)]
-    change = np.uint64(NAME) - codes
-    for lo in range(0, n, CHUNK):
-        at = np.arange(lo, min(n, lo + CHUNK))
-        dense = 2 * holes[at] > width
-        if dense.any():
-            yield at[dense], np.zeros(int(dense.sum()), np.int64), (mix(literal[at[dense]]) ^ np.uint64(width)).astype(np.int64)
-        at = at[~dense]
-        acc, plain, bits, starts = sums[at], width - holes[at], np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+    change = np.uint64(NAME) - t.codes
+    inside = inside[~dense]
+    for lo in range(0, len(inside), CHUNK):
+        at = inside[lo : lo + CHUNK]
+        acc, plain, bits, starts = sums[at], (width - holes[at]).astype(np.int32), np.zeros(len(at), np.int64), np.zeros(len(at), bool)
         for k in range(width):
-            begins = starts | (name[at + k] == FIRST)
-            more = np.flatnonzero((name[at + k] > 0) & (2 * (plain - 1) >= np.where(begins, size, width)))
+            kind = t.name[at + k]
+            more = np.flatnonzero(kind)
+            begins = starts[more] | (kind[more] == FIRST)
+            ok = 2 * (plain[more] - 1) >= np.where(begins, size, width)
+            more, begins = more[ok], begins[ok]
             if len(more):
                 acc = np.concatenate([acc, acc[more] + change[at[more] + k] * power[k]])
                 plain = np.concatenate([plain, plain[more] - 1])
                 bits = np.concatenate([bits, bits[more] | 1 << k])
-                starts = np.concatenate([starts, begins[more]])
+                starts = np.concatenate([starts, begins])
                 at = np.concatenate([at, at[more]])
-        yield at, bits, mix(acc).astype(np.int64)
+        yield at, at + width, bits, mix(acc).astype(np.int64)
 
 
 def item_windows(benchmark: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -124,15 +179,16 @@ def item_windows(benchmark: DataFrame, size: int, id_col: str, text_col: str) ->
         for batch in batches:
             ids, out = [], defaultdict(list)
             for i, text in enumerate(batch.column("t").to_pylist()):
-                tokens, codes, slot, name = template(text)
-                width = min(size, len(tokens))
+                made = templates([text])
+                width = min(size, len(made.codes))
                 if width == 0:
                     continue
-                for found in template_windows(codes, slot, name, width, size):
-                    for p, bits, w in zip(*(x.tolist() for x in found)):
-                        ids.append(i)
-                        for k, v in (("n", len(tokens) - width + 1), ("width", width), ("p", p), ("w", w), ("slots", filled(tokens, slot, p, width, bits)), ("same", as_is(tokens, name, p, width, bits))):
-                            out[k].append(v)
+                found = [x.tolist() for x in map(np.concatenate, zip(*template_windows(made, width, size)))]
+                n_windows = max(found[0]) + 1
+                for p, stop, bits, w in zip(*found):
+                    ids.append(i)
+                    for k, v in (("n", n_windows), ("width", width), ("p", p), ("w", w), ("slots", made.filled(p, stop, bits)), ("same", made.as_is(p, stop, bits))):
+                        out[k].append(v)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("item").take(pa.array(ids, pa.int64())), pa.array(out["n"], pa.int32()), pa.array(out["width"], pa.int32()),
                  pa.array(out["p"], pa.int32()), pa.array(out["w"], pa.int64()), pa.array(out["slots"], pa.list_(pa.string())), pa.array(out["same"], pa.list_(pa.string()))],
@@ -142,16 +198,6 @@ def item_windows(benchmark: DataFrame, size: int, id_col: str, text_col: str) ->
     return picked.mapInArrow(run, f"item {picked.schema['item'].dataType.simpleString()}, n_windows int, width int, p int, w long, slots array<string>, same array<string>")
 
 
-def as_is(tokens: list[str], name: np.ndarray, at: int, width: int, bits: int) -> list[str]:
-    """Possible names of a window that are met as they are; they translate to themselves."""
-    return [tokens[k].lower() for k in range(at, at + width) if name[k] and not bits >> (k - at) & 1]
-
-
-def filled(tokens: list[str], slot: np.ndarray, at: int, width: int, bits: int) -> list[str]:
-    """``place=value`` of the placeholders in a window; ``bits`` are the words taken as names."""
-    return [f"{k}={tokens[k].lower()}" for k in range(at, at + width) if slot[k] or bits >> (k - at) & 1]
-
-
 def document_windows(docs: DataFrame, widths: list[int], size: int, bits: bytes, id_col: str, text_col: str) -> DataFrame:
     """``id, h, q, w, slots`` of the windows that pass the filter; ``h`` tells texts of one id apart."""
     picked = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), text_of(text_col).alias("t"))
@@ -161,16 +207,24 @@ def document_windows(docs: DataFrame, widths: list[int], size: int, bits: bytes,
         bitmap = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
             rows, qs, ws, slots = [], [], [], []
-            for i, text in enumerate(batch.column("t").to_pylist()):
-                tokens, codes, slot, name = template(text)
+            texts = batch.column("t").to_pylist()
+            lo = 0
+            while lo < len(texts):
+                hi, held = lo, 0
+                while hi < len(texts) and (hi == lo or held + len(texts[hi]) <= 6 * TOGETHER):
+                    held += len(texts[hi])
+                    hi += 1
+                made = templates(texts[lo:hi])
                 for width in widths:
-                    for found in template_windows(codes, slot, name, width, size):
-                        held = np.flatnonzero(may_hold(bitmap, found[2]))
-                        for q, chosen, w in zip(*(x[held].tolist() for x in found)):
-                            rows.append(i)
-                            qs.append(q)
-                            ws.append(w)
-                            slots.append(filled(tokens, slot, q, width, chosen))
+                    for found in template_windows(made, width, size):
+                        met = np.flatnonzero(may_hold(bitmap, found[3]))
+                        starts, stops, chosen, hashes = (x[met] for x in found)
+                        owner = np.searchsorted(made.begins, starts, "right") - 1
+                        rows += (owner + lo).tolist()
+                        qs += (starts - made.begins[owner]).tolist()
+                        ws += hashes.tolist()
+                        slots += [made.filled(a, b, c) for a, b, c in zip(starts.tolist(), stops.tolist(), chosen.tolist())]
+                lo = hi
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(at), batch.column("h").take(at), pa.array(qs, pa.int32()), pa.array(ws, pa.int64()), pa.array(slots, pa.list_(pa.string()))],

@@ -296,6 +296,33 @@ def test_contamination(spark):
     assert contaminated(docs_of(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_contamination_of_dense_numbers(spark):
+    item = "Compute 12 + 7 * 3 - 5 given 4 and 9 with 2.5 kg of 11 at 6 % over 8 years for 3 people in 10 towns"
+    other = "intro words here. Compute 41 + 8 * 6 - 9 given 5 and 7 with 3.5 kg of 13 at 1 % over 4 years for 6 people in 22 towns and more"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    table = " ".join(str(k * 7) for k in range(300))
+    got = {(r.doc_id, r.item_id): r for r in contaminated(docs_of(spark, [other, table, item.lower(), "given 4 and 9 years"]), bench).collect()}
+    assert set(got) == {(0, 1), (2, 1)} and got[0, 1].coverage > 0.9 and not got[0, 1].verbatim and got[2, 1].verbatim
+
+
+def test_windows_of_texts_together_are_those_of_each():
+    from strandframe.llm import decontaminate as D
+
+    texts = ["Anna has 3 red apples and 4 kg. Ben gives 2 to Mary in May at noon", "", "1 2 3 4 5 6 7 8 9 kg m 3 x", "one two three", "Tom. Tom Tom a b c d e F g h 3 m"]
+    every = D.templates(texts)
+    for width in (3, 8):
+        together = [sorted(zip(*(x.tolist() for x in map(np.concatenate, zip(*D.template_windows(every, width, 8))))))]
+        alone = []
+        for k, t in enumerate(texts):
+            made = D.templates([t])
+            found = list(D.template_windows(made, width, 8))
+            base = int(every.begins[k])
+            for a, b, c, h in zip(*(x.tolist() for x in map(np.concatenate, zip(*found)))) if found else ():
+                alone.append((a + base, b + base, c, h))
+                assert made.filled(a, b, c) == every.filled(a + base, b + base, c) and made.as_is(a, b, c) == every.as_is(a + base, b + base, c)
+        assert together == [sorted(alone)]
+
+
 def test_contamination_with_names_at_sentence_starts(spark):
     item = "Tom has 5 red apples. Mary has 3 green apples. Peter gives 2 pears to Tom and Anna eats 4 apples. How many apples are left?"
     names = {"Tom": "Lukas", "Mary": "Ida", "Peter": "Olga", "Anna": "Bruno", "5": "15", "3": "13", "2": "7", "4": "6"}
