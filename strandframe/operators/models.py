@@ -245,15 +245,26 @@ def coefficient_statistics(data: DataFrame, features: list[str], tracks: list[st
 
 
 def feature_ablation(data: DataFrame, features: list[str], tracks: list[str], alpha: float = 0.0) -> DataFrame:
-    """Change of mean squared error per track when one feature is left out and the model fitted again."""
+    """Change of mean squared error per track when one feature is left out and the model fitted again.
+
+    Leaving feature j out moves the solution b by -b_j / V_jj times column j of V, the inverse of the
+    normal matrix, so one factorisation serves all features.  A feature that the others make
+    up for (its unit vector is not in the range of a singular matrix) changes nothing.
+    """
     m = moments(data, features, tracks)
-    full = errors(m, ridge(m, alpha)) / m.n
-    rows = []
-    for j, f in enumerate(features):
-        keep = np.ones(len(features), bool)
-        keep[j] = False
-        diff = errors(m, ridge(m, alpha, keep)) / m.n - full
-        rows.extend((t, f, float(diff[i])) for i, t in enumerate(tracks))
+    reg = np.eye(len(features) + 1) * alpha
+    reg[0, 0] = 0
+    normal = m.xx + reg
+    inverse = np.linalg.pinv(normal, rcond=1e-12, hermitian=True)
+    b = (inverse @ m.xy)[1:]
+    v = inverse[1:, 1:]
+    diagonal = np.diag(v)
+    needed = (np.einsum("ij,ij->i", normal[1:], inverse[:, 1:].T) > 1 - 1e-6) & (diagonal > 0)
+    step = np.where(needed[:, None], b / np.where(needed, diagonal, 1.0)[:, None], 0.0)
+    # the penalised sum grows by b_j * step_j; the penalty's own change is taken out again
+    change = b * step + alpha * (2 * step * (v.T @ b) - step**2 * (v * v).sum(0)[:, None])
+    change = np.where(needed[:, None], change, 0.0) / m.n
+    rows = [(t, f, float(change[j, i])) for j, f in enumerate(features) for i, t in enumerate(tracks)]
     return data.sparkSession.createDataFrame(rows, "track string, feature string, mse_change double")
 
 

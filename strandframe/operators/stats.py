@@ -258,31 +258,28 @@ def metric_averages(table: DataFrame) -> DataFrame:
 def permutation_baseline(df: DataFrame, seed: int = 0) -> DataFrame:
     """Correlation of each row with its prediction and with the prediction of another row.
 
-    Input ``(row, col, a, b)``.  Rows are put on a ring in hash order inside hash
-    buckets, and each row takes its neighbour's prediction as the null.
+    Input ``(row, col, a, b)``.  All rows stand on one ring in hash order, by ranks from
+    bucket counts, and each takes the prediction of the next one, so none is its own null.  A lone
+    row has no other: its ``shuffled`` is null.
     """
-    names = df.select("row").distinct().withColumn("__h", F.xxhash64("row", F.lit(seed)))
-    n_bucket = F.pmod(F.col("__h"), F.lit(1024))
-    names = names.withColumn("__bk", n_bucket)
-    # buckets with one row fall back to themselves, so buckets are merged by size on small data
-    size = names.groupBy("__bk").agg(F.count(F.lit(1)).alias("c")).agg(F.min("c").alias("m"), F.count(F.lit(1)).alias("k"))
-    names = names.join(F.broadcast(size)).withColumn(
-        "__bk", F.when((F.col("m") < 2) | (F.col("k") < 1024), F.pmod(F.col("__h"), F.lit(4))).otherwise(F.col("__bk"))
+    names = df.select("row").distinct()
+    hashed = names.select(
+        "row", F.lit(0).alias("__k"), F.shiftright(F.xxhash64("row", F.lit(seed)), 11).cast("double").alias("__v"), F.xxhash64("row", F.lit(seed + 1)).alias("__t")
     )
-    w = W.partitionBy("__bk").orderBy("__h", "row")
-    all_w = W.partitionBy("__bk").orderBy("__h", "row").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    ring = names.withColumn("other", F.coalesce(F.lead("row").over(w), F.first("row").over(all_w))).select("row", "other")
+    placed = attach(R.ordinal_rank(hashed, ["__k"], "__v", "__t", "__r"), ["__k"], __n=F.count(F.lit(1))).where("__n > 1")
+    after = placed.select(F.col("row").alias("other"), F.col("__r").alias("__next"))
+    ring = placed.select("row", F.pmod(F.col("__r") + 1, F.col("__n")).alias("__next")).join(after, "__next").select("row", "other")
     null = df.select("row", "col", "a").join(ring, "row").join(
         df.select(F.col("row").alias("other"), "col", "b"), ["other", "col"]
     )
     true = correlation(df, ["row"]).withColumnRenamed("correlation", "observed")
     rand = correlation(null, ["row"]).withColumnRenamed("correlation", "shuffled")
-    return true.join(rand, "row")
+    return true.join(rand, "row", "left")
 
 
 def permutation_test(df: DataFrame, seed: int = 0) -> DataFrame:
     """Paired one-sided test that the observed distance is below the shuffled one."""
-    b = permutation_baseline(df, seed).select(F.lit("all").alias("group"), F.col("observed").alias("a"), F.col("shuffled").alias("b"))
+    b = permutation_baseline(df, seed).where("shuffled IS NOT NULL").select(F.lit("all").alias("group"), F.col("observed").alias("a"), F.col("shuffled").alias("b"))
     return wilcoxon_signed_rank(b, ["group"], alternative="less")
 
 

@@ -160,7 +160,7 @@ def test_folds(spark):
     assert per == {("a", i): 20 for i in range(3)} | {("b", i): 10 for i in range(3)}
     assert f.select("name").distinct().count() == 90
     g = spark.createDataFrame([(f"n{i}", f"chr{i % 7}") for i in range(140)], "name string, g string")
-    out = FO.group_balanced_folds(g, "g", 3, trials=50)
+    out = FO.group_balanced_folds(g, "g", 3)
     assert out.join(g, "name").groupBy("g").agg({"fold": "min"}).count() == 7
     assert out.join(g, "name").select("g", "fold").distinct().count() == 7
     sizes = [r["count"] for r in out.groupBy("fold").count().collect()]
@@ -198,3 +198,39 @@ def test_representatives_from_blocks(spark):
     pairs = spark.createDataFrame(rows, "a string, b string, dist double")
     names = spark.createDataFrame([(f"p{i:03d}", "g") for i in range(24)], "name string, cluster string")
     assert got == K.cluster_representatives(pairs, names, 10).first()
+
+
+def best_of_tries(sizes, folds, tries=400):
+    """Mean deviation of the best of many random deals, each group to the fold with least so far."""
+    rng = np.random.default_rng(0)
+    best = np.inf
+    for _ in range(tries):
+        total = np.zeros(folds)
+        for s in rng.permutation(sizes):
+            total[total.argmin()] += s
+        best = min(best, np.abs(total - total.mean()).mean())
+    return best
+
+
+def test_dealt_sizes_are_as_even_as_many_tries():
+    rng = np.random.default_rng(17)
+    for folds in (2, 3, 5):
+        for _ in range(12):
+            groups = rng.integers(1, rng.choice([4, 50, 900]), rng.integers(folds, 60))
+            sizes, counts = np.unique(groups, return_counts=True)
+            dealt = FO.deal_sizes(sizes.astype(float), counts, folds)
+            assert (dealt >= 0).all() and (dealt.sum(1) == counts).all()
+            total = sizes @ dealt
+            assert np.abs(total - total.mean()).mean() <= best_of_tries(groups, folds) + 0.002 * total.mean()
+    many = FO.deal_sizes(np.array([1.0, 2.0, 1e6]), np.array([3_000_000, 7_000_001, 4]), 3)
+    assert many.sum(1).tolist() == [3_000_000, 7_000_001, 4] and np.ptp(np.array([1, 2, 1e6]) @ many) <= 2
+
+
+def test_balanced_folds_of_many_groups(spark):
+    rows = [(f"n{i}", f"g{i % 300}" if i % 7 else None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "name string, g string")
+    out = FO.group_balanced_folds(df, "g", 4).join(df, "name")
+    assert out.count() == 4000 and out.groupBy("g").agg({"fold": "min"}).count() == out.select("g", "fold").distinct().count()
+    sizes = [r["count"] for r in out.groupBy("fold").count().collect()]
+    assert len(sizes) == 4 and max(sizes) - min(sizes) <= 20
+    assert FO.group_balanced_folds(df.limit(0), "g", 4).count() == 0

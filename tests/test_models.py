@@ -103,3 +103,26 @@ def test_svd(problem):
     _, emb = MD.linear_embedding(df.select("name", "vec"), 2)
     pc = emb.toPandas().set_index("name")
     assert np.allclose(np.abs(np.array([pc.loc[f"n{i}", "dims"] for i in range(120)])), np.abs(mine), atol=1e-6)
+
+
+@pytest.mark.parametrize("alpha", [0.0, 3.0])
+def test_ablation_equals_fitting_again(spark, alpha):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(80, 6))
+    x[:, 5] = x[:, 0] + x[:, 1] if alpha == 0 else x[:, 5]  # a feature that others make up for
+    y = np.column_stack([x[:, :4] @ [1, 0, -2, 0.3], x[:, 1]]) + rng.normal(size=(80, 2)) * 0.2
+    names = [f"f{i}" for i in range(6)]
+    df = spark.createDataFrame([(f"n{i}", x[i].tolist(), y[i].tolist()) for i in range(80)], "name string, vec array<double>, y array<double>")
+    got = {(r.feature, r.track): r.mse_change for r in MD.feature_ablation(df, names, T2, alpha).collect()}
+
+    def mse(keep):
+        z = np.hstack([np.ones((80, 1)), x[:, keep]])
+        reg = np.eye(len(keep) + 1) * alpha
+        reg[0, 0] = 0
+        b = np.linalg.lstsq(z.T @ z + reg, z.T @ y, rcond=1e-12)[0]
+        return ((y - z @ b) ** 2).mean(0)
+
+    full = mse(list(range(6)))
+    for j in range(6):
+        want = mse([k for k in range(6) if k != j]) - full
+        assert np.allclose([got[f"f{j}", t] for t in T2], want, atol=1e-9)

@@ -87,3 +87,26 @@ def test_permutation_ring_has_no_fixed_row(spark):
     rows = [(f"r{i}", f"c{j}", float(i * j % 7), float(i + j)) for i in range(40) for j in range(5)]
     df = spark.createDataFrame(rows, "row string, col string, a double, b double")
     assert S.permutation_baseline(df).count() == 40
+
+
+def test_permutation_ring_has_no_fixed_point(spark):
+    from strandframe.operators.stats import permutation_baseline, permutation_test
+
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(9, 6)), rng.normal(size=(9, 6))
+    rows = [(f"r{i}", j, float(a[i, j]), float(b[i, j])) for i in range(9) for j in range(6)]
+    df = spark.createDataFrame(rows, "row string, col int, a double, b double")
+    got = {int(r["row"][1:]): (r["observed"], r["shuffled"]) for r in permutation_baseline(df).collect()}
+    assert set(got) == set(range(9))
+    others = []
+    apart = lambda i, k: 1 - np.corrcoef(a[i], b[k])[0, 1]
+    for i, (seen, null) in got.items():
+        assert seen == pytest.approx(apart(i, i), abs=1e-4)
+        match = min(range(9), key=lambda k: abs(apart(i, k) - null))
+        assert match != i and abs(apart(i, match) - null) < 1e-4
+        others.append(match)
+    assert sorted(others) == list(range(9))
+    two = {r["row"]: r["shuffled"] for r in permutation_baseline(df.where("row IN ('r0', 'r1')")).collect()}
+    assert two["r0"] == pytest.approx(apart(0, 1), abs=1e-4) and two["r1"] == pytest.approx(apart(1, 0), abs=1e-4)
+    assert [r["shuffled"] for r in permutation_baseline(df.where("row = 'r0'")).collect()] == [None]
+    assert permutation_test(df).count() == 1
