@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandframe.operators.select import top_per_key
-from strandframe.session import cut_lineage
+from strandframe.session import cut_lineage, written
 
 
 def align_by_name(tables: dict[str, DataFrame], key: str = "name") -> DataFrame:
@@ -135,6 +135,29 @@ def string_similarity_join(
     return shared.join(ta, "a").join(tb, "b").select("a", "b", sim.alias("similarity")).filter(F.col("similarity") >= min_similarity)
 
 
+def match_names(left: DataFrame, right: DataFrame, bounds: tuple[float, ...] = (0.8, 0.6, 0.45, 0.3, 0.2, 0.1, 0.0)) -> DataFrame:
+    """One-to-one matches ``(a, b, similarity)`` of two name columns, best pair first, without a table of all pairs.
+
+    The bounds fall: at each only names that are still free are joined, and only pairs
+    of at least that similarity are made, from their rare grams.  All better pairs were
+    decided before, so the result is that of ``match_unique_greedy`` on all pairs that
+    share a gram.
+    """
+    if list(bounds) != sorted(bounds, reverse=True) or bounds[-1] != 0.0:
+        raise ValueError("bounds fall to 0")
+    a = written(left.select(F.col(left.columns[0]).alias("name")).where("name IS NOT NULL").distinct())
+    b = written(right.select(F.col(right.columns[0]).alias("name")).where("name IS NOT NULL").distinct())
+    out = left.sparkSession.createDataFrame([], "a string, b string, similarity double")
+    for bound in bounds:
+        if a.isEmpty() or b.isEmpty():
+            break
+        got = written(match_unique_greedy(string_similarity_join(a, b, min_similarity=bound), score="similarity"))
+        out = out.unionByName(got)
+        a = written(a.join(got.select(F.col("a").alias("name")), "name", "left_anti"))
+        b = written(b.join(got.select(F.col("b").alias("name")), "name", "left_anti"))
+    return out
+
+
 def _rare_part(
     grams: DataFrame, name: str, cnt: str, totals: DataFrame, total: str, freq: DataFrame, t: float
 ) -> DataFrame:

@@ -237,9 +237,9 @@ def _(spark, sf):
     return merged.join(size, "cluster").join(names, "cluster")
 
 
-@query("connected_components", "WITH RECURSIVE e AS (SELECT DISTINCT 'c' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_quantity > 49), ed AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach AS (SELECT a AS id, a AS r FROM ed UNION SELECT reach.id, ed.b FROM reach JOIN ed ON reach.r = ed.a) SELECT id, min(r) AS component FROM reach GROUP BY id")
+@query("connected_components", "WITH RECURSIVE e AS (SELECT DISTINCT 'c' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem), ed AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach AS (SELECT a AS id, a AS r FROM ed UNION SELECT reach.id, ed.b FROM reach JOIN ed ON reach.r = ed.a) SELECT id, min(r) AS component FROM reach GROUP BY id")
 def _(spark, sf):
-    li = V.table(spark, sf, "lineitem").filter("l_quantity > 49")
+    li = V.table(spark, sf, "lineitem")
     edges = li.select(F.concat(F.lit("c"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b")).distinct()
     nodes = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id")))
     return K.connected_components(nodes, edges)
@@ -411,7 +411,7 @@ def _emb_points(spark, sf):
 
 @query("svd_reduce")
 def _(spark, sf):
-    return MD.svd_reduce(_emb_points(spark, sf), 0.5).select("name", F.size("dims").alias("k"), F.element_at("dims", 1).alias("d0"))
+    return MD.svd_reduce(_emb_points(spark, sf), 0.5).select("name", F.posexplode("dims").alias("k", "d"))
 
 
 @query("linear_embedding")
@@ -422,4 +422,5 @@ def _(spark, sf):
 @query("nonnegative_factorization")
 def _(spark, sf):
     rows, cols = MD.nonnegative_factorization(V.matrix(spark, sf), 3)
-    return cols.select("col", F.posexplode("features").alias("k", "w"))
+    part = lambda df, side: df.select(F.lit(side).alias("side"), F.col(side).alias("name"), F.posexplode("features").alias("k", "w"))
+    return part(rows, "row").unionByName(part(cols, "col"))

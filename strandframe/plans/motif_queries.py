@@ -39,14 +39,16 @@ def _(spark, sf):
 
 @query(
     "kmer_to_motif",
-    C(V.SEQ, "k AS (SELECT DISTINCT substr(seq, 1, 7) AS kmer FROM seqs WHERE length(seq) >= 7)",
+    C(V.SEQ, "k AS (SELECT DISTINCT substr(seq, i, 5) AS kmer FROM (SELECT seq, unnest(range(1, length(seq) - 3)) AS i FROM seqs WHERE length(seq) >= 5))",
       "g AS (SELECT kmer, CAST(unnest(range(0, 12)) AS INTEGER) AS pos FROM k)", "h AS (SELECT kmer, pos, unnest(['A', 'C', 'G', 'T']) AS base FROM g)")
-    + "SELECT kmer AS motif, pos, base, CASE WHEN pos BETWEEN 2 AND 8 AND substr(kmer, pos - 1, 1) = base THEN 1 / 7 ELSE 0 END::DOUBLE AS w FROM h",
+    + "SELECT kmer AS motif, pos, base, CASE WHEN pos BETWEEN 3 AND 7 AND substr(kmer, pos - 2, 1) = base THEN 1 / 5 ELSE 0 END::DOUBLE AS w FROM h",
     floats="w",
 )
 def _(spark, sf):
-    s = V.sequences(spark, sf).filter(F.length("seq") >= 7)
-    return M.kmer_to_motif(s.select(F.substring("seq", 1, 7).alias("kmer")).distinct(), 12)
+    """All 5-mers that occur in the sequences."""
+    from strandframe.operators.kmers import kmer_count_regular
+
+    return M.kmer_to_motif(kmer_count_regular(V.sequences(spark, sf), 5).select("kmer").distinct(), 12)
 
 
 @query("pad_motifs", C(*MP) + "SELECT motif, pos + 2 AS pos, base, w FROM ppm", floats="w")

@@ -253,17 +253,17 @@ def _(spark, sf):
 @query(
     "replay_edits",
     C(V.SEQ)
-    + """SELECT name, 'TT' || substr(seq, 2, 1) || 'G' || substr(seq, 5, 4) || 'A' || substr(seq, 10) AS seq FROM seqs WHERE length(seq) >= 12""",
+    + """SELECT name, CASE WHEN length(seq) >= 12 THEN 'TT' || substr(seq, 2, 1) || 'G' || substr(seq, 5, 4) || 'A' || substr(seq, 10) ELSE seq END AS seq FROM seqs""",
 )
 def _(spark, sf):
-    seqs = V.sequences(spark, sf).filter(F.length("seq") >= 12)
-    # edits at 0 (one letter to two), 3 (two letters to one) and 8, positions in the edited text
+    seqs = V.sequences(spark, sf)
+    # short sequences have no edits; the others at 0 (one letter to two), 3 (two letters to one) and 8, positions in the edited text
     log = seqs.select(
         "name",
-        F.concat(
+        F.when(F.length("seq") < 12, "").otherwise(F.concat(
             F.lit("0,"), F.substring("seq", 1, 1), F.lit("/TT;3,"), F.substring("seq", 3, 2), F.lit("/G;8,"),
             F.substring("seq", 9, 1), F.lit("/A"),
-        ).alias("edits"),
+        )).alias("edits"),
     )
     return seqops.replay_edits(seqs, log)
 

@@ -17,14 +17,14 @@ def _tab(*cols):
 
 @query(
     "read_matrix",
-    C(V.MAT, """p AS (SELECT "row", sum(value) FILTER (WHERE "col" = 'AF') AS a, sum(value) FILTER (WHERE "col" = 'NO') AS b, sum(value) FILTER (WHERE "col" = 'RF') AS c FROM mat GROUP BY "row")""")
-    + """SELECT "row", 'AF' AS "col", coalesce(a, 0) AS value FROM p UNION ALL SELECT "row", 'NO', coalesce(b, 0) FROM p UNION ALL SELECT "row", 'RF', coalesce(c, 0) FROM p""",
+    C(V.MAT, """p AS (SELECT "row", sum(value) FILTER (WHERE "col" = 'AF') AS a, sum(value) FILTER (WHERE "col" = 'NO') AS b, sum(value) FILTER (WHERE "col" = 'RF') AS c, sum(value) FILTER (WHERE "col" = 'NF') AS d FROM mat GROUP BY "row")""")
+    + """SELECT "row", 'AF' AS "col", coalesce(a, 0) AS value FROM p UNION ALL SELECT "row", 'NO', coalesce(b, 0) FROM p UNION ALL SELECT "row", 'RF', coalesce(c, 0) FROM p UNION ALL SELECT "row", 'NF', coalesce(d, 0) FROM p""",
 )
 def _(spark, sf):
-    wide = sinks.wide_matrix(V.matrix(spark, sf), ["AF", "NO", "RF"])
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in ("AF", "NO", "RF")]
+    wide = sinks.wide_matrix(V.matrix(spark, sf), ["AF", "NO", "RF", "NF"])
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in ("AF", "NO", "RF", "NF")]
     lines = wide.select(_tab(F.concat(F.lit('"'), "row", F.lit('"')), *cells))
-    return text.parse_matrix(lines, ["AF", "NO", "RF"], fill=0.0)
+    return text.parse_matrix(lines, ["AF", "NO", "RF", "NF"], fill=0.0)
 
 
 @query("read_fasta", C(V.SEQ) + "SELECT name, seq FROM seqs WHERE length(seq) > 10")
@@ -214,10 +214,10 @@ def _(spark, sf):
 
 @query(
     "write_matrix",
-    C(V.MAT) + """SELECT "row", round(sum(value) FILTER (WHERE "col" = 'AF'), 1) AS "AF", round(sum(value) FILTER (WHERE "col" = 'NO'), 1) AS "NO" FROM mat GROUP BY "row\"""",
+    C(V.MAT) + """SELECT "row", round(sum(value) FILTER (WHERE "col" = 'AF'), 1) AS "AF", round(sum(value) FILTER (WHERE "col" = 'NO'), 1) AS "NO", round(sum(value) FILTER (WHERE "col" = 'RF'), 1) AS "RF", round(sum(value) FILTER (WHERE "col" = 'NF'), 1) AS "NF" FROM mat GROUP BY "row\"""",
 )
 def _(spark, sf):
-    return sinks.wide_matrix(V.matrix(spark, sf), ["AF", "NO"])
+    return sinks.wide_matrix(V.matrix(spark, sf), ["AF", "NO", "RF", "NF"])
 
 
 @query(

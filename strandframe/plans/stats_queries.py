@@ -562,12 +562,12 @@ def _gram_cte(name: str, src: str) -> str:
 
 
 _LEFT = "SELECT DISTINCT p_name || '_' || p_type AS name FROM part"
-_RIGHT = "SELECT DISTINCT p_type || '-' || p_name AS name FROM part WHERE p_size > 25"
+_RIGHT = "SELECT DISTINCT p_type || '-' || p_name AS name FROM part"
 
 
 def _name_sets(spark, sf):
     p = V.table(spark, sf, "part")
-    return p.select(F.concat_ws("_", "p_name", "p_type").alias("name")), p.filter("p_size > 25").select(F.concat_ws("-", "p_type", "p_name").alias("name"))
+    return p.select(F.concat_ws("_", "p_name", "p_type").alias("name")), p.select(F.concat_ws("-", "p_type", "p_name").alias("name"))
 
 
 _SIM = (
@@ -595,8 +595,7 @@ def _(spark, sf):
 
 @query("match_unique_greedy")
 def _(spark, sf):
-    sim = J.string_similarity_join(*_name_sets(spark, sf), min_similarity=0.0)
-    return J.match_unique_greedy(sim.withColumnRenamed("similarity", "score"))
+    return J.match_names(*_name_sets(spark, sf))
 
 
 _SL = """sl AS (SELECT CAST(label AS VARCHAR) AS cluster, CAST(vec_id % 40 AS VARCHAR) AS seq, 's' || CAST(vec_id AS VARCHAR) AS seqlet,

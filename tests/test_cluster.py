@@ -189,6 +189,22 @@ def test_rare_grams_lose_no_pair(spark):
     assert cut == {k: v for k, v in full.items() if v >= 0.5} and cut
 
 
+def test_falling_bounds_match_like_all_pairs(spark):
+    rng = np.random.default_rng(19)
+    words = ["heart", "liver", "naive", "tcell", "bcell", "h3k4", "atac", "rep1", "rep2", "kid", "lung"]
+    names = lambda n: sorted({"_".join(rng.choice(words, rng.integers(2, 5))) for _ in range(n)})
+    a = spark.createDataFrame([(n,) for n in [*names(40), None]], "name string")
+    b = spark.createDataFrame([(n,) for n in [*names(50), "zzzz"]], "name string")
+    got = {(r["a"], r["b"]) for r in J.match_names(a, b, (0.7, 0.4, 0.0)).collect()}
+    used_a, used_b, want = set(), set(), set()
+    for r in sorted(J.string_similarity_join(a.where("name IS NOT NULL"), b).collect(), key=lambda r: (-r["similarity"], r["a"], r["b"])):
+        if r["a"] not in used_a and r["b"] not in used_b:
+            want.add((r["a"], r["b"]))
+            used_a.add(r["a"])
+            used_b.add(r["b"])
+    assert got == want and len(got) > 20
+
+
 def test_representatives_from_blocks(spark):
     x = np.random.default_rng(14).random((24, 3))
     d = K.distances(x, x, "euclidean")
