@@ -8,12 +8,11 @@ further pass over the data.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
@@ -22,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.functions.special import t_two_sided_np
+from strandframe.session import written
 
 MAX_FEATURES = 4_096
 
@@ -55,8 +55,11 @@ class Moments:
     yy: np.ndarray
 
 
-def moments(data: DataFrame, features: list[str], tracks: list[str], weight: str | None = None) -> Moments:
-    """One pass over ``(name, vec, y)``; the result has (features + tracks + 1) squared numbers."""
+def moments(data: DataFrame, features: list[str], tracks: list[str], weight: str | None = None, columns: np.ndarray | None = None) -> Moments:
+    """One pass over ``(name, vec, y)``; the result has (features + tracks + 1) squared numbers.
+
+    ``columns`` are the places of the features in ``vec`` where these are not all of it.
+    """
     p, t = len(features), len(tracks)
     if p > MAX_FEATURES:
         raise ValueError(f"at most {MAX_FEATURES} features; select features first")
@@ -68,6 +71,7 @@ def moments(data: DataFrame, features: list[str], tracks: list[str], weight: str
             if not len(part):
                 continue
             x, y = np.array(part["vec"].to_list(), float), np.array(part["y"].to_list(), float)
+            x = x if columns is None else x[:, columns]
             z = np.hstack([np.ones((len(part), 1)), x, y])
             w = part["w"].to_numpy(float)[:, None]
             total += (z * w).T @ z
@@ -82,6 +86,82 @@ def moments(data: DataFrame, features: list[str], tracks: list[str], weight: str
     return Moments(features, tracks, m[0, 0], m[: 1 + p, : 1 + p], m[: 1 + p, 1 + p :], np.diag(m)[1 + p :].copy())
 
 
+# ------------------------------------------------- without a table of feature pairs
+def _passed(data: DataFrame, rows: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum of ``rows(z, y, w)`` (an array of one shape) over Arrow batches of ``(vec, y, w)``; z has a leading one."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for part in parts:
+            if not len(part):
+                continue
+            x, y = np.array(part["vec"].to_list(), float), np.array(part["y"].to_list(), float)
+            one = rows(np.hstack([np.ones((len(part), 1)), x]), y, part["w"].to_numpy(float)[:, None])
+            total = one if total is None else total + one
+        if total is not None:
+            yield pd.DataFrame({"v": [total.ravel()]})
+
+    sums = data.mapInPandas(run, "v array<double>").select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    table = sums.toPandas().sort_values("i")  # as many numbers as one result has
+    return table["v"].to_numpy()
+
+
+def wide_ridge(data: DataFrame, n_features: int, n_tracks: int, alpha: float, rounds: int = 1_000, tol: float = 1e-11) -> np.ndarray:
+    """Ridge coefficients by conjugate gradients with a diagonal preconditioner.
+
+    A round is one pass that multiplies the present directions (features * tracks numbers) by
+    X and by its transpose; no table of feature pairs exists anywhere.
+    """
+    shape = (1 + n_features, n_tracks)
+    first = _passed(data, lambda z, y, w: np.hstack([(z * w).T @ y, (z * z * w).sum(0)[:, None]])).reshape(shape[0], n_tracks + 1)
+    c, reg = first[:, :n_tracks], np.r_[0.0, np.full(n_features, alpha)][:, None]
+    scale = first[:, [n_tracks]] + reg
+    scale[scale == 0] = 1.0
+    b, r = np.zeros(shape), c.copy()
+    z = r / scale
+    d, rz, goal = z.copy(), (r * z).sum(0), tol**2 * (c * c / scale).sum(0)
+    for _ in range(rounds):
+        open_ = rz > goal
+        if not open_.any():
+            break
+        ad = _passed(data, lambda z, y, w, d=d: (z * w).T @ (z @ d)).reshape(shape) + reg * d
+        curve = (d * ad).sum(0)
+        step = np.where(open_ & (curve > 0), rz / np.where(curve > 0, curve, 1.0), 0.0)
+        b, r = b + step * d, r - step * ad
+        z = r / scale
+        new = (r * z).sum(0)
+        d = z + np.where(rz > 0, new / np.where(rz > 0, rz, 1.0), 0.0) * d
+        rz = new
+    return b
+
+
+def wide_elastic_net(data: DataFrame, features: list[str], tracks: list[str], alpha: float, l1_ratio: float) -> np.ndarray:
+    """Coordinate descent on the features that can be other than zero, until no feature left out would move.
+
+    The first features are those whose product with the centred targets passes the penalty; after
+    each fit one pass gives the gradient of all, and the ones above the penalty join.
+    """
+    if alpha * l1_ratio <= 0:
+        raise ValueError("without an l1 penalty every feature stays; use l2")
+    p, t = len(features), len(tracks)
+    start = _passed(data, lambda z, y, w: np.hstack([(z * w).T @ y, (z * w).sum(0)[:, None]])).reshape(1 + p, t + 1)
+    n, c = start[0, t], start[:, :t]
+    b = np.vstack([c[:1] / n, np.zeros((p, t))])
+    used = np.zeros(p, bool)
+    while True:
+        fit = _passed(data, lambda z, y, w: (z * w).T @ (z @ b)).reshape(1 + p, t)
+        gradient = np.abs(c - fit)[1:].max(1) / n
+        more = (gradient > alpha * l1_ratio * (1 + 1e-7)) & ~used
+        if not more.any():
+            return b
+        used |= more
+        at = np.flatnonzero(used)
+        m = moments(data, [features[i] for i in at], tracks, "w", at)
+        found = elastic_net(m, alpha, l1_ratio, rounds=5_000, tol=1e-11)
+        b = np.zeros((1 + p, t))
+        b[0], b[1 + at] = found[0], found[1:]
+
+
 def ridge(m: Moments, alpha: float = 0.0, keep: np.ndarray | None = None) -> np.ndarray:
     """(1 + features, tracks) coefficients of squared error + alpha * squared norm; the intercept is free."""
     keep = np.ones(len(m.features), bool) if keep is None else keep
@@ -146,8 +226,23 @@ def linear_models(data: DataFrame, features: list[str], tracks: list[str], penal
     """One linear model per track: ``(track, feature, value)``.
 
     ``none``, ``l2`` (alpha * squared norm), ``l1`` or ``elastic``; ``refit`` fits the features that
-    stay after l1 again without a penalty.
+    stay after l1 again without a penalty.  More than ``MAX_FEATURES`` features are fitted to the same
+    optimum without their pairs: conjugate gradients, or coordinate descent on screened ones.
     """
+    if len(features) > MAX_FEATURES:
+        w = F.col(weight).cast("double") if weight else F.lit(1.0)
+        rows = written(data.select("vec", "y", w.alias("w")))
+        if penalty in ("none", "l2"):
+            b = wide_ridge(rows, len(features), len(tracks), alpha if penalty == "l2" else 0.0)
+        else:
+            b = wide_elastic_net(rows, features, tracks, alpha, 1.0 if penalty == "l1" else l1_ratio)
+            for t in range(len(tracks) if refit else 0):
+                at = np.flatnonzero(b[1:, t])
+                one = moments(rows.withColumn("y", F.array(F.col("y")[t])), [features[i] for i in at], [tracks[t]], "w", at)
+                again = ridge(one, 0.0)
+                b[:, t] = 0.0
+                b[0, t], b[1 + at, t] = again[0, 0], again[1:, 0]
+        return coefficient_table(data.sparkSession, Moments(features, tracks, 0, None, None, None), b)
     m = moments(data, features, tracks, weight)
     if penalty in ("none", "l2"):
         b = ridge(m, alpha if penalty == "l2" else 0.0)
@@ -268,20 +363,75 @@ def feature_ablation(data: DataFrame, features: list[str], tracks: list[str], al
     return data.sparkSession.createDataFrame(rows, "track string, feature string, mse_change double")
 
 
-def logistic_models(data: DataFrame, features: list[str], tracks: list[str], reg: float = 0.0, elastic: float = 0.0) -> DataFrame:
-    """One binary model per track: ``(track, feature, value)``."""
-    base = data.select(array_to_vector("vec").alias("features"), "y").persist()
-    out = []
-    for i, t in enumerate(tracks):
-        model = LogisticRegression(regParam=reg, elasticNetParam=elastic, standardization=False, maxIter=50).fit(
-            base.select("features", F.get("y", F.lit(i)).alias("label"))
-        )
-        out.append((t, "(intercept)", float(model.intercept)))
-        out.extend((t, f, float(v)) for f, v in zip(features, model.coefficients))
-    base.unpersist()
+def logistic_models(data: DataFrame, features: list[str], tracks: list[str], reg: float = 0.0, elastic: float = 0.0, rounds: int = 60, tol: float = 1e-9) -> DataFrame:
+    """One binary model per track: ``(track, feature, value)``.
+
+    Mean loss + reg * (elastic * |b| + (1 - elastic) / 2 * b^2), the intercept free, by reweighted
+    least squares.  One pass a round gathers the weighted sums of all tracks, so the number of
+    jobs does not depend on the number of tracks.  A step that raises the loss is halved; without
+    a penalty, separable data go on to larger coefficients for ``rounds`` rounds.
+    """
+    p, t = len(features), len(tracks)
+    if p > MAX_FEATURES:
+        raise ValueError(f"at most {MAX_FEATURES} features; select features first")
+    rows = written(data.select("vec", "y", F.lit(1.0).alias("w")))
+    l1, l2 = reg * elastic, reg * (1 - elastic)
+    free = np.r_[0.0, np.ones(p)]
+    b, old, last = np.zeros((1 + p, t)), np.zeros((1 + p, t)), np.full(t, np.inf)
+    done = np.zeros(t, bool)
+    for _ in range(rounds):
+
+        def sums(z, y, w, b=b):
+            out = []
+            for k in range(t):
+                s = z @ b[:, k]
+                mu = 1 / (1 + np.exp(-np.clip(s, -500, 500)))
+                loss = np.logaddexp(0, s) - y[:, k] * s
+                out.append(np.concatenate([[loss.sum(), len(z)], z.T @ (y[:, k] - mu), ((z * (mu * (1 - mu))[:, None]).T @ z).ravel()]))
+            return np.array(out)
+
+        got = _passed(rows, sums).reshape(t, -1)
+        if not got.size:
+            break
+        n = got[0, 1]
+        for k in range(t):
+            if done[k]:
+                continue
+            size = np.abs(b[1:, k])
+            loss = got[k, 0] / n + l1 * size.sum() + l2 / 2 * (size**2).sum()
+            if loss > last[k] + 1e-13 * abs(last[k]):
+                b[:, k] = (b[:, k] + old[:, k]) / 2
+                done[k] = np.abs(b[:, k] - old[:, k]).max() < tol
+                continue
+            g, h = got[k, 2 : 3 + p] / n, got[k, 3 + p :].reshape(1 + p, 1 + p) / n
+            if l1 == 0:
+                new = b[:, k] + np.linalg.lstsq(h + np.diag(free * l2), g - l2 * free * b[:, k], rcond=1e-12)[0]
+            else:
+                new = _quadratic_lasso(h, h @ b[:, k] + g, l1 * free, l2 * free, b[:, k])
+            done[k] = np.abs(new - b[:, k]).max() < tol
+            old[:, k], last[k], b[:, k] = b[:, k], loss, new
+        if done.all():
+            break
+    names = ["(intercept)", *features]
+    out = [(track, f, float(b[i, k])) for k, track in enumerate(tracks) for i, f in enumerate(names)]
     return data.sparkSession.createDataFrame(out, "track string, feature string, value double")
 
 
+def _quadratic_lasso(a: np.ndarray, c: np.ndarray, l1: np.ndarray, l2: np.ndarray, b: np.ndarray, rounds: int = 2_000) -> np.ndarray:
+    """Least b'ab / 2 - c'b + l1 |b| + l2 / 2 b^2 by coordinate descent."""
+    b = b.copy()
+    for _ in range(rounds):
+        worst = 0.0
+        for j in np.flatnonzero(np.diag(a) > 1e-15):
+            r = c[j] - a[j] @ b + a[j, j] * b[j]
+            new = np.sign(r) * max(abs(r) - l1[j], 0) / (a[j, j] + l2[j])
+            worst = max(worst, abs(new - b[j]))
+            b[j] = new
+        if worst < 1e-12:
+            break
+    return b
+
+
 def random_forest(data: DataFrame, features: list[str], track_index: int = 0, trees: int = 20, depth: int = 5, seed: int = 0) -> DataFrame:
     """Importance and rank per feature of a regression forest."""
     d = data.select(array_to_vector("vec").alias("features"), F.get("y", F.lit(track_index)).alias("label"))

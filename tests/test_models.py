@@ -126,3 +126,60 @@ def test_ablation_equals_fitting_again(spark, alpha):
     for j in range(6):
         want = mse([k for k in range(6) if k != j]) - full
         assert np.allclose([got[f"f{j}", t] for t in T2], want, atol=1e-9)
+
+
+def wide_table(df, names, tracks):
+    p = df.toPandas().pivot(index="feature", columns="track", values="value")
+    return p.loc[["(intercept)", *names], tracks].to_numpy()
+
+
+def test_wide_models_equal_the_small_ones(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150, 30))
+    y = np.column_stack([x[:, :3] @ [2, -1, 1] + 1, x[:, 5] - x[:, 7]]) + rng.normal(size=(150, 2)) * 0.3
+    names = [f"f{i:02d}" for i in range(30)]
+    df = spark.createDataFrame([(f"n{i}", x[i].tolist(), y[i].tolist()) for i in range(150)], "name string, vec array<double>, y array<double>").repartition(3)
+    kinds = [("l2", 5.0, False), ("l1", 0.3, True), ("elastic", 0.5, False)]
+    small = [wide_table(MD.linear_models(df, names, T2, k, a, refit=r), names, T2) for k, a, r in kinds]
+    monkeypatch.setattr(MD, "MAX_FEATURES", 29)
+    for (k, a, r), want in zip(kinds, small):
+        assert np.allclose(wide_table(MD.linear_models(df, names, T2, k, a, refit=r), names, T2), want, atol=1e-6)
+
+
+def test_logistic_closed_forms(spark):
+    # one binary feature: intercept and slope are log odds; no feature that matters: the log odds of the target
+    rows = [(f"a{i}", [float(i % 2), 0.0], [float(i % 3 == 0 if i % 2 else i % 5 == 0), float(i % 4 == 0)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "name string, vec array<double>, y array<double>")
+    got = {(r.track, r.feature): r.value for r in MD.logistic_models(df, ["g", "h"], ["s", "u"]).collect()}
+    odds = lambda hit: np.log(hit / (1 - hit))
+    y = np.array([r[2][0] for r in rows])
+    even, odd = y[::2].mean(), y[1::2].mean()
+    assert got["s", "(intercept)"] == pytest.approx(odds(even), abs=1e-7) and got["s", "g"] == pytest.approx(odds(odd) - odds(even), abs=1e-7)
+    assert got["s", "h"] == 0.0
+
+
+@pytest.mark.parametrize("reg, elastic", [(0.05, 0.0), (0.03, 0.5)])
+def test_logistic_optimality(spark, reg, elastic):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(200, 4))
+    y = (rng.random((200, 2)) < 1 / (1 + np.exp(-np.column_stack([x[:, 0] * 2 - 1, x[:, 1] - x[:, 2]])))).astype(float)
+    df = spark.createDataFrame([(f"n{i}", x[i].tolist(), y[i].tolist()) for i in range(200)], "name string, vec array<double>, y array<double>").repartition(3)
+    b = wide_table(MD.logistic_models(df, ["a", "b", "c", "d"], T2, reg, elastic), ["a", "b", "c", "d"], T2)
+    mu = 1 / (1 + np.exp(-(b[0] + x @ b[1:])))
+    assert np.abs((y - mu).mean(0)).max() < 1e-7
+    grad = x.T @ (y - mu) / 200 - reg * (1 - elastic) * b[1:]
+    on = np.abs(b[1:]) > 1e-9
+    assert np.allclose(grad[on], reg * elastic * np.sign(b[1:][on]), atol=1e-7) and (np.abs(grad[~on]) <= reg * elastic + 1e-7).all()
+
+
+def test_reductions(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(60, 5)) @ np.diag([5, 3, 1, 0.5, 0.1])
+    df = spark.createDataFrame([(f"n{i:02d}", x[i].tolist()) for i in range(60)], "name string, vec array<double>")
+    c = x - x.mean(0)
+    u, s, vt = np.linalg.svd(c, full_matrices=False)
+    got = np.array([r.dims for r in MD.svd_reduce(df, 5).orderBy("name").collect()])
+    assert np.allclose(np.abs(got), np.abs(u * s), atol=1e-8)
+    assert len(MD.svd_reduce(df, 0.9).first().dims) == int(np.searchsorted(np.cumsum(s**2) / (s**2).sum(), 0.9) + 1)
+    flat = np.array([r.dims for r in MD.linear_embedding(df, 2)[1].orderBy("name").collect()])
+    assert np.allclose(np.abs(flat), np.abs((u * s)[:, :2]), atol=1e-8)
