@@ -15,7 +15,6 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -496,23 +495,30 @@ def svd_reduce(points: DataFrame, reduce_to: float, center: bool = True, scores:
 
 
 def nonnegative_factorization(df: DataFrame, k: int, seed: int = 0, iterations: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Nonnegative row and column factors of ``(row, col, value)`` by alternating least squares.
+    """Nonnegative row and column factors ``features`` of ``(row, col, value)``; absent cells are zeros.
 
-    Row and column names are numbered by hash; the numbers are checked to be unique.
+    Multiplicative updates: a factor is multiplied by X times the other factor and divided by itself
+    times the other's k by k products.  Only cells that are there are joined, and zeros
+    count through these products.  Negative, null and NaN cells count as zero, repeated ones add up.
     """
-    ids = {}
-    for axis in ("row", "col"):
-        u = df.select(axis).distinct()
-        hashed = u.withColumn("id", F.pmod(F.xxhash64(axis), F.lit(2**31 - 1)).cast("int"))
-        clash = hashed.groupBy("id").count().filter("count > 1").limit(1).count()
-        if clash:
-            order = u.rdd.map(lambda r: r[0]).zipWithIndex().toDF([axis, "id"])
-            hashed = order.withColumn("id", F.col("id").cast("int"))
-        ids[axis] = hashed
-    r = ids["row"].withColumnRenamed("id", "rid")
-    c = ids["col"].withColumnRenamed("id", "cid")
-    d = df.join(r, "row").join(c, "col").select("rid", "cid", F.col("value").cast("float").alias("value"))
-    model = ALS(rank=k, maxIter=iterations, nonnegative=True, userCol="rid", itemCol="cid", ratingCol="value", seed=seed).fit(d)
-    rows = model.userFactors.join(r, F.col("id") == F.col("rid")).select("row", "features")
-    cols = model.itemFactors.join(c, F.col("id") == F.col("cid")).select("col", "features")
+    value = F.when(F.col("value") > 0, F.when(~F.isnan(F.col("value").cast("double")), F.col("value").cast("double"))).otherwise(0.0)
+    cells = written(df.groupBy("row", "col").agg(F.sum(F.coalesce(value, F.lit(0.0))).alias("value")))
+
+    def start(key: str, salt: int) -> DataFrame:
+        draws = [F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(salt + 2 * i)), F.lit(1_000_003)) / 1_000_003 + 0.1 for i in range(k)]
+        return written(cells.select(key).distinct().select(key, F.array(*draws).alias("features")))
+
+    def updated(key: str, mine: DataFrame, other_key: str, other: DataFrame) -> DataFrame:
+        sums = other.agg(*[F.sum(F.col("features")[i] * F.col("features")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+        gram = [[float(sums[f"g{min(i, j)}_{max(i, j)}"] or 0.0) for j in range(k)] for i in range(k)]  # k by k numbers
+        product = cells.join(other, other_key).groupBy(key).agg(F.array(*[F.sum(F.col("value") * F.col("features")[i]) for i in range(k)]).alias("xf"))
+        below = [sum((F.col("features")[j] * gram[j][i] for j in range(1, k)), F.col("features")[0] * gram[0][i]) for i in range(k)]
+        new = [F.when(b > 1e-300, F.col("features")[i] * F.col("xf")[i] / b).otherwise(0.0) for i, b in enumerate(below)]
+        return written(mine.join(product, key).select(key, F.array(*new).alias("features")))
+
+    rows, cols = start("row", 0), start("col", 1)
+    for _ in range(iterations):
+        rows = updated("row", rows, "col", cols)
+        cols = updated("col", cols, "row", rows)
     return rows, cols
+

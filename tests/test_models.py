@@ -183,3 +183,24 @@ def test_reductions(spark):
     assert len(MD.svd_reduce(df, 0.9).first().dims) == int(np.searchsorted(np.cumsum(s**2) / (s**2).sum(), 0.9) + 1)
     flat = np.array([r.dims for r in MD.linear_embedding(df, 2)[1].orderBy("name").collect()])
     assert np.allclose(np.abs(flat), np.abs((u * s)[:, :2]), atol=1e-8)
+
+
+def test_factors_follow_the_updates(spark):
+    rng = np.random.default_rng(13)
+    x = (rng.random((12, 2)) @ rng.random((2, 9))) * (rng.random((12, 9)) < 0.7)
+    cells = [(f"r{i:02d}", f"c{j}", float(x[i, j])) for i in range(12) for j in range(9) if x[i, j] > 0]
+    df = spark.createDataFrame([*cells, ("r00", "c0", None), ("r01", "c1", -5.0)], "row string, col string, value double")
+
+    def factors(n):
+        rows, cols = MD.nonnegative_factorization(df, 2, iterations=n)
+        return [np.array([r.features for r in f.orderBy(f.columns[0]).collect()]) for f in (rows, cols)]
+
+    w, h = factors(0)
+    errors = []
+    for _ in range(4):
+        w = w * (x @ h) / (w @ (h.T @ h))
+        h = h * (x.T @ w) / (h @ (w.T @ w))
+        errors.append(np.linalg.norm(x - w @ h.T))
+    got_w, got_h = factors(4)
+    assert np.allclose(got_w, w) and np.allclose(got_h, h) and errors == sorted(errors, reverse=True)
+    assert MD.nonnegative_factorization(df.limit(0), 2, iterations=1)[0].count() == 0
