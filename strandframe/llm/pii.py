@@ -1,10 +1,11 @@
 """Personal data and the terms that give it away.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers.  For every
-such value (the protected entity) the corpus tells how much a term of the same document
-reveals it: the pointwise mutual information of term and entity against the entity's own
-information content.  Terms over the disclosure threshold are spans too; a term that
-occurs with that entity only is removed, any other is generalised to its kind of word.
+such value, for what it shares with others (mail domain, network, first digits) and for its
+kind, the corpus tells how much a term of the same document reveals it: how many bits
+of the entity's information content the term leaves open, by a lower bound that allows for
+few observations.  Terms over the disclosure threshold are spans too; a term that occurs
+with that entity only is removed, any other is generalised to its kind of word.
 """
 
 from __future__ import annotations
@@ -104,54 +105,56 @@ def outside_of(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda a: F.concat_ws(" ", a["out"], F.substring(text, a["at"] + 1, F.length(text))))
 
 
+def entity_levels(s: Column) -> Column:
+    """What a span stands for: its value, what the value shares with others, its kind."""
+    value = F.lower(s["value"])
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    shared = (
+        F.when(s["kind"] == "email", F.substring_index(value, "@", -1))
+        .when(s["kind"] == "ip", F.substring_index(value, ".", 3))
+        .when(s["kind"] == "card", F.substring(digits, 1, 6))
+        .otherwise(F.substring(digits, 1, 5))
+    )
+    return F.array(F.concat(F.lit("="), value), F.concat(F.lit("~"), s["kind"], F.lit(" "), shared), F.concat(F.lit("*"), s["kind"]))
+
+
 def with_terms(texts: DataFrame) -> DataFrame:
-    """``id, h, entities, terms`` per row: its distinct values and the distinct terms outside of them."""
+    """``id, h, entities, terms`` per row: what its values stand for and the distinct terms outside of them."""
     spans = settled(texts.withColumn("spans", base_spans(F.col("t"))))
-    entities = F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"])))
+    entities = F.array_distinct(F.flatten(F.transform("spans", entity_levels)))
     rest = F.when(F.size("spans") > 0, outside_of(F.col("t"), F.col("spans"))).otherwise(F.col("t"))
     return spans.select("id", "h", entities.alias("entities"), terms_of(rest).alias("terms"))
 
 
-def contexts(rows: DataFrame, min_support: int) -> tuple[DataFrame, DataFrame]:
-    """``entity, n_e`` of the entities in ``min_support`` different texts or more, and ``id, h, terms, known`` of the rows with any of these.
+def contexts(rows: DataFrame, least_texts: float) -> DataFrame:
+    """``id, h, terms, known`` of the rows with entities in ``least_texts`` different texts or more, and these.
 
-    No other entity can meet a term in so many texts, so its pairs are not made.
+    With fewer texts even a term that is always with the entity stays below the bound, so its pairs are not made.
     """
     single = rows.select("id", "h", F.explode("entities").alias("entity"))
-    n_e = single.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.count_distinct("h").alias("texts"))
-    n_e = n_e.where(F.col("texts") >= min_support).select("entity", "n_e")
-    known = (
-        single.join(n_e.select("entity"), "entity")
-        .groupBy(F.col("id").alias("_id"), F.col("h").alias("_h"))
-        .agg(F.collect_set("entity").alias("known"))
-    )
+    often = single.groupBy("entity").agg(F.count_distinct("h").alias("texts")).where(F.col("texts") >= least_texts)
+    known = single.join(often.select("entity"), "entity").groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set("entity").alias("known"))
     met = rows.join(known, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
-    return n_e, met.select("id", "h", "terms", "known")
+    return met.select("id", "h", "terms", "known")
 
 
-def disclosing_terms(texts: DataFrame, n_e: DataFrame, seen: DataFrame, alpha: float, min_support: int) -> DataFrame:
-    """``entity, term, sole``: terms whose information about the entity is at least ``alpha`` of the entity's own.
+def disclosing_terms(texts: DataFrame, seen: DataFrame, open_bits: float, z: float) -> DataFrame:
+    """``entity, term, sole``: terms that leave at most ``open_bits`` bits of an entity's information open.
 
-    With N documents, n_e with the entity, n_t with the term outside of base spans and
-    n_et with both, the term is taken when log2(N n_et / (n_e n_t)) >= alpha log2(N / n_e)
-    and the two meet in ``min_support`` different texts or more, so that copies prove nothing.
+    With n_t documents with the term outside of base spans, n_et of these with the entity and s
+    different texts among them, P = n_et / n_t * s / (s + z^2) bounds the share from below
+    (copies are no further evidence), and a term leaves -log2 P bits open.
     """
-    joint = (
-        seen.groupBy("entity", "term")
-        .agg(F.count(F.lit(1)).alias("n_et"), F.count_distinct("h").alias("support"))
-        .where(F.col("support") >= min_support)
-    )
+    joint = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.count_distinct("h").alias("s")).where(F.col("s") >= _least_texts(open_bits, z))
     n_t = with_terms(texts).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = texts.agg(F.count(F.lit(1)).alias("n"))
-    n = F.col("n").cast("double")
-    information = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    return (
-        joint.join(n_e, "entity")
-        .join(n_t, "term")
-        .join(F.broadcast(total), F.lit(True))  # one row
-        .where(information >= alpha * F.log2(n / F.col("n_e")))
-        .select("entity", "term", (F.col("n_et") >= F.col("n_t")).alias("sole"))
-    )
+    share = F.col("n_et") / F.col("n_t") * F.col("s") / (F.col("s") + z * z)
+    taken = joint.join(n_t, "term").where(-F.log2(share) <= open_bits)
+    return taken.select("entity", "term", (F.col("n_et") >= F.col("n_t")).alias("sole"))
+
+
+def _least_texts(open_bits: float, z: float) -> float:
+    """Texts without which s / (s + z^2) is below 2^-open_bits."""
+    return z * z / (2.0**open_bits - 1.0)
 
 
 def masked(text: Column, spans: Column) -> Column:
@@ -169,9 +172,11 @@ def masked(text: Column, spans: Column) -> Column:
     )
 
 
-def sanitise(docs: DataFrame, alpha: float = 0.9, min_support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitise(docs: DataFrame, open_bits: float = 1.0, z: float = 1.64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, spans, clean_text`` per input row.
 
+    A term goes or is generalised when it leaves at most ``open_bits`` (above 0) bits open; ``z``
+    is how many standard deviations the bound keeps from the observed share.
     ``spans`` holds (start, rank, end, kind, value, mask) of base kinds and of kind
     ``term``, by start.  A null text is empty and has no spans; rows with the same id
     and text get the same result; an empty table gives an empty result.
@@ -179,9 +184,9 @@ def sanitise(docs: DataFrame, alpha: float = 0.9, min_support: int = 3, id_col:
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
     texts = base.withColumn("h", F.xxhash64("t"))
     rows = stored(with_terms(texts).where(F.size("entities") > 0), "entity-rows")
-    n_e, met = contexts(rows, min_support)
+    met = contexts(rows, _least_texts(open_bits, z))
     seen = stored(met, "entity-terms").select("id", "h", F.explode("known").alias("entity"), "terms").select("id", "h", "entity", F.explode("terms").alias("term"))
-    found = disclosing_terms(texts, n_e, seen, alpha, min_support)
+    found = disclosing_terms(texts, seen, open_bits, z)
     per_text = (
         seen.join(found, ["entity", "term"])
         .groupBy("id", "h")

@@ -72,4 +72,7 @@ def op10(spark, sf):
     base = F.filter("spans", lambda s: s["rank"] < len(KINDS))
     kinds = F.transform("spans", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(labelled(base), 256).alias("base_sha256"), labelled(F.col("spans")).alias("spans"))
+    terms = F.filter("spans", lambda s: s["rank"] == len(KINDS))
+    gone = F.size(F.filter(terms, lambda s: s["mask"] == "[TERM]"))
+    treated = [gone.cast("long").alias("n_removed"), (F.size(terms) - gone).cast("long").alias("n_generalised"), F.sha2("clean_text", 256).alias("clean_sha256")]
+    return found.select("doc_id", *counts, F.sha2(labelled(base), 256).alias("base_sha256"), labelled(F.col("spans")).alias("spans"), *treated)

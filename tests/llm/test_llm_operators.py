@@ -166,6 +166,41 @@ def test_disclosing_terms_of_repeated_and_neighbouring_lines(spark):
     assert not any(got[i] for i in range(15, len(rows)))
 
 
+def test_terms_by_the_rule_written_out(spark):
+    """Every term next to any level of an entity, from counts in plain Python; the shared part of values acts too."""
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(160):
+        text = " ".join(rng.choice(words, 12))
+        if k % 4 == 0:
+            text += f" Acme staff{k}@acme.example" + (" Dana" if k % 8 == 0 else "")
+        if k % 9 == 0:
+            text += f" host 10.1.2.{k}"
+        if k % 16 == 0:
+            text += f" call +1 555 123 {1000 + k}"
+        rows.append(text)
+    rows += rows[:5]
+    levels = lambda kind, v: {"=" + v.lower(), "*" + kind, {"email": "~email " + v.lower().split("@")[-1], "ip": "~ip " + ".".join(v.split(".")[:3]), "phone": "~phone " + re.sub("[^0-9]", "", v)[:5]}[kind]}
+    found, terms = [], []
+    for t in rows:
+        spans = base_spans(t)
+        found.append(set().union(*(levels(k, t[a:e]) for a, _, k, e in spans)))
+        rest = "".join(" " if any(a <= i < e for a, _, _, e in spans) else c for i, c in enumerate(t))
+        terms.append({w for w in re.split(r"[^\w']+|_", rest.lower()) if re.search("[a-z]", w)})
+    n_t = Counter(w for ws in terms for w in ws)
+    docs, texts = Counter(), defaultdict(set)
+    for t, es, ws in zip(rows, found, terms):
+        for e in es:
+            for w in ws:
+                docs[e, w] += 1
+                texts[e, w].add(t)
+    taken = {(e, w) for (e, w), n in docs.items() if n / n_t[w] * len(texts[e, w]) / (len(texts[e, w]) + 1.64**2) >= 0.5}
+    got = {r.doc_id: {s.value.lower() for s in r.spans if s.kind == "term"} for r in sanitise(docs_of(spark, rows)).collect()}
+    assert got == {i: {w for w in ws if any((e, w) in taken for e in es)} for i, (es, ws) in enumerate(zip(found, terms))}
+    assert "acme" in got[4] and "dana" in got[0] and got[1] == set()
+
+
 def test_an_entity_without_terms_counts(spark):
     # 36 of the 40 documents with the address hold nothing else; counted as 4, the address would be given away by Quill.
     rows = [f"Quill w{k}x q@q.com" for k in range(4)] + ["q@q.com"] * 36 + ["Quill w4x"] + [f"v{k}x" for k in range(59)]
