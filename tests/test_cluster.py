@@ -250,3 +250,26 @@ def test_balanced_folds_of_many_groups(spark):
     sizes = [r["count"] for r in out.groupBy("fold").count().collect()]
     assert len(sizes) == 4 and max(sizes) - min(sizes) <= 20
     assert FO.group_balanced_folds(df.limit(0), "g", 4).count() == 0
+
+
+def test_subclusters_by_effect(spark):
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(16, 5)) + np.repeat(rng.normal(size=(4, 5)) * 3, 4, axis=0)
+    x[rng.random(x.shape) < 0.1] = 0.0  # conditions without a row
+    where = [i % 2 for i in range(16)]
+    effects = spark.createDataFrame([(f"p{i:03d}", f"t{j}", float(x[i, j])) for i in range(16) for j in range(5) if x[i, j]], "name string, condition string, effect double")
+    clusters = spark.createDataFrame([(f"p{i:03d}", f"c{where[i]}") for i in range(16)], "name string, cluster string")
+    labels, means = K.subcluster_by_effect(effects, clusters, 0.5)
+    got = {}
+    for r in labels.collect():
+        got.setdefault((r["cluster"], r["subcluster"]), set()).add(int(r["name"][1:]))
+    want = set()
+    for c in (0, 1):
+        ids = np.array([i for i in range(16) if where[i] == c])
+        want |= {frozenset(int(i) for i in ids[list(g)]) for g in naive_labels(K.distances(x[ids], x[ids], "correlation"), "complete", 0.5)}
+    assert {frozenset(v) for v in got.values()} == want and all(k[1] == f"p{min(v):03d}" for k, v in got.items())
+    table = {(r["cluster"], r["subcluster"], r["condition"]): r["effect"] for r in means.collect()}
+    for (c, s), members in got.items():
+        for j in range(5):
+            value = x[sorted(members), j].sum() / len(members)
+            assert table.get((c, s, f"t{j}"), 0.0) == pytest.approx(value)
