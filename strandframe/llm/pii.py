@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.llm.common import settled, stored, text_of
+from strandframe.session import maybe_broadcast
 
 KINDS = ("email", "ip", "card", "phone")
 # Same matches as the plain patterns, written so that they run in linear time: possessive repetition never
@@ -127,15 +128,15 @@ def with_terms(texts: DataFrame) -> DataFrame:
 
 
 def contexts(rows: DataFrame, least_texts: float) -> DataFrame:
-    """``id, h, terms, known`` of the rows with entities in ``least_texts`` different texts or more, and these.
+    """``h, copies, terms, known`` of the different texts with entities in ``least_texts`` different texts or more, and these.
 
     With fewer texts even a term that is always with the entity stays below the bound, so its pairs are not made.
     """
-    single = rows.select("id", "h", F.explode("entities").alias("entity"))
-    often = single.groupBy("entity").agg(F.count_distinct("h").alias("texts")).where(F.col("texts") >= least_texts)
-    known = single.join(often.select("entity"), "entity").groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set("entity").alias("known"))
-    met = rows.join(known, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
-    return met.select("id", "h", "terms", "known")
+    texts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    single = rows.select("h", F.explode("entities").alias("entity")).distinct()
+    often = single.groupBy("entity").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= least_texts)
+    known = single.join(often.select("entity"), "entity").groupBy("h").agg(F.collect_set("entity").alias("known"))
+    return texts.select("h", "copies", "terms").join(known, "h")
 
 
 def disclosing_terms(texts: DataFrame, seen: DataFrame, open_bits: float, z: float) -> DataFrame:
@@ -143,9 +144,10 @@ def disclosing_terms(texts: DataFrame, seen: DataFrame, open_bits: float, z: flo
 
     With n_t documents with the term outside of base spans, n_et of these with the entity and s
     different texts among them, P = n_et / n_t * s / (s + z^2) bounds the share from below
-    (copies are no further evidence), and a term leaves -log2 P bits open.
+    (copies are no further evidence), and a term leaves -log2 P bits open.  ``seen`` has a row
+    per different text, so both counts are added up before the shuffle.
     """
-    joint = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.count_distinct("h").alias("s")).where(F.col("s") >= _least_texts(open_bits, z))
+    joint = seen.groupBy("entity", "term").agg(F.sum("copies").alias("n_et"), F.count(F.lit(1)).alias("s")).where(F.col("s") >= _least_texts(open_bits, z))
     n_t = with_terms(texts).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     share = F.col("n_et") / F.col("n_t") * F.col("s") / (F.col("s") + z * z)
     taken = joint.join(n_t, "term").where(-F.log2(share) <= open_bits)
@@ -184,19 +186,18 @@ def sanitise(docs: DataFrame, open_bits: float = 1.0, z: float = 1.64, id_col: s
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
     texts = base.withColumn("h", F.xxhash64("t"))
     rows = stored(with_terms(texts).where(F.size("entities") > 0), "entity-rows")
-    met = contexts(rows, _least_texts(open_bits, z))
-    seen = stored(met, "entity-terms").select("id", "h", F.explode("known").alias("entity"), "terms").select("id", "h", "entity", F.explode("terms").alias("term"))
-    found = disclosing_terms(texts, seen, open_bits, z)
+    met = stored(contexts(rows, _least_texts(open_bits, z)), "entity-terms")
+    seen = met.select("h", "copies", F.explode("known").alias("entity"), "terms").select("h", "copies", "entity", F.explode("terms").alias("term"))
+    found = maybe_broadcast(stored(disclosing_terms(texts, seen, open_bits, z), "disclosing-terms"))  # else a shuffled join
     per_text = (
         seen.join(found, ["entity", "term"])
-        .groupBy("id", "h")
+        .groupBy(F.col("h").alias("_h"))
         .agg(
             F.collect_set(F.when(F.col("sole"), F.col("term"))).alias("gone"),
             F.collect_set("term").alias("terms"),
         )
-        .select(F.col("id").alias("_id"), F.col("h").alias("_h"), "gone", "terms")
     )
-    met = texts.join(per_text, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    met = texts.join(per_text, F.col("h") == F.col("_h"), "left")
     spans = settled(met.select("id", "t", "gone", "terms", base_spans(F.col("t")).alias("base")))
     pattern = F.concat(F.lit(f"(?iu)(?<![{WORD}])(?:"), F.array_join("terms", "|"), F.lit(f")(?![{WORD}])"))
 
