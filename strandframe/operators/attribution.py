@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +13,9 @@ from strandframe.operators.matrix import attach, attach_small, signed_maxabs
 
 CHUNK = 4096
 
+# One chunk and the state (t, who) before it, to the state behind it and what was found.
+Fold = Callable[..., tuple[int, int, list]]
+
 
 # --------------------------------------------------------------------- gauges
 def attribution_gauge(attr: DataFrame, how: str = "center", reference: DataFrame | None = None, frequencies: dict[str, float] | None = None) -> DataFrame:
@@ -144,15 +150,108 @@ def _smoothed(gap: int) -> Column:
     return F.avg("value").over(w)
 
 
-def _apart(rows: DataFrame, keys: list[str], begin: str, reach: str) -> DataFrame:
-    """Number ``part`` of sets of rows whose spans ``[begin, reach)`` do not touch those of other sets."""
-    w = W.partitionBy(*keys).orderBy(begin)
-    covered = F.max(reach).over(w.rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("__new", F.when(F.col(begin) < covered, 0).otherwise(1))
-    return rows.withColumn("part", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__new")
+_OPEN = 2**31 - 1  # reach of what the end of the sequence leaves open
 
 
-_OPEN = 2**31 - 1  # reach of what the end of the sequence leaves open
+def _entered(chunks: DataFrame, fold: Fold) -> DataFrame:
+    """Chunks with the state ``t``, ``who`` in which a walk from the start of the sequence enters them.
+
+    ``chunks`` has ``seq, track, __chunk, begin``, the walked columns and ``entries``, every state
+    ``(t, who)`` in which the walk can come in with ``t`` behind ``begin``.  A chunk becomes a table
+    from entry to exit, however long the sequence is; only these tables meet in one task.
+    """
+    keys = ["seq", "track"]
+
+    def table(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            at, exits = [], []
+            for row in part.itertuples(index=False):
+                states = [(-1, 0), *((int(e["t"]), int(e["who"])) for e in row.entries)]
+                out = [fold(row, t, who)[:2] for t, who in states]
+                at.append([x for state in states for x in state])
+                exits.append([x for state in out for x in state])
+            yield part[["seq", "track", "chunk", "begin"]].assign(at=at, exits=exits)
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            come = []
+            for row in part.itertuples(index=False):
+                t, who, state = -1, 0, []
+                for begin, at, exits in zip(row.begin.tolist(), row.at, row.exits):
+                    if t <= begin:
+                        t, who = -1, 0
+                    state.append({"t": t, "who": who})
+                    at, exits = at.tolist(), exits.tolist()
+                    states = list(zip(at[::2], at[1::2]))
+                    if (t, who) in states:
+                        i = states.index((t, who))
+                        t, who = exits[2 * i], exits[2 * i + 1]
+                    elif t != _OPEN:
+                        raise ValueError(f"no exit for {(t, who)} among {states}")
+                come.append(state)
+            yield part[["seq", "track", "chunk"]].assign(come=come)
+
+    named = chunks.withColumnRenamed("__chunk", "chunk")
+    exits = named.mapInPandas(table, "seq string, track string, chunk int, begin int, at array<int>, exits array<int>")
+    rows = F.sort_array(F.collect_list(F.struct("chunk", "begin", "at", "exits")))
+    tables = exits.groupBy(*keys).agg(rows.alias("rows")).select(*keys, *[F.col(f"rows.{c}").alias(c) for c in ("chunk", "begin", "at", "exits")])
+    come = tables.mapInPandas(scan, "seq string, track string, chunk array<int>, come array<struct<t:int,who:int>>")
+    come = come.select(*keys, F.inline(F.arrays_zip("chunk", "come"))).select(*keys, "chunk", "come.t", "come.who")
+    return named.drop("entries").join(come, [*keys, "chunk"])
+
+
+def _chains(profile: DataFrame, cut: float, max_gap: int, smooth: bool) -> DataFrame:
+    """Chains ``(seq, track, who, positions, passing)``; ``who`` is the number of the chain times its sign.
+
+    Ranks, the last member's break count and chain numbers run over a sequence as local values of
+    a chunk plus what earlier chunks add up to, so no window is longer than a chunk.
+    """
+    halo = max_gap if smooth else 0
+    rows = _with_halo(profile.select("seq", "track", F.col("pos").cast("int").alias("pos"), "value"), halo)
+    rows = rows.withColumn("__mean", _smoothed(halo)).where("NOT __halo").where((F.abs("value") > cut) | (F.abs("__mean") >= cut))
+    rows = rows.select("*", F.explode(F.array(F.lit(1), F.lit(-1))).alias("s"))
+    rows = rows.withColumn("member", F.coalesce((F.abs("value") > cut) & (F.col("value") * F.col("s") > 0), F.lit(False)))
+    rows = rows.where(F.col("member") | (F.col("s") * F.col("__mean") >= cut))
+
+    at = ["seq", "track", "s", "__chunk"]
+    w = W.partitionBy(*at).orderBy("pos")
+    rows = rows.withColumn("rank", F.row_number().over(w)).withColumn("breaks", F.col("pos") - F.col("rank"))
+    member_breaks = F.when(F.col("member"), F.col("breaks"))
+    rows = rows.withColumn("before", F.max(member_breaks).over(w.rowsBetween(W.unboundedPreceding, -1)))
+    starts = F.when(F.col("member") & (F.col("breaks") - F.col("before") > max_gap), 1).otherwise(0)
+    rows = rows.withColumn("starts", F.sum(starts).over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
+
+    earlier = W.partitionBy("seq", "track", "s").orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy(*at).agg(
+        F.count(F.lit(1)).cast("int").alias("n"), F.min(member_breaks).alias("lo"), F.max(member_breaks).alias("hi"), F.max("starts").alias("known")
+    )
+    sums = sums.withColumn("ranked", F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("int"))
+    sums = sums.withColumn("last", F.max(F.col("hi") - F.col("ranked")).over(earlier))
+    opens = F.col("lo").isNotNull() & F.coalesce(F.col("lo") - F.col("ranked") - F.col("last") > max_gap, F.lit(True))
+    sums = sums.withColumn("opens", opens.cast("int"))
+    sums = sums.withColumn("chains", F.coalesce(F.sum(F.col("known") + F.col("opens")).over(earlier), F.lit(0)).cast("int"))
+
+    rows = rows.join(sums.select(*at, "ranked", "last", "opens", "chains"), at)
+    met = F.col("before").isNotNull()
+    since = F.when(met, F.col("breaks") - F.col("before")).otherwise(F.col("breaks") - F.col("ranked") - F.col("last"))
+    chain = F.col("chains") + F.col("starts") + F.when(met | F.col("member"), F.col("opens")).otherwise(0)
+    rows = rows.withColumn("chain", chain).where((F.col("chain") > 0) & (F.col("member") | F.coalesce(since <= max_gap, F.lit(False))))
+    place = F.col("rank") + F.col("ranked")
+    return rows.groupBy("seq", "track", (F.col("s") * F.col("chain")).alias("who")).agg(
+        F.sort_array(F.collect_list(F.when(F.col("member"), F.col("pos")))).alias("positions"),
+        (F.max(place) - F.max(F.when(F.col("member"), place))).alias("passing"),
+    )
+
+
+def _win(row, t: int, who: int) -> tuple[int, int, list[int]]:
+    """Members of a chunk in order: the first one at ``t`` or later takes its chain as winner up to the chain's reach."""
+    kept = []
+    for i, (pos, chain, reach) in enumerate(zip(row.pos.tolist(), row.chain.tolist(), row.reach.tolist())):
+        if pos >= t:
+            t, who = reach, chain
+        if chain == who:
+            kept.append(i)
+    return t, who, kept
 
 
 def find_motif_runs(profile: DataFrame, cut: float, max_gap: int = 1, min_size: int = 4, smooth: bool = True) -> DataFrame:
@@ -161,50 +260,45 @@ def find_motif_runs(profile: DataFrame, cut: float, max_gap: int = 1, min_size:
     Members of a sign are positions over the cut-off with that sign.  Another position is a
     break, unless the mean around it passes (``smooth``).  Members with at most ``max_gap``
     breaks between neighbours are a chain; break counts are position minus rank among the
-    other rows, so a chain is a window away.  A chain reaches over as many positions behind
+    other rows, so a chain is a running sum away.  A chain reaches over as many positions behind
     its last member as it has passing ones before it closes, or over all if it does not
     close.  A chain that no other one reaches is a run.  Where chains of both signs overlap,
     the one with the earliest member wins and the others keep what lies beyond its reach.
     Input ``(seq, track, pos, value)`` with every position of the sequence present.
-    """
-    length = profile.groupBy("seq", "track").agg((F.max("pos") + 1).cast("int").alias("__len"))
-    active = (F.abs("value") > cut) | (F.abs("__mean") >= cut)
-    mean = {"__mean": _smoothed(max_gap if smooth else 0)}
-    rows = _islands(profile.select("seq", "track", F.col("pos").cast("int").alias("pos"), "value"), max_gap, active, mean)
-    rows = rows.select("*", F.explode(F.array(F.lit(1), F.lit(-1))).alias("s"))
-    rows = rows.withColumn("member", F.coalesce((F.abs("value") > cut) & (F.col("value") * F.col("s") > 0), F.lit(False)))
-    rows = rows.where(F.col("member") | (F.col("s") * F.col("__mean") >= cut))
 
-    w = W.partitionBy("seq", "track", "island", "s").orderBy("pos")
-    rows = rows.withColumn("rank", F.row_number().over(w)).withColumn("breaks", F.col("pos") - F.col("rank"))
-    before = F.last(F.when(F.col("member"), F.col("breaks")), True).over(w.rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("near", F.coalesce(F.col("breaks") - before <= max_gap, F.lit(False)))
-    first = F.when(F.col("member") & ~F.col("near"), 1).otherwise(0)
-    rows = rows.withColumn("chain", F.sum(first).over(w.rowsBetween(W.unboundedPreceding, 0))).where("chain > 0 AND (member OR near)")
-    chains = rows.groupBy("seq", "track", "island", "s", "chain").agg(
-        F.sort_array(F.collect_list(F.when(F.col("member"), F.col("pos")))).alias("positions"),
-        (F.max("rank") - F.max(F.when(F.col("member"), F.col("rank")))).alias("passing"),
-    )
-    chains = chains.join(length, ["seq", "track"]).withColumn("first", F.col("positions")[0])
+    The walk over winners goes chunk by chunk: only the last chain of each sign can reach
+    into a chunk, so a chunk has three entries.
+    """
+    keys = ["seq", "track"]
+    length = profile.groupBy(*keys).agg((F.max("pos") + 1).cast("int").alias("__len"))
+    chains = _chains(profile, cut, max_gap, smooth).join(length, keys)
     reach = F.element_at("positions", -1) + F.col("passing") + 1
     chains = chains.withColumn("reach", F.when(reach + max_gap < F.col("__len"), reach).otherwise(F.lit(_OPEN)).cast("int"))
+    members = chains.select(*keys, F.col("who").alias("chain"), "reach", F.explode("positions").alias("pos"))
+    items = F.sort_array(F.collect_list(F.struct("pos", "chain", "reach")))
+    chunks = members.groupBy(*keys, F.floor(F.col("pos") / CHUNK).cast("int").alias("__chunk")).agg(items.alias("items"))
+
+    earlier = W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    last = {n: F.array_max(F.filter("items", lambda m: m["chain"] * s > 0)) for n, s in (("up", F.lit(1)), ("down", F.lit(-1)))}
+    tails = chunks.select(*keys, "__chunk", *[c.alias(n) for n, c in last.items()])
+    tails = tails.select(*keys, "__chunk", F.max("up").over(earlier).alias("up"), F.max("down").over(earlier).alias("down"))
+    entry = [F.when(F.col(n).isNotNull(), F.struct(F.col(f"{n}.reach").alias("t"), F.col(f"{n}.chain").alias("who"))) for n in ("up", "down")]
+    tails = tails.select(*keys, "__chunk", F.array_compact(F.array(*entry)).alias("entries"))
+    begin = F.col("items.pos")[0]
+    chunks = chunks.join(tails, [*keys, "__chunk"]).select(
+        *keys, "__chunk", begin.alias("begin"), F.col("items.pos").alias("pos"), F.col("items.chain").alias("chain"), F.col("items.reach").alias("reach"), "entries"
+    )
 
-    keys = ["seq", "track", "island"]
-    parts = _apart(chains, keys, "first", "reach").groupBy(*keys, "part").agg(F.collect_list(F.struct("positions", "reach")).alias("c"))
-
-    def left_from(t: Column) -> Column:
-        """Earliest chain of what lies at ``t`` or later."""
-        cut_off = F.transform("c", lambda c: F.struct(F.filter(c["positions"], lambda x: x >= t).alias("positions"), c["reach"].alias("reach")))
-        return F.array_min(F.filter(cut_off, lambda c: F.size(c["positions"]) > 0))
-
-    def step(acc: Column, _: Column) -> Column:
-        best = left_from(acc["t"])
-        more = F.when(best.isNull(), acc["runs"]).otherwise(F.concat(acc["runs"], F.array(best["positions"])))
-        return F.struct(F.coalesce(best["reach"], acc["t"]).alias("t"), more.alias("runs"))
+    def kept(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            keep = [_win(row, row.t, row.who)[2] for row in part.itertuples(index=False)]
+            cells = {c: [v[k] for v, k in zip(part[c], keep)] for c in ("chain", "pos")}
+            yield part[keys].assign(**cells)
 
-    start = F.struct(F.lit(-1).alias("t"), F.array().cast("array<array<int>>").alias("runs"))
-    runs = F.when(F.size("c") == 1, F.array(F.col("c")[0]["positions"])).otherwise(F.aggregate("c", start, step)["runs"])
-    return parts.select("seq", "track", F.explode(runs).alias("positions")).where(F.size("positions") >= min_size)
+    won = _entered(chunks, _win).mapInPandas(kept, "seq string, track string, chain array<int>, pos array<int>")
+    won = won.select(*keys, F.inline(F.arrays_zip("chain", "pos")))
+    runs = won.groupBy(*keys, "chain").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return runs.where(F.size("positions") >= min_size).select(*keys, "positions")
 
 
 def strict_runs(profile: DataFrame, cut: float, max_gap: int = 1, min_size: int = 4) -> DataFrame:
@@ -237,36 +331,54 @@ def find_zscore_runs(profile: DataFrame, z_cut: float = 1.3, min_size: int = 5,
         p = p.withColumn("__m", F.lit(float(mean)))
     z = F.try_divide(F.col("value") - F.col("__m"), F.col("__s"))
     p = p.select(*keys, "pos", z.alias("z"), "__len")
-    rows = _islands(p, 1, F.abs("z") >= z_cut).withColumn("s", F.signum("z").cast("int"))
+    rows = _with_halo(p, 0).where(F.abs("z") >= z_cut).withColumn("s", F.signum("z").cast("int"))
     # Blocks are unbroken positions of one sign, [b, f); with the block behind one interruption they end at e.
-    at = [*keys, "island"]
-    w = W.partitionBy(*at, "s").orderBy("pos")
-    blocks = rows.withColumn("__block", F.col("pos") - F.row_number().over(w)).groupBy(*at, "s", "__block").agg(
-        F.min("pos").cast("int").alias("b"), (F.max("pos") + 1).cast("int").alias("f"), F.max("__len").alias("__len")
+    at = [*keys, "s", "__chunk"]
+    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy(*at).orderBy("pos")))
+    earlier = W.partitionBy(*keys, "s").orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    ranked = rows.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).select(*at, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ranked"))
+    blocks = rows.join(ranked, at).groupBy(*keys, "s", (F.col("pos") - F.col("rank") - F.col("ranked")).alias("__block")).agg(
+        F.min("pos").cast("int").alias("b"), (F.max("pos") + 1).cast("int").alias("f"), F.max("__len").cast("int").alias("__len")
     )
-    order = W.partitionBy(*at).orderBy("b")
-    block = F.struct("b", "f", "s")
-    blocks = blocks.withColumn("__n1", F.lead(block, 1).over(order)).withColumn("__n2", F.lead(block, 2).over(order))
-    goes_on = lambda n: (F.col(f"{n}.b") == F.col("f") + 1) & (F.col(f"{n}.s") == F.col("s"))
-    e = F.when(goes_on("__n1"), F.col("__n1.f")).when(goes_on("__n2"), F.col("__n2.f")).otherwise(F.col("f") + 1)
-    blocks = blocks.withColumn("e", e.cast("int")).withColumn("closed", F.col("e") < F.col("__len"))
-    blocks = blocks.withColumn("reach", F.when(F.col("closed"), F.col("e")).otherwise(F.lit(_OPEN)))
-    parts = _apart(blocks, at, "b", "reach").groupBy(*at, "part").agg(
-        F.sort_array(F.collect_list(F.struct("b", "f", "e", "s", "closed"))).alias("blocks")
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        start = F.greatest(x["b"], acc["t"])
-        long = x["e"] - 1 - start >= min_size
-        run = F.struct(start.alias("start"), (x["e"] - 1).alias("end"), x["s"].alias("direction"))
-        after = F.when(~x["closed"], F.lit(_OPEN)).when(long, x["e"]).otherwise(x["f"] + 1)
-        met = x["f"] > acc["t"]
-        more = F.when(met & long & x["closed"], F.concat(acc["runs"], F.array(run))).otherwise(acc["runs"])
-        return F.struct(F.when(met, after).otherwise(acc["t"]).alias("t"), more.alias("runs"))
-
-    none = F.array().cast("array<struct<start:int,end:int,direction:int>>")
-    runs = F.aggregate("blocks", F.struct(F.lit(-1).alias("t"), none.alias("runs")), step)["runs"]
-    return parts.select(*keys, F.inline(runs))
+    behind = blocks.select(*keys, "s", (F.col("b") - 1).alias("f"), F.col("f").alias("__e"))
+    blocks = blocks.join(behind, [*keys, "s", "f"], "left")
+    blocks = blocks.withColumn("e", F.coalesce("__e", F.col("f") + 1)).withColumn("closed", F.col("e") < F.col("__len"))
+    items = F.sort_array(F.collect_list(F.struct("b", "f", "e", "s", "closed")))
+    chunks = blocks.groupBy(*keys, F.floor(F.col("b") / CHUNK).cast("int").alias("__chunk")).agg(items.alias("items"))
+
+    # A walk is behind the last block, at the end of one of the last two, or through.
+    order = W.partitionBy(*keys).orderBy("__chunk")
+    tails = chunks.select(*keys, "__chunk", F.slice("items", F.greatest(F.size("items") - 1, F.lit(1)), F.lit(2)).alias("tail"))
+    none = F.array().cast(tails.schema["tail"].dataType)
+    tail = F.concat(*[F.coalesce(F.lag("tail", k).over(order), none) for k in (2, 1)])
+    tails = tails.select(*keys, "__chunk", F.slice(F.reverse(tail), 1, 2).alias("tail"))
+    ts = F.concat(F.transform("tail", lambda x: x["e"]), F.transform(F.slice("tail", 1, 1), lambda x: x["f"] + 1))
+    entries = F.transform(F.array_distinct(ts), lambda t: F.struct(t.alias("t"), F.lit(0).alias("who")))
+    fields = [F.col(f"items.{c}").alias(c) for c in ("b", "f", "e", "s", "closed")]
+    chunks = chunks.join(tails.select(*keys, "__chunk", entries.alias("entries")), [*keys, "__chunk"])
+    chunks = chunks.select(*keys, "__chunk", F.col("items.b")[0].alias("begin"), *fields, "entries")
+
+    def walk(row, t: int, who: int) -> tuple[int, int, list[tuple[int, int, int]]]:
+        runs = []
+        for b, f, e, sign, closed in zip(*(v.tolist() for v in (row.b, row.f, row.e, row.s, row.closed))):
+            if f <= t:
+                continue
+            start = max(b, t)
+            if not closed:
+                t = _OPEN
+            elif e - 1 - start >= min_size:
+                runs.append((start, e - 1, sign))
+                t = e
+            else:
+                t = f + 1
+        return t, 0, runs
+
+    def found(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            runs = [(row.seq, row.track, *run) for row in part.itertuples(index=False) for run in walk(row, row.t, 0)[2]]
+            yield pd.DataFrame(runs, columns=[*keys, "start", "end", "direction"])
+
+    return _entered(chunks, walk).mapInPandas(found, "seq string, track string, start int, end int, direction int")
 
 
 # -------------------------------------------------------------------- seqlets

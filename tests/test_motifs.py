@@ -209,6 +209,19 @@ def test_motif_runs_equal_the_rule(spark, monkeypatch):
     assert total > 100
 
 
+def test_long_runs_cross_chunks(spark, monkeypatch):
+    """One stretch over a hundred chunks: the winner's reach and a run's state go from chunk to chunk."""
+    monkeypatch.setattr(A, "CHUNK", 64)
+    n = 6_400
+    pos = spark.range(n).select(F.lit("s").alias("seq"), F.lit("t").alias("track"), F.col("id").cast("int").alias("pos"))
+    mixed = pos.withColumn("value", F.when(F.col("pos") % 3 == 2, -2.0).otherwise(2.0))
+    got = [r["positions"] for r in A.find_motif_runs(mixed, 1.0, 1, 1, smooth=False).collect()]
+    assert got == [[i for i in range(n) if i % 3 != 2]]
+    steps = pos.withColumn("value", F.when(F.col("pos") % 4 == 3, 0.0).otherwise(2.0))
+    got = sorted((r["start"], r["end"]) for r in A.find_zscore_runs(steps, 1.0, 3).collect())
+    assert got == [(i, i + 6) for i in range(0, n - 8, 8)] + [(n - 8, n - 2)]
+
+
 def test_zscore_runs_equal_the_rule(spark, monkeypatch):
     monkeypatch.setattr(A, "CHUNK", 16)
     rng = np.random.default_rng(4)
