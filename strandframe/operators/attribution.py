@@ -153,12 +153,13 @@ def _smoothed(gap: int) -> Column:
 _OPEN = 2**31 - 1  # reach of what the end of the sequence leaves open
 
 
-def _entered(chunks: DataFrame, fold: Fold) -> DataFrame:
+def _entered(chunks: DataFrame, entries: Callable[[DataFrame], DataFrame], fold: Fold) -> DataFrame:
     """Chunks with the state ``t``, ``who`` in which a walk from the start of the sequence enters them.
 
-    ``chunks`` has ``seq, track, __chunk, begin``, the walked columns and ``entries``, every state
-    ``(t, who)`` in which the walk can come in with ``t`` behind ``begin``.  A chunk becomes a table
-    from entry to exit, however long the sequence is; only these tables meet in one task.
+    ``chunks`` has ``seq, track, __chunk, length, items``; ``entries`` gives ``seq, track, __chunk,
+    entries``, every state in which the walk can come in with ``t`` behind the chunk's first item.  A
+    chunk becomes a table from entry to exit, however long the sequence is; only these tables meet in
+    one task.  A sequence of one chunk is entered at its start and needs no table.
     """
     keys = ["seq", "track"]
 
@@ -191,13 +192,17 @@ def _entered(chunks: DataFrame, fold: Fold) -> DataFrame:
                 come.append(state)
             yield part[["seq", "track", "chunk"]].assign(come=come)
 
-    named = chunks.withColumnRenamed("__chunk", "chunk")
+    fields = [f.name for f in chunks.schema["items"].dataType.elementType]
+    cells = [F.col("__chunk").alias("chunk"), *[F.col(f"items.{f}").alias(f) for f in fields]]
+    whole = chunks.where(F.col("length") <= CHUNK).select(*keys, *cells, F.lit(-1).alias("t"), F.lit(0).alias("who"))
+    cut = chunks.where(F.col("length") > CHUNK)
+    named = cut.join(entries(cut), [*keys, "__chunk"]).select(*keys, *cells, F.col(f"items.{fields[0]}")[0].alias("begin"), "entries")
     exits = named.mapInPandas(table, "seq string, track string, chunk int, begin int, at array<int>, exits array<int>")
     rows = F.sort_array(F.collect_list(F.struct("chunk", "begin", "at", "exits")))
     tables = exits.groupBy(*keys).agg(rows.alias("rows")).select(*keys, *[F.col(f"rows.{c}").alias(c) for c in ("chunk", "begin", "at", "exits")])
     come = tables.mapInPandas(scan, "seq string, track string, chunk array<int>, come array<struct<t:int,who:int>>")
     come = come.select(*keys, F.inline(F.arrays_zip("chunk", "come"))).select(*keys, "chunk", "come.t", "come.who")
-    return named.drop("entries").join(come, [*keys, "chunk"])
+    return whole.unionByName(named.drop("entries", "begin").join(come, [*keys, "chunk"]))
 
 
 def _chains(profile: DataFrame, cut: float, max_gap: int, smooth: bool) -> DataFrame:
@@ -274,28 +279,26 @@ def find_motif_runs(profile: DataFrame, cut: float, max_gap: int = 1, min_size:
     chains = _chains(profile, cut, max_gap, smooth).join(length, keys)
     reach = F.element_at("positions", -1) + F.col("passing") + 1
     chains = chains.withColumn("reach", F.when(reach + max_gap < F.col("__len"), reach).otherwise(F.lit(_OPEN)).cast("int"))
-    members = chains.select(*keys, F.col("who").alias("chain"), "reach", F.explode("positions").alias("pos"))
-    items = F.sort_array(F.collect_list(F.struct("pos", "chain", "reach")))
-    chunks = members.groupBy(*keys, F.floor(F.col("pos") / CHUNK).cast("int").alias("__chunk")).agg(items.alias("items"))
-
-    earlier = W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
-    last = {n: F.array_max(F.filter("items", lambda m: m["chain"] * s > 0)) for n, s in (("up", F.lit(1)), ("down", F.lit(-1)))}
-    tails = chunks.select(*keys, "__chunk", *[c.alias(n) for n, c in last.items()])
-    tails = tails.select(*keys, "__chunk", F.max("up").over(earlier).alias("up"), F.max("down").over(earlier).alias("down"))
-    entry = [F.when(F.col(n).isNotNull(), F.struct(F.col(f"{n}.reach").alias("t"), F.col(f"{n}.chain").alias("who"))) for n in ("up", "down")]
-    tails = tails.select(*keys, "__chunk", F.array_compact(F.array(*entry)).alias("entries"))
-    begin = F.col("items.pos")[0]
-    chunks = chunks.join(tails, [*keys, "__chunk"]).select(
-        *keys, "__chunk", begin.alias("begin"), F.col("items.pos").alias("pos"), F.col("items.chain").alias("chain"), F.col("items.reach").alias("reach"), "entries"
+    members = chains.select(*keys, F.col("who").alias("chain"), "reach", "__len", F.explode("positions").alias("pos"))
+    chunks = members.groupBy(*keys, F.floor(F.col("pos") / CHUNK).cast("int").alias("__chunk")).agg(
+        F.max("__len").alias("length"), F.sort_array(F.collect_list(F.struct("pos", "chain", "reach"))).alias("items")
     )
 
+    def entries(chunks: DataFrame) -> DataFrame:
+        earlier = W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+        last = [F.array_max(F.filter("items", lambda m: m["chain"] * s > 0)).alias(n) for n, s in (("up", F.lit(1)), ("down", F.lit(-1)))]
+        tails = chunks.select(*keys, "__chunk", *last)
+        tails = tails.select(*keys, "__chunk", F.max("up").over(earlier).alias("up"), F.max("down").over(earlier).alias("down"))
+        entry = [F.when(F.col(n).isNotNull(), F.struct(F.col(f"{n}.reach").alias("t"), F.col(f"{n}.chain").alias("who"))) for n in ("up", "down")]
+        return tails.select(*keys, "__chunk", F.array_compact(F.array(*entry)).alias("entries"))
+
     def kept(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             keep = [_win(row, row.t, row.who)[2] for row in part.itertuples(index=False)]
             cells = {c: [v[k] for v, k in zip(part[c], keep)] for c in ("chain", "pos")}
             yield part[keys].assign(**cells)
 
-    won = _entered(chunks, _win).mapInPandas(kept, "seq string, track string, chain array<int>, pos array<int>")
+    won = _entered(chunks, entries, _win).mapInPandas(kept, "seq string, track string, chain array<int>, pos array<int>")
     won = won.select(*keys, F.inline(F.arrays_zip("chain", "pos")))
     runs = won.groupBy(*keys, "chain").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
     return runs.where(F.size("positions") >= min_size).select(*keys, "positions")
@@ -343,20 +346,20 @@ def find_zscore_runs(profile: DataFrame, z_cut: float = 1.3, min_size: int = 5,
     behind = blocks.select(*keys, "s", (F.col("b") - 1).alias("f"), F.col("f").alias("__e"))
     blocks = blocks.join(behind, [*keys, "s", "f"], "left")
     blocks = blocks.withColumn("e", F.coalesce("__e", F.col("f") + 1)).withColumn("closed", F.col("e") < F.col("__len"))
-    items = F.sort_array(F.collect_list(F.struct("b", "f", "e", "s", "closed")))
-    chunks = blocks.groupBy(*keys, F.floor(F.col("b") / CHUNK).cast("int").alias("__chunk")).agg(items.alias("items"))
-
-    # A walk is behind the last block, at the end of one of the last two, or through.
-    order = W.partitionBy(*keys).orderBy("__chunk")
-    tails = chunks.select(*keys, "__chunk", F.slice("items", F.greatest(F.size("items") - 1, F.lit(1)), F.lit(2)).alias("tail"))
-    none = F.array().cast(tails.schema["tail"].dataType)
-    tail = F.concat(*[F.coalesce(F.lag("tail", k).over(order), none) for k in (2, 1)])
-    tails = tails.select(*keys, "__chunk", F.slice(F.reverse(tail), 1, 2).alias("tail"))
-    ts = F.concat(F.transform("tail", lambda x: x["e"]), F.transform(F.slice("tail", 1, 1), lambda x: x["f"] + 1))
-    entries = F.transform(F.array_distinct(ts), lambda t: F.struct(t.alias("t"), F.lit(0).alias("who")))
-    fields = [F.col(f"items.{c}").alias(c) for c in ("b", "f", "e", "s", "closed")]
-    chunks = chunks.join(tails.select(*keys, "__chunk", entries.alias("entries")), [*keys, "__chunk"])
-    chunks = chunks.select(*keys, "__chunk", F.col("items.b")[0].alias("begin"), *fields, "entries")
+    chunks = blocks.groupBy(*keys, F.floor(F.col("b") / CHUNK).cast("int").alias("__chunk")).agg(
+        F.max("__len").alias("length"), F.sort_array(F.collect_list(F.struct("b", "f", "e", "s", "closed"))).alias("items")
+    )
+
+    def entries(chunks: DataFrame) -> DataFrame:
+        """A walk is behind the last block, at the end of one of the last two, or through."""
+        order = W.partitionBy(*keys).orderBy("__chunk")
+        tails = chunks.select(*keys, "__chunk", F.slice("items", F.greatest(F.size("items") - 1, F.lit(1)), F.lit(2)).alias("tail"))
+        none = F.array().cast(tails.schema["tail"].dataType)
+        tail = F.concat(*[F.coalesce(F.lag("tail", k).over(order), none) for k in (2, 1)])
+        tails = tails.select(*keys, "__chunk", F.slice(F.reverse(tail), 1, 2).alias("tail"))
+        ts = F.concat(F.transform("tail", lambda x: x["e"]), F.transform(F.slice("tail", 1, 1), lambda x: x["f"] + 1))
+        states = F.transform(F.array_distinct(ts), lambda t: F.struct(t.alias("t"), F.lit(0).alias("who")))
+        return tails.select(*keys, "__chunk", states.alias("entries"))
 
     def walk(row, t: int, who: int) -> tuple[int, int, list[tuple[int, int, int]]]:
         runs = []
@@ -378,7 +381,7 @@ def find_zscore_runs(profile: DataFrame, z_cut: float = 1.3, min_size: int = 5,
             runs = [(row.seq, row.track, *run) for row in part.itertuples(index=False) for run in walk(row, row.t, 0)[2]]
             yield pd.DataFrame(runs, columns=[*keys, "start", "end", "direction"])
 
-    return _entered(chunks, walk).mapInPandas(found, "seq string, track string, start int, end int, direction int")
+    return _entered(chunks, entries, walk).mapInPandas(found, "seq string, track string, start int, end int, direction int")
 
 
 # -------------------------------------------------------------------- seqlets
