@@ -123,8 +123,8 @@ def _(spark, sf):
     floats="value",
 )
 def _(spark, sf):
-    p = I.signal_over_regions(V.signal(spark, sf), V.regions(spark, sf)).withColumn("track", F.lit("t0"))
-    return I.pool_tracks(p, ["t0"], 3600, 300)
+    p = I.signal_over_regions(V.signal(spark, sf), V.regions(spark, sf), by_name=True).withColumn("track", F.lit("t0"))
+    return I.pool_tracks(p, ["t0"], 3600, 300, one_row=True)
 
 
 @query("total_reads", C(V.READS) + "SELECT count(*) AS reads FROM reads WHERE starts_with(contig, 'c') AND (flag & 4) = 0")

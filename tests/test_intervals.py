@@ -74,3 +74,100 @@ def test_region_sequences_across_chunks(spark):
     assert got == {"a": "CGTACGT", "b": "NACG", "d": "TACNNN", "m": "NNNNN"}
     tss = {r["name"]: r["seq"] for r in G.extract_region_sequences(reg.filter("name = 'b'"), chunks, flank=2, from_tss=True, size=4).collect()}
     assert tss == {"b": "ACGT"}
+
+
+def _profile_by_hand(intervals, regions):
+    """Sum of v on every base of a region that an interval covers."""
+    out = {}
+    for name, c, a, b in regions:
+        for c2, s, e, v in intervals:
+            for p in range(max(a, s), min(b, e)) if c == c2 else ():
+                out[name, p - a] = out.get((name, p - a), 0) + v
+    return out
+
+
+def test_signal_on_repeated_and_empty_regions(spark):
+    rng = np.random.default_rng(8)
+    sig = [("x", int(s), int(s + rng.integers(1, 30)), float(rng.integers(1, 9))) for s in rng.integers(0, 200, 60)] + [("x", 4, 9, float("nan")), ("x", 3, 3, 2.0)]
+    reg = [(f"r{i % 9}", "x", int(s), int(s + 1 + rng.integers(0, 70))) for i, s in enumerate(rng.integers(0, 180, 14))] + [("same", "x", 10, 40)] * 2 + [("none", "x", 20, 20), ("other", "y", 0, 50)]
+    df = spark.createDataFrame(sig, "chrom string, start long, end long, value double")
+    r = spark.createDataFrame(reg, "name string, chrom string, start long, end long")
+    want = _profile_by_hand([x for x in sig if x[3] == x[3]], reg)
+    for by_name in (False, True):
+        got = {(x["name"], x["offset"]): x["value"] for x in I.signal_over_regions(df, r, 16, by_name).collect()}
+        assert got == want
+
+
+def test_entire_leaves_out_spanning_fragments(spark):
+    rng = np.random.default_rng(9)
+    frags = sorted({("x", int(s), int(s + rng.integers(1, 60))) for s in rng.integers(0, 150, 80)})
+    reg = [(f"r{i}", "x", int(s), int(s + 1 + rng.integers(0, 40))) for i, s in enumerate(rng.integers(0, 150, 12))]
+    reg += [("r3", "x", 60, 66), ("twin", "x", 70, 75), ("twin", "x", 70, 75)]
+    f = spark.createDataFrame([(c, s, e, False, e - s, 2) for c, s, e in frags], "contig string, start long, end long, reverse boolean, length long, n long")
+    r = spark.createDataFrame(reg, "name string, chrom string, start long, end long")
+    for mode, weight in (("entire", lambda s, e: 2), ("entirefraction", lambda s, e: 2 / (e - s))):
+        want = {}
+        for name, c, a, b in reg:
+            inside = [(c, s, e, weight(s, e)) for _, s, e in frags if a <= s < b or a <= e <= b]
+            for k, v in _profile_by_hand(inside, [(name, c, a, b)]).items():
+                want[k] = want.get(k, 0) + v
+        got = {(x["name"], x["offset"]): x["count"] for x in I.count_cuts_in_regions(f, r, mode, 16).collect()}
+        assert got == pytest.approx(want)
+
+
+def test_pool_tracks_of_one_track_needs_no_sum(spark):
+    reg = spark.createDataFrame([("a", "x", 0, 8), ("b", "x", 2, 10)], "name string, chrom string, start long, end long")
+    sig = spark.createDataFrame([("x", 0, 6, 3.0), ("x", 4, 9, 2.0)], "chrom string, start long, end long, value double")
+    p = I.signal_over_regions(sig, reg, by_name=True).selectExpr("*", "'t' AS track")
+    rows = [sorted(map(tuple, I.pool_tracks(p, ["t"], 8, 1, one_row=one).collect())) for one in (False, True)]
+    assert rows[0] == rows[1] and len(rows[0]) == 12
+
+
+@pytest.mark.parametrize("mode", ["union", "strict"])
+def test_reads_in_features_by_brute_force(spark, mode):
+    rng = np.random.default_rng(10)
+    reads = [(c, int(s), int(s + rng.integers(1, 40))) for c in "xy" for s in rng.integers(0, 300, 150)] + [("x", 30, 30), ("x", 40, 38), (None, 3, 20), ("x", None, 9)]
+    feats = [(f"g{i % 17}", c, int(s), int(s + rng.integers(1, 70))) for c in "xy" for i, s in enumerate(rng.integers(0, 300, 25))]
+    feats += [(None, "x", 0, 90), ("g1", None, 0, 90), ("g2", "x", 50, 45)]
+    want = {}
+    for c, s, e in reads:
+        if c is None or s is None:
+            continue
+        ov = [(g, min(e, b) - max(s, a)) for g, c2, a, b in feats if c == c2 and s < b and a < e]
+        genes = {g for g, o in ov if (o >= 5 if mode == "union" else o == e - s)} - {None}
+        if len(genes) == 1:
+            want[*genes] = want.get((*genes,), 0) + 1
+    r = spark.createDataFrame(reads, "contig string, start long, end long")
+    f = spark.createDataFrame(feats, "gene string, chrom string, start long, end long")
+    assert {(x["gene"],): x["count"] for x in I.count_reads_in_features(r, f, mode, size=32).collect()} == want
+
+
+def test_no_rows_for_pairs_of_intervals(spark):
+    """A pile of different reads under a pile of regions costs their number, not their product."""
+    df = lambda n, cols: spark.range(n).selectExpr(*cols)
+    reg = df(1500, ["concat('r', id) AS name", "'x' AS chrom", "id % 7 AS start", "2000 + id AS end"])
+    reads = df(1500, ["'x' AS contig", "100 + id % 40 AS start", "160 + id AS end"])
+    for frame in (
+        I.count_reads_in_features(reads, reg.withColumnRenamed("name", "gene")),
+        I.count_reads_in_features(reads, reg.withColumnRenamed("name", "gene"), "strict"),
+        I.signal_over_regions(reads.selectExpr("contig AS chrom", "start", "end", "1D AS value"), reg).groupBy("name").count(),
+    ):
+        frame.collect()
+        assert max(_join_rows(frame._jdf.queryExecution().executedPlan())) <= 10_000
+
+
+def _join_rows(plan):
+    """Rows that the joins of an executed plan gave, 0 at least."""
+    rows, todo = [0], [plan]
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        if "Join" in name:
+            rows.append(p.metrics().apply("numOutputRows").value())
+        kids = p.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return rows
