@@ -54,9 +54,10 @@ def against_reference(
     def pair(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame()
-        b = b.rename(columns=lambda c: c[2:])
-        out = compare(a.drop(columns=["__salt", "__block"]), b.drop(columns=["__salt", "__block"]))
-        return out if len(out) else pd.DataFrame()
+        a, b = a.drop(columns=["__salt", "__block"]), b.rename(columns=lambda c: c[2:]).drop(columns=["__salt", "__block"])
+        found = [compare(a.iloc[lo : lo + batch], b) for lo in range(0, len(a), batch)]
+        found = [x for x in found if len(x)]
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame()
 
     return l.groupBy("__block", "__salt").cogroup(r.groupBy("r___block", "r___salt")).applyInPandas(pair, schema)
 

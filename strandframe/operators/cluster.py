@@ -1,8 +1,7 @@
 """Clustering on distances: components, exact linkage inside them, medoids and assignment.
 
-For single, complete and average linkage with a threshold no cluster crosses a
-connected component of the graph ``distance < threshold``.  Pairs are found block
-by block, components by iterative joins, and trees by rounds of merges (``linkage``).
+Pairs are found block by block, components by iterative joins, and trees by rounds of
+merges (``linkage``).
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandframe.operators.blocks import against_reference
-from strandframe.operators.distance import block_pairs, distances, near_pairs, stack
+from strandframe.operators.distance import block_pairs, distances, in_tiles, near_pairs, stack
 from strandframe.operators.graph import connected_components
 from strandframe.operators.linkage import LOCAL, keyed_name, leaf_positions, lowest_merges, merge_table, plain_name, spanning_forest
 from strandframe.operators.matrix import signed_maxabs
@@ -35,7 +34,7 @@ def medoids(points: DataFrame, metric: str = "euclidean", block: int = 2_000) ->
         d[a["id"].to_numpy()[:, None] == b["rid"].to_numpy()[None, :]] = 0.0
         return pd.DataFrame({"grp": key[0], "id": a["id"].to_numpy(), "s": d.sum(1), "r": d.max(1)})
 
-    part = block_pairs(p, block, True).applyInPandas(sums, "grp string, id string, s double, r double")
+    part = block_pairs(p, block, True).applyInPandas(in_tiles(sums, block), "grp string, id string, s double, r double")
     total = part.groupBy("grp", "id").agg(F.sum("s").alias("s"), F.max("r").alias("r"))
     best = F.min_by(F.struct(F.col("id").alias("medoid"), F.col("r").alias("radius")), F.struct("s", "id"))
     return total.groupBy(F.col("grp").alias("cluster")).agg(best.alias("x")).select("cluster", "x.*")
@@ -48,8 +47,8 @@ def cluster_groups(
 ) -> DataFrame:
     """Labels ``(grp, id, cluster)`` for ``(grp, id, vec)``; a cluster is named by its smallest member.
 
-    With a threshold, no cluster crosses a component of the graph ``distance < threshold``, and
-    for single linkage the components are the clusters.  With a number of clusters the lowest
+    With a threshold and single linkage the components of the graph ``distance < threshold`` are the
+    clusters; the other linkages merge until no height is under it.  With a number of clusters the lowest
     merges of a group's whole tree are done until that many are left.
     """
     if (threshold is None) == (n_clusters is None):
@@ -57,12 +56,11 @@ def cluster_groups(
     points = cut_lineage(points.select(F.col("grp").cast("string").alias("grp"), F.col("id").cast("string").alias("id"), "vec"))
     nodes = points.select(keyed_name("grp", "id").alias("id"))
     if threshold is not None:
-        edges = near_pairs(points, metric, threshold, block)
+        if linkage == "single":
+            edges = near_pairs(points, metric, threshold, block)
+        else:
+            edges = merge_table(points, metric, linkage, threshold, local, block)
         comp = connected_components(nodes, edges.select(keyed_name("grp", "a").alias("a"), keyed_name("grp", "b").alias("b"))).withColumnRenamed("id", "key")
-        if linkage != "single":
-            parts = points.withColumn("key", keyed_name("grp", "id")).join(comp, "key").select(F.col("component").alias("grp"), F.col("key").alias("id"), "vec")
-            merges = merge_table(parts, metric, linkage, threshold, local, block)
-            comp = connected_components(nodes, merges).withColumnRenamed("id", "key")
     else:
         if linkage == "single":  # the edges of the spanning tree have the heights of the merges
             merges = spanning_forest(points, metric, block).select("grp", "a", "b", F.col("dist").alias("height"), F.lit(0).alias("round"))
@@ -171,7 +169,7 @@ def representatives(points: DataFrame, metric: str = "euclidean", consider: int
         rows = sorted((-d[x, y], min(ia[x], jb[y]), max(ia[x], jb[y])) for x, y in zip(i, j))[:consider]
         return pd.DataFrame({"grp": [key[0]] * len(rows), "a": [r[1] for r in rows], "b": [r[2] for r in rows], "dist": [-r[0] for r in rows]})
 
-    pairs = block_pairs(p, block, False).applyInPandas(far, "grp string, a string, b string, dist double")
+    pairs = block_pairs(p, block, False).applyInPandas(in_tiles(far, block), "grp string, a string, b string, dist double")
     w = W.partitionBy("grp").orderBy(F.col("dist").desc(), "a", "b")
     top = cut_lineage(pairs.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= consider).drop("k"))
     va = p.select("grp", F.col("id").alias("a"), F.col("vec").alias("va"))

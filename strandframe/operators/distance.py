@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,9 +32,22 @@ def stack(col: pd.Series) -> np.ndarray:
     return np.array([np.asarray(v, dtype=float) for v in col])
 
 
+# Blocks of a group up to which more points make more blocks, and tiles of a block beyond that.
+BLOCKS, TILES = 8, 32
+
+
+def block_count(n: Column, block: int) -> Column:
+    """Number of blocks of ``n`` rows."""
+    return F.greatest(F.least(F.ceil(n / block), F.lit(BLOCKS)), F.ceil(n / (TILES * block))).cast("int")
+
+
 def block_pairs(points: DataFrame, block: int, both: bool, extra: tuple[str, ...] = ()):
-    """Both sides of every pair of blocks of a group, keyed for a co-group; ``extra`` columns come along."""
-    n = points.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
+    """Both sides of every pair of blocks of a group, keyed for a co-group; ``extra`` columns come along.
+
+    Every point is sent once per block, so blocks are few: ``BLOCKS`` of a large group, until one holds ``TILES``
+    times ``block`` points.  Work on them goes by ``in_tiles``.
+    """
+    n = points.groupBy("grp").agg(block_count(F.count(F.lit(1)), block).alias("nb"))
     p = points.join(n, "grp").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     first, last = (F.lit(0), F.col("nb") - 1) if both else (F.col("blk"), F.col("nb") - 1)
     left = p.select("grp", "id", "vec", *extra, F.col("blk").alias("x"), F.explode(F.sequence(first, last)).alias("y"))
@@ -45,6 +58,18 @@ def block_pairs(points: DataFrame, block: int, both: bool, extra: tuple[str, ...
     return left.groupBy("grp", "x", "y").cogroup(right.groupBy("rgrp", "rx", "ry"))
 
 
+def in_tiles(compare, block: int):
+    """``compare(key, a, b)`` over tiles of ``block`` rows of both sides, so that no matrix is larger."""
+
+    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        cuts = [(x, y) for x in range(0, len(a), block) for y in range(0, len(b), block)]
+        found = [compare(key, a.iloc[x : x + block], b.iloc[y : y + block]) for x, y in cuts]
+        found = [x for x in found if len(x)]
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame()
+
+    return run
+
+
 def near_pairs(points: DataFrame, metric: str, threshold: float, block: int = 2_000) -> DataFrame:
     """Pairs ``(grp, a, b, dist)`` with ``a < b`` and distance under the threshold.
 
@@ -65,4 +90,4 @@ def near_pairs(points: DataFrame, metric: str, threshold: float, block: int = 2_
         out = pd.DataFrame({"grp": [key[0]] * len(lo), "a": lo, "b": hi, "dist": d[i, j][keep]})
         return out if len(out) else pd.DataFrame()
 
-    return block_pairs(points, block, False).applyInPandas(pairs, "grp string, a string, b string, dist double")
+    return block_pairs(points, block, False).applyInPandas(in_tiles(pairs, block), "grp string, a string, b string, dist double")

@@ -4,9 +4,9 @@ Two clusters that are each other's nearest are merged; all such pairs of a round
 For single, complete and average linkage the merged cluster is never nearer to a third
 one than both of its parts were, so rounds find the same tree as merging the closest
 pair one after the other.  A cluster is named by its smallest member.  Distances between
-clusters live in a table (single, complete, average) or follow from the sums of unit
-vectors (average of cosine and correlation distances); single linkage starts from a
-minimum spanning forest.  Groups up to ``local`` points run the same rounds on their own
+clusters follow from their members (complete, average) or from the sums of unit
+vectors (average of cosine and correlation distances); single linkage goes over a table
+of the edges of a minimum spanning forest.  Groups up to ``local`` points run the same rounds on their own
 matrix in one task, which bounds a task and changes no result.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandframe.functions.ranking import ordinal_rank
-from strandframe.operators.distance import block_pairs, distances, near_pairs, stack, unit_rows
+from strandframe.operators.distance import block_count, block_pairs, distances, in_tiles, stack, unit_rows
 from strandframe.session import written
 
 LOCAL = 2_000
@@ -96,6 +96,21 @@ def _few(clusters: DataFrame, local: int) -> DataFrame:
     return written(clusters.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= local).select("grp"))
 
 
+def _rest(linkage: str, threshold: float | None, at: int):
+    """All further rounds of a group from its rows ``a, b, dist, na, nb``."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(np.concatenate([pdf["a"], pdf["b"]]))
+        i, j = np.searchsorted(ids, pdf["a"]), np.searchsorted(ids, pdf["b"])
+        d, size = np.full((len(ids), len(ids)), np.inf), np.ones(len(ids))
+        d[i, j] = d[j, i] = pdf["dist"]
+        size[i], size[j] = pdf["na"], pdf["nb"]
+        rows = [(pdf["grp"].iloc[0], ids[x], ids[y], h, r) for x, y, h, r in matrix_merges(d, linkage, threshold, size, at)]
+        return pd.DataFrame(rows, columns=["grp", "a", "b", "height", "round"])
+
+    return run
+
+
 def table_merges(pairs: DataFrame, linkage: str, threshold: float | None = None, local: int = LOCAL) -> DataFrame:
     """``grp, a, b, height, round`` from cluster distances ``(grp, a, b, dist)`` with ``a < b``.
 
@@ -110,23 +125,11 @@ def table_merges(pairs: DataFrame, linkage: str, threshold: float | None = None,
     table = written(pairs.select("grp", "a", "b", "dist", one.alias("na"), one.alias("nb")))
     found, step = [], 0
 
-    def rest(at: int):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            ids = np.unique(np.concatenate([pdf["a"], pdf["b"]]))
-            i, j = np.searchsorted(ids, pdf["a"]), np.searchsorted(ids, pdf["b"])
-            d, size = np.full((len(ids), len(ids)), np.inf), np.ones(len(ids))
-            d[i, j] = d[j, i] = pdf["dist"]
-            size[i], size[j] = pdf["na"], pdf["nb"]
-            rows = [(pdf["grp"].iloc[0], ids[x], ids[y], h, r) for x, y, h, r in matrix_merges(d, linkage, threshold, size, at)]
-            return pd.DataFrame(rows, columns=["grp", "a", "b", "height", "round"])
-
-        return run
-
     while not table.isEmpty():
         if local > 1:
             few = _few(_both(table).select("grp", "a").distinct(), local)
             if not few.isEmpty():
-                found.append(written(table.join(few, "grp", "left_semi").groupBy("grp").applyInPandas(rest(step), MERGES)))
+                found.append(written(table.join(few, "grp", "left_semi").groupBy("grp").applyInPandas(_rest(linkage, threshold, step), MERGES)))
                 table = written(table.join(few, "grp", "left_anti"))
                 continue
         near = _both(table).groupBy("grp", "a").agg(F.min(F.struct("dist", "b")).alias("x")).select("grp", "a", "x.dist", "x.b")
@@ -215,7 +218,7 @@ def mean_merges(points: DataFrame, metric: str, threshold: float | None = None,
             found.append(written(state.join(few, "grp", "left_semi").groupBy("grp").applyInPandas(rest(step), MERGES)))
             state = written(state.join(few, "grp", "left_anti"))
             continue
-        best = block_pairs(state, block, False, extra=("n",)).applyInPandas(nearest, "grp string, a string, dist double, b string")
+        best = block_pairs(state, block, False, extra=("n",)).applyInPandas(in_tiles(nearest, block), "grp string, a string, dist double, b string")
         near = best.groupBy("grp", "a").agg(F.min(F.struct("dist", "b")).alias("x")).select("grp", "a", "x.dist", "x.b")
         merged = _mutual(near, threshold, step)
         if merged.isEmpty():
@@ -230,6 +233,115 @@ def mean_merges(points: DataFrame, metric: str, threshold: float | None = None,
     return _all(spark, found, MERGES)
 
 
+# ------------------------------------------------------------- members of clusters
+CELLS = 1 << 22  # numbers in a matrix of a task
+
+
+def _between(a: pd.DataFrame, b: pd.DataFrame, metric: str, linkage: str):
+    """Cluster distances from members ``c, vec`` to ``rc, rvec``: names and sizes of some clusters of ``a``, of all of ``b``, their matrix."""
+    a, b = a.sort_values("c"), b.sort_values("rc")
+    ca, begin, na = np.unique(a["c"].to_numpy(), return_index=True, return_counts=True)
+    cb, cuts, nb = np.unique(b["rc"].to_numpy(), return_index=True, return_counts=True)
+    x, y = stack(a["vec"]), stack(b["rvec"])
+    put = np.maximum if linkage == "complete" else np.add
+    rows = max(1, CELLS // (len(y) * (y.shape[1] if metric == "cityblock" else 1)))
+    some = max(1, CELLS // len(cb))
+    for lo in range(0, len(ca), some):
+        hi = min(lo + some, len(ca))
+        out = np.full((hi - lo, len(cb)), -np.inf if linkage == "complete" else 0.0)
+        last = begin[hi - 1] + na[hi - 1]
+        of = np.repeat(np.arange(hi - lo), na[lo:hi])
+        for at in range(begin[lo], last, rows):
+            to = min(at + rows, last)
+            who = of[at - begin[lo] : to - begin[lo]]
+            first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+            part = put.reduceat(put.reduceat(distances(x[at:to], y, metric), cuts, axis=1), first, axis=0)
+            out[who[first]] = put(out[who[first]], part)
+        yield ca[lo:hi], na[lo:hi], cb, nb, out if linkage == "complete" else out / (na[lo:hi, None] * nb[None, :])
+
+
+def member_merges(points: DataFrame, metric: str, linkage: str, threshold: float | None = None, block: int = 2_000, local: int = LOCAL) -> DataFrame:
+    """Complete or average linkage of any distance without a pair table: ``grp, a, b, height, round``.
+
+    A point carries the name of its cluster, and the distance of two clusters comes from their members,
+    block by block.  A merged cluster is not nearer to a third one than its parts were, so a cluster
+    keeps its nearest one until that or itself is merged; only the others are compared again.
+    """
+    spark = points.sparkSession
+
+    def nearest(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame()
+        found = []
+        for ca, _, cb, _, d in _between(a, b, metric, linkage):
+            own = np.minimum(np.searchsorted(cb, ca), len(cb) - 1)
+            same = np.flatnonzero(cb[own] == ca)
+            d[same, own[same]] = np.inf
+            k = d.argmin(1)  # of equal distances the smaller name
+            h = d[np.arange(len(ca)), k]
+            ok = np.isfinite(h)
+            found.append(pd.DataFrame({"grp": key[0], "a": ca[ok], "dist": h[ok], "b": cb[k[ok]]}))
+        out = pd.concat(found)
+        return out if len(out) else pd.DataFrame()
+
+    def pairs(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame()
+        found = []
+        for ca, na, cb, nb, d in _between(a, b, metric, linkage):
+            i, j = np.nonzero(ca[:, None] < cb[None, :])
+            found.append(pd.DataFrame({"grp": key[0], "a": ca[i], "b": cb[j], "dist": d[i, j], "na": na[i], "nb": nb[j]}))
+        out = pd.concat(found)
+        return out if len(out) else pd.DataFrame()
+
+    def meet(left: DataFrame, right: DataFrame):
+        """Blocks of whole clusters of both sides, keyed for a co-group."""
+        side = lambda df: df.groupBy("grp").agg(block_count(F.count(F.lit(1)), block).alias("n"))
+        n = F.broadcast(side(left).withColumnRenamed("n", "nx").join(side(right).withColumnRenamed("n", "ny"), "grp"))
+        upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        l = left.join(n, "grp").select("grp", "c", "vec", F.pmod(F.xxhash64("c"), F.col("nx")).cast("int").alias("x"), upto("ny").alias("y"))
+        r = right.join(n, "grp").select(
+            F.col("grp").alias("rgrp"), F.col("c").alias("rc"), F.col("vec").alias("rvec"), F.pmod(F.xxhash64("c"), F.col("ny")).cast("int").alias("ry"), upto("nx").alias("rx")
+        )
+        return l.groupBy("grp", "x", "y").cogroup(r.groupBy("rgrp", "rx", "ry"))
+
+    state = written(points.select("grp", F.col("id").alias("c"), "vec"))
+    todo = state.select("grp", "c").distinct()
+    near, found, step = spark.createDataFrame([], "grp string, a string, dist double, b string"), [], 0
+    while not state.isEmpty():
+        few = _few(state.select("grp", F.col("c").alias("id")).distinct(), max(local, 1))
+        if not few.isEmpty():
+            last = state.join(few, "grp", "left_semi")
+            table = meet(last, last).applyInPandas(pairs, "grp string, a string, b string, dist double, na long, nb long")
+            found.append(written(table.groupBy("grp").applyInPandas(_rest(linkage, threshold, step), MERGES)))
+            state = written(state.join(few, "grp", "left_anti"))
+            near, todo = near.join(few, "grp", "left_anti"), todo.join(few, "grp", "left_anti")
+            continue
+        new = meet(state.join(todo, ["grp", "c"], "left_semi"), state).applyInPandas(nearest, "grp string, a string, dist double, b string")
+        new = new.groupBy("grp", "a").agg(F.min(F.struct("dist", "b")).alias("x")).select("grp", "a", "x.dist", "x.b")
+        near = written(near.unionByName(new))
+        merged = _mutual(near, threshold, step)
+        if merged.isEmpty():
+            # equal distances may differ in the last digit, so that no two clusters choose each other: the closest pair is right as well
+            close = near.groupBy("grp").agg(F.min(F.struct("dist", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).alias("x"))
+            close = close if threshold is None else close.where(F.col("x.dist") < threshold)
+            merged = written(close.select("grp", "x.a", "x.b", F.col("x.dist").alias("height"), F.lit(step).alias("round")))
+            if merged.isEmpty():
+                break
+        found.append(merged)
+        to = merged.select("grp", F.col("b").alias("c"), F.col("a").alias("to"))
+        state = written(state.join(to, ["grp", "c"], "left").select("grp", F.coalesce("to", "c").alias("c"), "vec"))
+        gone = merged.select("grp", F.explode(F.array("a", "b")).alias("name"))
+        kept = near.join(gone.withColumnRenamed("name", "a"), ["grp", "a"], "left_anti")
+        still = kept.join(gone.withColumnRenamed("name", "b"), ["grp", "b"], "left_anti").select("grp", "a", "dist", "b")
+        if threshold is not None:  # what has nothing under the threshold never merges
+            still = still.where(F.col("dist") < threshold).unionByName(kept.where(F.col("dist") >= threshold))
+        near = written(still)
+        todo = written(state.select("grp", "c").distinct().join(near.select("grp", F.col("a").alias("c")), ["grp", "c"], "left_anti"))
+        step += 1
+    return _all(spark, found, MERGES)
+
+
 # ------------------------------------------------------------- spanning forest
 def spanning_forest(points: DataFrame, metric: str, block: int = 2_000) -> DataFrame:
     """Edges ``(grp, a, b, dist)`` of a minimum spanning tree of every group.
@@ -260,7 +372,7 @@ def spanning_forest(points: DataFrame, metric: str, block: int = 2_000) -> DataF
     state = written(points.select("grp", "id", "vec").withColumn("tree", F.col("id")))
     found = []
     while True:
-        best = block_pairs(state, block, False, extra=("tree",)).applyInPandas(shortest, "grp string, tree string, dist double, a string, b string, other string")
+        best = block_pairs(state, block, False, extra=("tree",)).applyInPandas(in_tiles(shortest, block), "grp string, tree string, dist double, a string, b string, other string")
         near = written(best.groupBy("grp", "tree").agg(F.min(F.struct("dist", "a", "b", "other")).alias("x")).select("grp", "tree", "x.*"))
         if near.isEmpty():
             return _all(spark, found, "grp string, a string, b string, dist double")
@@ -290,10 +402,9 @@ def plain_name(key: str) -> Column:
 def merge_table(points: DataFrame, metric: str, linkage: str, threshold: float | None = None, local: int = LOCAL, block: int = 2_000) -> DataFrame:
     """All merges ``(grp, a, b, height, round)`` of the points ``(grp, id, vec)`` of every group, under ``threshold`` if given.
 
-    ``a`` and ``b`` are the smallest members of the clusters that merge, ``a < b``.  Complete
-    linkage with a threshold keeps only pairs under it.  Complete linkage without one, and
-    average linkage of distances that are not products, hold one row per pair of a group
-    or component.
+    ``a`` and ``b`` are the smallest members of the clusters that merge, ``a < b``.  No linkage holds a
+    row per pair of points; complete linkage, and average linkage of distances that are not
+    products, compare members again for the clusters whose nearest one was merged.
     """
     if linkage not in ("single", "complete", "average"):
         raise ValueError(linkage)
@@ -305,12 +416,10 @@ def merge_table(points: DataFrame, metric: str, linkage: str, threshold: float |
         return small
     if linkage == "average" and metric in ("cosine", "correlation"):
         return small.unionByName(mean_merges(large, metric, threshold, block, local))
-    if linkage == "single":
-        pairs = spanning_forest(large, metric, block)
-        pairs = pairs if threshold is None else pairs.where(F.col("dist") < threshold)
-    else:
-        reach = float("inf") if threshold is None or linkage == "average" else threshold
-        pairs = near_pairs(large, metric, reach, block)
+    if linkage != "single":
+        return small.unionByName(member_merges(large, metric, linkage, threshold, block, local))
+    pairs = spanning_forest(large, metric, block)
+    pairs = pairs if threshold is None else pairs.where(F.col("dist") < threshold)
     return small.unionByName(table_merges(pairs, linkage, threshold, local))
 
 

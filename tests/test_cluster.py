@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandframe.operators import cluster as K
 from strandframe.operators import folds as FO
@@ -273,3 +274,40 @@ def test_subclusters_by_effect(spark):
         for j in range(5):
             value = x[sorted(members), j].sum() / len(members)
             assert table.get((c, s, f"t{j}"), 0.0) == pytest.approx(value)
+
+
+def test_points_are_sent_to_few_blocks(spark):
+    from strandframe.operators.distance import block_count
+
+    sizes = [0, 1, 3_000, 100_000, 600_000]
+    df = spark.createDataFrame([(n,) for n in sizes], "n long")
+    assert [r[0] for r in df.select(block_count(F.col("n"), 2_000)).collect()] == [0, 1, 2, 8, 10]
+
+
+def test_blocks_of_both_sides_are_compared_in_batches(spark):
+    import pandas as pd
+
+    left, right = spark.range(40).select(F.col("id").alias("l")), spark.range(30).select(F.col("id").alias("r"))
+    seen = lambda a, b: pd.DataFrame({"l": a["l"], "rows": len(a), "refs": len(b)})
+    got = against_reference(left, right, seen, "l long, rows long, refs long", "l", "r", bound=10, batch=4).collect()
+    assert max(r["rows"] for r in got) <= 4
+    refs = {}
+    for r in got:
+        refs[r["l"]] = refs.get(r["l"], 0) + r["refs"]
+    assert refs == {i: 30 for i in range(40)}
+
+
+def test_linkage_keeps_no_table_of_pairs(spark, monkeypatch):
+    """Complete and average linkage over tables never write a row per pair of points."""
+    written, sizes = L.written, []
+
+    def counted(df):
+        out = written(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(L, "written", counted)
+    x = np.random.default_rng(21).normal(size=(60, 3))
+    p = points(spark, x).select(F.lit("g").alias("grp"), "id", "vec")
+    rows = L.merge_table(p, "euclidean", "complete", None, 8, 16).collect()
+    assert len(rows) == 59 and max(sizes) <= 120
