@@ -22,7 +22,9 @@ from strandframe.functions.ranking import ordinal_rank
 from strandframe.operators.distance import block_count, block_pairs, distances, in_tiles, stack, unit_rows
 from strandframe.session import written
 
-LOCAL = 2_000
+LOCAL = 5_000
+TABLE = 2_000  # clusters of a group whose pairs come to one task as rows
+MEMBERS = 40_000  # points that come to one task
 MERGES = "grp string, a string, b string, height double, round int"
 
 
@@ -294,6 +296,15 @@ def member_merges(points: DataFrame, metric: str, linkage: str, threshold: float
         out = pd.concat(found)
         return out if len(out) else pd.DataFrame()
 
+    def rest(at: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            parts = list(_between(pdf, pdf.rename(columns={"c": "rc", "vec": "rvec"}), metric, linkage))
+            ids, size, d = parts[0][2], parts[0][3], np.concatenate([x[4] for x in parts])
+            rows = [(pdf["grp"].iloc[0], ids[x], ids[y], h, r) for x, y, h, r in matrix_merges((d + d.T) / 2, linkage, threshold, size, at)]
+            return pd.DataFrame(rows, columns=["grp", "a", "b", "height", "round"])
+
+        return run
+
     def meet(left: DataFrame, right: DataFrame):
         """Blocks of whole clusters of both sides, keyed for a co-group."""
         side = lambda df: df.groupBy("grp").agg(block_count(F.count(F.lit(1)), block).alias("n"))
@@ -309,11 +320,15 @@ def member_merges(points: DataFrame, metric: str, linkage: str, threshold: float
     todo = state.select("grp", "c").distinct()
     near, found, step = spark.createDataFrame([], "grp string, a string, dist double, b string"), [], 0
     while not state.isEmpty():
-        few = _few(state.select("grp", F.col("c").alias("id")).distinct(), max(local, 1))
+        counts = written(state.groupBy("grp", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")))
+        few = counts.where((F.col("k") <= max(local, 1)) & ((F.col("n") <= MEMBERS) | (F.col("k") <= TABLE)))
         if not few.isEmpty():
-            last = state.join(few, "grp", "left_semi")
+            small = state.join(few.where(F.col("n") <= MEMBERS).select("grp"), "grp", "left_semi")
+            found.append(written(small.groupBy("grp").applyInPandas(rest(step), MERGES)))
+            last = state.join(few.where(F.col("n") > MEMBERS).select("grp"), "grp", "left_semi")
             table = meet(last, last).applyInPandas(pairs, "grp string, a string, b string, dist double, na long, nb long")
             found.append(written(table.groupBy("grp").applyInPandas(_rest(linkage, threshold, step), MERGES)))
+            few = few.select("grp")
             state = written(state.join(few, "grp", "left_anti"))
             near, todo = near.join(few, "grp", "left_anti"), todo.join(few, "grp", "left_anti")
             continue
