@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from strandframe.functions import sequence as S
 from strandframe.operators.blocks import against_reference
 from strandframe.operators.matrix import attach, attach_small
+from strandframe.session import maybe_broadcast, written
 from strandframe.sources.sinks import motif_rows
 
 KEY = ["motif"]
@@ -289,16 +290,22 @@ def kernel_activation(seqlets: DataFrame, kernels: DataFrame, bias: DataFrame |
     return act.select("seqlet", "motif", ACTIVATIONS[activation](F.col("act")).alias("act"))
 
 
+def _with_totals(df: DataFrame, **aggs: Column) -> DataFrame:
+    """As ``attach`` per motif; the totals are stored, and few of them go to the rows, which then stay where they are."""
+    totals = written(df.groupBy(*KEY).agg(*[c.alias(n) for n, c in aggs.items()]))
+    return df.join(maybe_broadcast(totals), KEY)
+
+
 def pwm_from_activations(activations: DataFrame, cut: float, z_score: bool = True, pseudo: float = 0.025) -> DataFrame:
     """Activation-weighted base frequencies of the seqlets that pass.
 
     Activations are scaled to 0-1 per kernel; the cut is on them, or mean + cut * std.
     The pseudo count is spread over the passing seqlets and adds up to ``pseudo`` per cell.
     """
-    a = attach(activations, KEY, lo=F.min("act"), hi=F.max("act"))
+    a = _with_totals(activations, lo=F.min("act"), hi=F.max("act"))
     a = a.select("seqlet", "motif", F.try_divide(F.col("act") - F.col("lo"), F.col("hi") - F.col("lo")).alias("act"))
     if z_score:
-        a = attach(a, KEY, mu=F.avg("act"), sd=F.stddev_pop("act"))
+        a = _with_totals(a, mu=F.avg("act"), sd=F.stddev_pop("act"))
         a = a.filter(F.col("act") >= F.col("mu") + cut * F.col("sd"))
     else:
         a = a.filter(F.col("act") >= cut)
