@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.functions import sequence as S
-from strandframe.operators.blocks import spread
+from strandframe.operators.blocks import against_reference
 
 
 def reverse_complement(seqs: DataFrame) -> DataFrame:
@@ -113,8 +114,8 @@ def exact_motif_scan(seqs: DataFrame, words: DataFrame, both_strands: bool = Tru
     """Hits of exact words ``(motif, word)`` with strand, and the repeat context score.
 
     ``words`` may carry ``context`` (two letters): the score adds the number of
-    bases in uninterrupted context repeats left and right of the hit.  One window
-    explosion per word length, equi-joined on the word.
+    bases in uninterrupted context repeats left and right of the hit.  The windows of a
+    sequence are looked up in the word list batch by batch, so only hits become rows.
     """
     if "context" not in words.columns:
         words = words.withColumn("context", F.lit(""))
@@ -128,34 +129,39 @@ def exact_motif_scan(seqs: DataFrame, words: DataFrame, both_strands: bool = Tru
                 F.lit("-").alias("strand"),
             )
         )
-    # the word lengths and context units are a few distinct values of a motif list
-    lengths = [r[0] for r in words.select(F.length("word")).distinct().collect()]
-    units = [r[0] for r in w.select("context").distinct().filter("context <> ''").collect()]
-    base = spread(seqs.select("name", "seq"), "name")
-    n_seq = F.length("seq")
-    if units:
-        # the generator keeps the run lengths as values, so they are made once per sequence
-        runs = [_unit_runs(F.col("seq"), u).alias(f"r{i}") for i, u in enumerate(units)]
-        runs += [_unit_runs(F.reverse("seq"), u[::-1]).alias(f"l{i}") for i, u in enumerate(units)]
-        base = base.select("name", "seq", F.inline(F.array(F.struct(*runs))))
-
-    def hit(x: Column, start: Column, size: int) -> Column:
-        arms = [(F.get(f"l{i}", n_seq - start) + F.get(f"r{i}", start + size)).alias(f"c{i}") for i in range(len(units))]
-        return F.struct(start.alias("start"), x.alias("word"), *arms)
-
-    def hits_of(size: int) -> Column:
-        return F.transform(S.windows(F.col("seq"), size), lambda x, i: hit(x, i, size))
-
-    stacked = F.concat(*[hits_of(n) for n in sorted(lengths)])
-    hits = base.select("name", F.inline(stacked)).join(w, "word")
-    context = F.lit(0)
-    for i, u in enumerate(units):
-        context = F.when(F.col("context") == u, F.col(f"c{i}")).otherwise(context)
-    return hits.select(
-        "name", "motif", "strand", "start", (F.col("start") + F.length("word")).alias("end"), context.cast("int").alias("context_bases")
-    )
-
-
-def _unit_runs(text: Column, unit: str) -> Column:
-    """Length of the run of whole ``unit`` repeats that starts at each position (and at the end)."""
-    return F.transform(F.regexp_extract_all(text, F.lit(f"(?=((?:{unit})*))"), F.lit(1)), lambda x: F.length(x))
+    known = w.filter("word IS NOT NULL")
+    types = {c: d.schema[c].dataType.simpleString() for d, c in ((seqs, "name"), (known, "motif"))}
+    schema = f"name {types['name']}, motif {types['motif']}, strand string, start int, end int, context_bases int"
+
+    def compare(part: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
+        by_length: dict[int, dict[str, list[tuple]]] = {}
+        for motif, word, unit, strand in zip(listed["motif"], listed["word"], listed["context"], listed["strand"]):
+            by_length.setdefault(len(word), {}).setdefault(word, []).append((motif, unit or "", strand))
+        units = {unit for unit in listed["context"] if unit}
+        out = []
+        for name, seq in zip(part["name"], part["seq"]):
+            runs = {}
+            for size, words_of in by_length.items():
+                for start in range(len(seq) - size + 1):
+                    for motif, unit, strand in words_of.get(seq[start : start + size], ()):
+                        if units and not runs:
+                            runs = {u: _unit_runs(seq, u) for u in units}
+                        right, left = runs.get(unit, ({}, {}))
+                        out.append((name, motif, strand, start, start + size, right.get(start + size, 0) + left.get(start, 0)))
+        return pd.DataFrame(out, columns=["name", "motif", "strand", "start", "end", "context_bases"])
+
+    return against_reference(seqs.select("name", "seq").filter("seq IS NOT NULL"), known, compare, schema, "name", "word")
+
+
+def _unit_runs(text: str, unit: str) -> tuple[dict[int, int], dict[int, int]]:
+    """Length of the run of whole ``unit`` repeats that starts at a position, and of the one that ends there, where there is one."""
+    right, left, size = {}, {}, len(unit)
+    places, at = [], text.find(unit)
+    while at >= 0:
+        places.append(at)
+        at = text.find(unit, at + 1)
+    for at in places:
+        left[at + size] = left.get(at, 0) + size
+    for at in reversed(places):
+        right[at] = right.get(at + size, 0) + size
+    return right, left
