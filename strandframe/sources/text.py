@@ -59,7 +59,9 @@ def parse_fasta(records: DataFrame, min_length: int = 10, upper: bool = True) ->
     """FASTA records (text between ``>``) to ``(name, seq)``; multi-line sequences are joined."""
     r = F.regexp_replace("value", "^>", "")
     body = F.regexp_replace(F.expr("substring(__r, length(substring_index(__r, '\\n', 1)) + 2)"), r"[\r\n\s]+", "")
-    out = records.select(r.alias("__r")).filter(F.instr("__r", "\n") > 0).select(F.trim(F.substring_index("__r", "\n", 1)).alias("name"), body.alias("seq"))
+    # a generator keeps its rows as values, so neither the record nor the joined text is made again for each place that names it
+    out = records.select(F.explode(F.array(r)).alias("__r")).filter(F.instr("__r", "\n") > 0)
+    out = out.select(F.inline(F.array(F.struct(F.trim(F.substring_index("__r", "\n", 1)).alias("name"), body.alias("seq")))))
     out = out.filter(~F.lower("seq").contains("sequenceunavailable") & (F.length("seq") > min_length))
     return out.select("name", (F.upper("seq") if upper else F.col("seq")).alias("seq"))
 
