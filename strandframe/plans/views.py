@@ -23,7 +23,7 @@ def sequences(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     return d.select(
         F.col("doc_id").cast("string").alias("name"),
-        F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"),
+        F.regexp_replace(F.upper("text"), "[^ACGT]+", "").alias("seq"),
     )
 
 
@@ -33,7 +33,7 @@ SEQ = "seqs AS (SELECT CAST(doc_id AS VARCHAR) AS name, regexp_replace(upper(tex
 def benchmark_sequences(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "benchmark")
     return d.select(
-        F.col("item_id").cast("string").alias("name"), F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq")
+        F.col("item_id").cast("string").alias("name"), F.regexp_replace(F.upper("text"), "[^ACGT]+", "").alias("seq")
     )
 
 
@@ -246,9 +246,9 @@ LPPM = """lppm AS (SELECT 'L' || CAST(e.label AS VARCHAR) AS motif, p.pos, p.bas
 
 def profile(spark: SparkSession, sf: str) -> DataFrame:
     """A 1-D signal per document: word length minus six, in word order."""
-    d = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    d = spread(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("seq"), "text"), "seq")
     return d.select(
-        F.col("doc_id").cast("string").alias("seq"), F.lit("words").alias("track"), F.posexplode(F.split("text", " ")).alias("pos", "word")
+        "seq", F.lit("words").alias("track"), F.posexplode(F.split("text", " ")).alias("pos", "word")
     ).select("seq", "track", "pos", (F.length("word") - 6).cast("double").alias("value"))
 
 
