@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandframe.functions import sequence as S
-from strandframe.operators.blocks import against_reference
+from strandframe.operators.blocks import against_reference, spread
 from strandframe.operators.matrix import attach, attach_small
 from strandframe.session import maybe_broadcast, written
 from strandframe.sources.sinks import motif_rows
@@ -423,30 +423,46 @@ def masked_prediction_average(seqs: DataFrame, predict_positions, width: int, n_
 
     ``n_masks`` window starts per sequence are chosen by hash.  A position takes the mean over the
     copies in which it was masked, or over all copies when it never was.
-    ``predict_positions`` takes a list of sequences and gives one array per sequence.
+    ``predict_positions`` takes a list of sequences and gives one array per sequence.  The copies of a
+    sequence are added up where they are made, so one row per position is shuffled.
     """
     n = F.length("seq")
     draw = F.transform(
         F.sequence(F.lit(0), F.lit(n_masks - 1)),
         lambda i: F.pmod(F.xxhash64(F.col("name"), i, F.lit(seed)), F.greatest(n - width + 1, F.lit(1))).cast("int"),
     )
-    x = seqs.filter(n > 0).select("name", "seq", F.explode(draw).alias("start"))
-    x = x.select("name", "start", S.mask(F.col("seq"), F.col("start"), F.lit(width)).alias("seq"))
+    x = spread(seqs.filter(n > 0).select("name", "seq", draw.alias("starts")), "name")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = max(1, 256 // n_masks)
         for part in parts:
-            for lo in range(0, len(part), 256):
-                p = part.iloc[lo : lo + 256]
-                ys = predict_positions(list(p["seq"]))
-                sizes = [len(y) for y in ys]
-                pos = np.concatenate([np.arange(k) for k in sizes]) if sizes else np.array([], int)
-                start = np.repeat(p["start"].to_numpy(), sizes)
-                yield pd.DataFrame({
-                    "name": np.repeat(p["name"].to_numpy(), sizes), "pos": pos, "value": np.concatenate(ys),
-                    "masked": (pos >= start) & (pos < start + width),
-                })
-
-    y = x.mapInPandas(run, "name string, pos int, value double, masked boolean")
-    return y.groupBy("name", "pos").agg(
-        F.coalesce(F.avg(F.when(F.col("masked"), F.col("value"))), F.avg("value")).alias("value")
-    )
+            for lo in range(0, len(part), size):
+                p = part.iloc[lo : lo + size]
+                ys = iter(predict_positions([_masked(seq, s, width) for seq, starts in zip(p["seq"], p["starts"]) for s in starts]))
+                sums = [_masked_sums(starts, [np.asarray(next(ys), dtype=float) for _ in starts], width) for starts in p["starts"]]
+                cells = {c: np.concatenate([s[c] for s in sums]) for c in sums[0]}
+                yield pd.DataFrame({"name": np.repeat(p["name"].to_numpy(), [len(s["pos"]) for s in sums]), **cells})
+
+    name = seqs.schema["name"].dataType.simpleString()
+    y = x.mapInPandas(run, f"name {name}, pos int, masked_sum double, masked_n long, total double, n long")
+    t = y.groupBy("name", "pos").agg(*[F.sum(c).alias(c) for c in ("masked_sum", "masked_n", "total", "n")])
+    return t.select("name", "pos", F.coalesce(F.try_divide("masked_sum", "masked_n"), F.try_divide("total", "n")).alias("value"))
+
+
+def _masked(seq: str, start: int, width: int) -> str:
+    stop = min(start + width, len(seq))
+    return seq[:start] + "N" * (stop - start) + seq[stop:]
+
+
+def _masked_sums(starts, ys: list[np.ndarray], width: int) -> dict[str, np.ndarray]:
+    """Sums per position over the copies of one sequence: where it was masked, and over all.  NaN is no prediction."""
+    size = max(map(len, ys))
+    masked_sum, total, masked_n, n = np.zeros(size), np.zeros(size), np.zeros(size, int), np.zeros(size, int)
+    for start, y in zip(starts, ys):
+        ok, y = ~np.isnan(y), np.nan_to_num(y, posinf=np.inf, neginf=-np.inf)
+        at = slice(start, min(start + width, len(y)))
+        masked_sum[at] += y[at]
+        masked_n[at] += ok[at]
+        total[: len(y)] += y
+        n[: len(y)] += ok
+    return {"pos": np.arange(size), "masked_sum": masked_sum, "masked_n": masked_n, "total": total, "n": n}
