@@ -15,7 +15,7 @@ from strandframe.operators import seqdist as D
 from strandframe.operators import similarity as SIM
 from strandframe.plans import views as V
 from strandframe.plans.catalog import query
-from strandframe.session import cut_lineage
+from strandframe.session import cut_lineage, written
 
 C = V.ctes
 KMERS3 = ["".join(p) for p in product("ACGT", repeat=3)]
@@ -338,8 +338,12 @@ def _(spark, sf):
 
 # --------------------------------------------------------------------- models
 def model_data(spark, sf):
-    """3-mer counts of the labelled documents with three targets."""
-    x = kmers.kmer_count_regular(V.sequences(spark, sf), 3).select("name", F.col("kmer").alias("feature"), F.col("cnt").alias("value"))
+    """3-mer counts of the labelled documents with three targets.
+
+    Documents without a label are left out before their 3-mers are counted.
+    """
+    labelled = V.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("name"))
+    x = kmers.kmer_count_regular(V.sequences(spark, sf).join(labelled, "name", "left_semi"), 3).select("name", F.col("kmer").alias("feature"), F.col("cnt").alias("value"))
     d = V.table(spark, sf, "documents").join(V.table(spark, sf, "labels"), "doc_id")
     y = d.select(
         F.col("doc_id").cast("string").alias("name"),
@@ -363,7 +367,7 @@ def _(spark, sf):
 
 @query("linear_predictions")
 def _(spark, sf):
-    d = model_data(spark, sf)
+    d = written(model_data(spark, sf))  # read by the fit and once per track
     return MD.predict_linear(d, MD.linear_models(d, KMERS3, TRACKS, "l2", 10.0), KMERS3)
 
 
