@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandframe.operators.matrix import attach, attach_small, signed_maxabs
+from strandframe.session import written
 
 CHUNK = 4096
 
@@ -162,6 +163,7 @@ def _entered(chunks: DataFrame, entries: Callable[[DataFrame], DataFrame], fold:
     one task.  A sequence of one chunk is entered at its start and needs no table.
     """
     keys = ["seq", "track"]
+    chunks = written(chunks)  # read five times below
 
     def table(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -196,6 +198,8 @@ def _entered(chunks: DataFrame, entries: Callable[[DataFrame], DataFrame], fold:
     cells = [F.col("__chunk").alias("chunk"), *[F.col(f"items.{f}").alias(f) for f in fields]]
     whole = chunks.where(F.col("length") <= CHUNK).select(*keys, *cells, F.lit(-1).alias("t"), F.lit(0).alias("who"))
     cut = chunks.where(F.col("length") > CHUNK)
+    if cut.isEmpty():
+        return whole
     named = cut.join(entries(cut), [*keys, "__chunk"]).select(*keys, *cells, F.col(f"items.{fields[0]}")[0].alias("begin"), "entries")
     exits = named.mapInPandas(table, "seq string, track string, chunk int, begin int, at array<int>, exits array<int>")
     rows = F.sort_array(F.collect_list(F.struct("chunk", "begin", "at", "exits")))
