@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandframe.operators import genome as G
 from strandframe.operators import intervals as I
+from strandframe.operators.blocks import spread
 from strandframe.plans import views as V
 from strandframe.plans.catalog import query
 
@@ -194,7 +195,8 @@ _INTRON = """intron AS (SELECT transcript, s AS "start", e AS "end" FROM (
 
 
 def exons(spark, sf):
-    li = V.table(spark, sf, "lineitem")
+    # by order, in tasks that AQE does not merge: exons, transcripts and introns are then made without another shuffle of lines
+    li = spread(V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").where("l_orderkey IS NOT NULL"), "l_orderkey")
     base = F.col("l_linenumber").cast("bigint") * 1000 + F.min("l_partkey") % 500
     return li.groupBy(F.col("l_orderkey").alias("transcript"), "l_linenumber").agg(
         base.alias("start"), (base + 100 + F.max("l_quantity").cast("bigint")).alias("end")
