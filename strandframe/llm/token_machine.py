@@ -15,7 +15,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -254,6 +254,9 @@ class Machine:
             merges.setdefault((raw(a), raw(b)), rank)
         self.merger = Merger(vocab, merges)
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = np.zeros(256, "<u4")
+        self.letters[[*letter.values()]] = [*map(ord, letter)]
         self.finder = re.compile(b"|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.kinds = np.full(0x110000, 255, np.uint8)
         self._learn(np.arange(128))
@@ -280,18 +283,18 @@ class Machine:
             return self.kinds.take(data), None
         at = np.flatnonzero((data & 0xC0) != 0x80)
         lead = data[at]
-        points = lead.astype(np.int32)
+        kinds = self.kinds[:256].take(lead)
         wide = np.flatnonzero(lead >= 0xC0)
         size = 2 + (lead[wide] >= 0xE0).astype(np.int8) + (lead[wide] >= 0xF0)
         value = lead[wide].astype(np.int32) & (0x7F >> size)
         for k in (1, 2, 3):
             more = size > k
             value[more] = value[more] << 6 | data[at[wide[more]] + k] & 0x3F
-        points[wide] = value
-        kinds = self.kinds.take(points)
-        if (kinds == 255).any():
-            self._learn(np.unique(points[kinds == 255]))
-            kinds = self.kinds.take(points)
+        found = self.kinds.take(value)
+        if (found == 255).any():
+            self._learn(np.unique(value[found == 255]))
+            found = self.kinds.take(value)
+        kinds[wide] = found
         return kinds, at
 
     def pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -340,6 +343,15 @@ class Machine:
             out.append(total[first[1:]] - total[first[:-1]])
         return np.concatenate(out)
 
+    def _encoded(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of each piece, of the library's model: its own splitting of a piece would leave it whole."""
+        spelled = self.letters.take(np.frombuffer(b"".join(pieces), np.uint8)).tobytes().decode("utf-32-le")
+        ids, end = [], 0
+        for p in pieces:
+            begin, end = end, end + len(p)
+            ids.append([self.special[p]] if p in self.special else [t.id for t in self.model.tokenize(spelled[begin:end])])
+        return ids
+
     def token_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string array without nulls, one text after the other, and the number of each text's ids."""
         ids, lengths = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
@@ -349,16 +361,21 @@ class Machine:
             pieces = listed(coded.dictionary)
             if len(self.numbers) > REMEMBERED:
                 self.numbers, self.flat, self.ends = {}, self.flat[:0], self.ends[:1]
-            new = list(set(pieces).difference(self.numbers))
-            if new:
-                rows = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)]
-                self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new))))
+            number = np.fromiter(map(self.numbers.get, pieces, repeat(-1)), np.int64, len(pieces))
+            new = np.flatnonzero(number < 0)
+            if len(new):
+                number[new] = np.arange(len(self.numbers), len(self.numbers) + len(new))
+                fresh = [pieces[k] for k in new.tolist()]
+                rows = self._encoded(fresh)
+                self.numbers.update(zip(fresh, number[new].tolist()))
                 self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(rows), "<u4")])
                 self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))])
-            number = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces)).take(coded.indices.to_numpy())
-            size = self.ends[number + 1] - self.ends[number]
+            begin, used = self.ends[number], coded.indices.to_numpy()
+            size = (self.ends[number + 1] - begin).take(used)
             total = np.append(0, np.cumsum(size))
-            ids.append(self.flat[np.arange(total[-1]) + np.repeat(self.ends[number] - total[:-1], size)])
+            at = np.repeat(begin.take(used) - total[:-1], size)
+            at += np.arange(total[-1])
+            ids.append(self.flat.take(at))
             lengths.append(total[first[1:]] - total[first[:-1]])
         return np.concatenate(ids), np.concatenate(lengths)
 

@@ -72,6 +72,15 @@ def test_merger_starts_over_when_full(monkeypatch, samples):
         assert m.token_ids(pa.array(some))[0].tolist() == [i for w in want[lo : lo + 40] for i in w]
 
 
+def test_new_pieces_are_not_split_again(samples):
+    m, every = tm.Machine(PATH), [*samples, "<|endoftext|>", *map(chr, range(0x500)), *(chr(k) for k in range(0x10000, 0x10FFFF, 997))]
+    texts, want = pa.array(every, pa.string()), library(every)
+    m.pieces(texts)  # learns the classes of all characters
+    m.tokenizer = None
+    ids, lengths = m.token_ids(texts)
+    assert ids.tolist() == [i for w in want for i in w] and lengths.tolist() == [len(w) for w in want]
+
+
 def test_other_files_are_refused():
     with pytest.raises(ValueError):
         tm.Machine(public_tokenizers.path("word_bpe_49k.json"))
