@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from strandframe.operators import cluster as K
 from strandframe.operators import folds as FO
+from strandframe.operators import graph
 from strandframe.operators import joins as J
 from strandframe.operators import linkage as L
 from strandframe.operators.blocks import against_reference
@@ -118,6 +119,45 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert {got[f"c{i:02d}"] for i in range(31)} == {"c00"} and {got[f"x{i}"] for i in range(40)} == {"h"} and got["alone"] == "alone"
 
 
+def test_components_send_fewer_links_every_round(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    pairs = {(f"g{g}n{i}", f"g{g}n{j}") for g in range(3) for i, j in rng.integers(0, 30, (200, 2)).tolist()}
+    edges = spark.createDataFrame(sorted(pairs), "a string, b string")
+    nodes = edges.selectExpr("a AS id").union(edges.selectExpr("b AS id"))
+    sent, real = [], graph.written
+
+    def spied(df):
+        out = real(df)
+        if out.columns == ["a", "b"]:
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "written", spied)
+    got = {r["id"]: r["component"] for r in K.connected_components(nodes, edges).collect()}
+    assert got == {n: min(m for m in got if m[:3] == n[:3]) for n in got} and len(got) == nodes.distinct().count()
+    assert len(sent) > 2 and sent[-1] == 0 and all(a > b for a, b in zip(sent, sent[1:]))
+
+
+def test_components_of_nulls_copies_and_ids_outside(spark):
+    nodes = spark.createDataFrame([(k,) for k in (5, 4, 3, 2, 9, 9, None)], "id int")
+    edges = spark.createDataFrame([(5, 4), (4, 5), (5, 4), (3, 3), (3, 7), (7, 2), (9, None), (None, None)], "a long, b long")
+    got = K.connected_components(nodes, edges)
+    assert sorted(map(tuple, got.collect())) == [(2, 2), (3, 3), (4, 4), (5, 4), (9, 9)] and dict(got.dtypes)["component"] == "int"
+
+
+def test_components_hash_again_when_two_ids_share_a_key(spark, monkeypatch):
+    tried, real = [], graph.F.xxhash64
+
+    def spied(*columns):
+        tried.append(1)
+        return graph.F.lit(7).cast("long") if len(tried) == 1 else real(*columns)
+
+    monkeypatch.setattr(graph.F, "xxhash64", spied)
+    edges = spark.createDataFrame([("a", "b"), ("c", "d")], "a string, b string")
+    nodes = edges.selectExpr("a AS id").union(edges.selectExpr("b AS id"))
+    assert sorted(map(tuple, K.connected_components(nodes, edges).collect())) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "c")]
+
+
 def test_near_pairs_over_blocks(spark):
     x = np.random.default_rng(9).random((50, 2))
     d = K.distances(x, x, "euclidean")
