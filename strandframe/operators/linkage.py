@@ -14,17 +14,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandframe.functions.ranking import ordinal_rank
+from strandframe.operators import held
 from strandframe.operators.distance import block_count, block_pairs, distances, in_tiles, stack, unit_rows
 from strandframe.session import written
 
 LOCAL = 5_000
 TABLE = 2_000  # clusters of a group whose pairs come to one task as rows
 MEMBERS = 40_000  # points that come to one task
+HELD = 12_000_000  # numbers in vectors that every task holds at once
 MERGES = "grp string, a string, b string, height double, round int"
 
 
@@ -357,6 +360,37 @@ def member_merges(points: DataFrame, metric: str, linkage: str, threshold: float
     return _all(spark, found, MERGES)
 
 
+# ------------------------------------------------------------- vectors held by every task
+def held_merges(points: DataFrame, metric: str, linkage: str, threshold: float | None = None, local: int = LOCAL) -> DataFrame:
+    """Complete or average linkage of groups whose vectors fit in every task: ``grp, a, b, height, round``.
+
+    The driver keeps the nearest clusters of every cluster and the tasks search for them (``held``); the last
+    clusters of a group, ``TABLE`` or ``local``, go on as one matrix.
+    """
+    spark = points.sparkSession
+    table = points.where("id IS NOT NULL").select("grp", "id", "vec").toArrow()
+    names = table.select(["grp", "id"]).to_pandas()
+    vectors = table["vec"].combine_chunks()
+    if vectors.null_count or vectors.flatten().null_count:
+        raise ValueError("vectors must not be null")
+    x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1)
+    names = names.sort_values(["grp", "id"], kind="stable")
+    x = [x[names.index.to_numpy()]]
+    del table, vectors
+    grp, ids = names["grp"].to_numpy(), names["id"].to_numpy()
+    new = np.r_[True, grp[1:] != grp[:-1]]
+    bounds = np.r_[np.flatnonzero(new), len(names)]
+    first = np.flatnonzero(new | np.r_[True, ids[1:] != ids[:-1]])
+    label = np.repeat(first, np.diff(np.r_[first, len(names)]))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = held.merges(spark, x, bounds, label, metric, linkage, threshold, parts, min(local, TABLE))
+    if not found:
+        return spark.createDataFrame([], MERGES)
+    i, j, height, step = (np.concatenate([f[k] for f in found]) for k in range(4))
+    rows = pa.table({"grp": pa.array(grp[i], pa.string()), "a": pa.array(ids[i], pa.string()), "b": pa.array(ids[j], pa.string()), "height": height, "round": pa.array(step, pa.int32())})
+    return written(spark.createDataFrame(rows, MERGES))
+
+
 # ------------------------------------------------------------- spanning forest
 def spanning_forest(points: DataFrame, metric: str, block: int = 2_000) -> DataFrame:
     """Edges ``(grp, a, b, dist)`` of a minimum spanning tree of every group.
@@ -414,12 +448,15 @@ def plain_name(key: str) -> Column:
 
 
 # ------------------------------------------------------------- all kinds
-def merge_table(points: DataFrame, metric: str, linkage: str, threshold: float | None = None, local: int = LOCAL, block: int = 2_000) -> DataFrame:
+def merge_table(
+    points: DataFrame, metric: str, linkage: str, threshold: float | None = None, local: int = LOCAL, block: int = 2_000, most: int = HELD
+) -> DataFrame:
     """All merges ``(grp, a, b, height, round)`` of the points ``(grp, id, vec)`` of every group, under ``threshold`` if given.
 
     ``a`` and ``b`` are the smallest members of the clusters that merge, ``a < b``.  No linkage holds a
-    row per pair of points; complete linkage, and average linkage of distances that are not
-    products, compare members again for the clusters whose nearest one was merged.
+    row per pair of points.  While the vectors of all groups over ``local`` have up to ``most`` numbers, every task
+    holds them; beyond that rounds go over tables, where complete linkage, and average linkage of distances that are
+    not products, compare members again for the clusters whose nearest one was merged.
     """
     if linkage not in ("single", "complete", "average"):
         raise ValueError(linkage)
@@ -429,6 +466,8 @@ def merge_table(points: DataFrame, metric: str, linkage: str, threshold: float |
     large = written(sized.where(F.col("n") > local).where("n > 1").drop("n"))
     if large.isEmpty():
         return small
+    if linkage == "complete" and large.agg(F.sum(F.size("vec").cast("long"))).first()[0] <= most:
+        return small.unionByName(held_merges(large, metric, linkage, threshold, local))
     if linkage == "average" and metric in ("cosine", "correlation"):
         return small.unionByName(mean_merges(large, metric, threshold, block, local))
     if linkage != "single":
