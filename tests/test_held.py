@@ -40,3 +40,19 @@ def test_complete_linkage_does_not_store_tables_every_round(spark, monkeypatch,
     got = K.agglomerative_cluster(points(spark, x), "correlation", "complete", 0.9, local=8).collect()
     assert sets(got) == naive_labels(d, "complete", 0.9)
     assert len(stored) <= 4
+
+
+def test_average_linkage_searches_few_clusters_again(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(150, 5))
+    searched, real = [], held.Rounds.search
+
+    def spied(self, todo, fast):
+        searched.append(len(todo))
+        return real(self, todo, fast)
+
+    monkeypatch.setattr(held.Rounds, "search", spied)
+    p = points(spark, x).selectExpr("'g' AS grp", "id", "vec")
+    want = chain_merges(K.distances(x, x, "euclidean"), "average")
+    same(rows_of(L.merge_table(p, "euclidean", "average", None, 4, 16)), want)
+    assert 150 <= sum(searched) < 400  # each once, every merged one again, and few others
+    same(rows_of(L.merge_table(p, "euclidean", "average", None, 60, 64, most=0)), want)  # rounds over tables
