@@ -466,7 +466,7 @@ def merge_table(
     large = written(sized.where(F.col("n") > local).where("n > 1").drop("n"))
     if large.isEmpty():
         return small
-    if linkage != "single" and not (linkage == "average" and metric in ("cosine", "correlation")) and large.agg(F.sum(F.size("vec").cast("long"))).first()[0] <= most:
+    if linkage != "single" and large.agg(F.sum(F.size("vec").cast("long"))).first()[0] <= most:
         return small.unionByName(held_merges(large, metric, linkage, threshold, local))
     if linkage == "average" and metric in ("cosine", "correlation"):
         return small.unionByName(mean_merges(large, metric, threshold, block, local))

@@ -56,3 +56,25 @@ def test_average_linkage_searches_few_clusters_again(spark, monkeypatch):
     same(rows_of(L.merge_table(p, "euclidean", "average", None, 4, 16)), want)
     assert 150 <= sum(searched) < 400  # each once, every merged one again, and few others
     same(rows_of(L.merge_table(p, "euclidean", "average", None, 60, 64, most=0)), want)  # rounds over tables
+
+
+def test_copies_and_equal_names_take_few_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(size=(20, 4)), np.repeat(rng.normal(size=(1, 4)), 40, axis=0), np.ones((12, 4))])
+    stored = tables(monkeypatch)
+    p = points(spark, x).selectExpr("'g' AS grp", "id", "vec")
+    got = L.merge_table(p, "correlation", "average", None, 4, 16).collect()
+    assert len(got) == 71 and len(stored) <= 3 and max(r["round"] for r in got) < 30
+    want = sorted(h for _, _, h in chain_merges(K.distances(x, x, "correlation"), "average"))
+    assert sorted(r["height"] for r in got) == pytest.approx(want)
+    leaves = [r["leaf"] for r in K.order_by_hierarchy(points(spark, x), "correlation", local=4).collect()]
+    assert sorted(leaves) == list(range(72))
+    twice = p.unionByName(p.limit(3))  # rows of one name are one cluster from the start
+    assert L.merge_table(twice, "correlation", "average", None, 4, 16).count() == 71
+
+
+def test_average_of_sums_over_tables(spark):
+    x = np.random.default_rng(9).normal(size=(40, 5))
+    p = points(spark, x).selectExpr("'g' AS grp", "id", "vec")
+    for most in (0, L.HELD):
+        same(rows_of(L.merge_table(p, "correlation", "average", None, 16, 16, most=most)), chain_merges(K.distances(x, x, "correlation"), "average"))
