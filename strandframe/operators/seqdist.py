@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.operators.blocks import against_reference
+from strandframe.operators.cells import nearest_in_cells
 from strandframe.operators.cluster import distances
+from strandframe.session import small_enough, written
 
 
 def _segments(seq: Column, k: int) -> Column:
@@ -83,11 +85,14 @@ def nearest_distances(points: DataFrame, reference: DataFrame | None = None, met
     """Distance of each point ``(name, vec)`` to the nearest member of another set, or of its own set.
 
     In its own set equal vectors are counted first: a vector with a copy has distance 0, and only
-    distinct vectors are compared.
+    distinct vectors are compared; more than ``bound`` of them by cells (euclidean).
     """
-    own = reference is None
+    own, best = reference is None, None
     if own:
-        g = points.groupBy("vec").agg(F.count(F.lit(1)).alias("c"), F.min("name").alias("name"))
+        points = written(points.select("name", "vec"))  # read twice or more below
+        g = written(points.groupBy("vec").agg(F.count(F.lit(1)).alias("c"), F.min("name").alias("name")))
+        if metric == "euclidean" and not small_enough(g, bound):
+            best = nearest_in_cells(g.select("name", "vec"), min(bound, 2_000))
         left = g.select("name", "vec", "c")
         right = g.select(F.col("name").alias("rname"), F.col("vec").alias("rvec"))
     else:
@@ -102,8 +107,9 @@ def nearest_distances(points: DataFrame, reference: DataFrame | None = None, met
             d[a["name"].to_numpy()[:, None] == b["rname"].to_numpy()[None, :]] = np.inf
         return pd.DataFrame({"name": a["name"].to_numpy(), "d": d.min(1)})
 
-    near = against_reference(left.select("name", "vec"), right, compare, "name string, d double", "name", "rname", bound=bound)
-    best = near.groupBy("name").agg(F.min("d").alias("d"))
+    if best is None:
+        near = against_reference(left.select("name", "vec"), right, compare, "name string, d double", "name", "rname", bound=bound)
+        best = near.groupBy("name").agg(F.min("d").alias("d"))
     if not own:
         return best.select("name", F.col("d").alias("distance"))
     scored = left.join(best, "name").select("vec", F.when(F.col("c") > 1, 0.0).otherwise(F.col("d")).alias("distance"))
