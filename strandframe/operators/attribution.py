@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -322,6 +324,79 @@ def strict_runs(profile: DataFrame, cut: float, max_gap: int = 1, min_size: int
     )
 
 
+def _members(profile: DataFrame, z_cut: float, mean: float) -> tuple[DataFrame, DataFrame]:
+    """Positions over the cut-off with their sign: of sequences of one chunk as lists, of longer ones as rows.
+
+    A chunk becomes one row before anything is joined or sorted, so the positions are shuffled once, or not at
+    all where they come by sequence.
+    """
+    keys = ["seq", "track"]
+    cells = F.sort_array(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "value")))
+    chunks = profile.where("seq IS NOT NULL AND track IS NOT NULL").groupBy(*keys, F.floor(F.col("pos") / CHUNK).cast("int").alias("__chunk")).agg(
+        cells.alias("cells"), F.sum(F.pow(F.col("value") - mean, F.lit(2))).alias("sum"), F.count("value").alias("n"), F.max("pos").alias("last")
+    )
+    over = W.partitionBy(*keys)
+    chunks = chunks.withColumns({"__s": F.sqrt(F.try_divide(F.sum("sum").over(over), F.sum("n").over(over))), "__len": (F.max("last").over(over) + 1).cast("int")})
+    z = lambda x: F.try_divide(x["value"] - mean, F.col("__s"))
+    over_cut = F.filter(F.transform("cells", lambda x: F.struct(x["pos"].alias("pos"), z(x).alias("z"))), lambda x: F.abs(x["z"]) >= z_cut)
+    signed = F.transform(over_cut, lambda x: F.struct(x["pos"].alias("pos"), F.signum(x["z"]).cast("int").alias("s")))
+    chunks = written(chunks.select(*keys, "__chunk", "__len", signed.alias("cells")).where(F.size("cells") > 0))
+    whole = chunks.where(F.col("__len") <= CHUNK).select(*keys, "__len", F.col("cells.pos").alias("pos"), F.col("cells.s").alias("s"))
+    return whole, chunks.where(F.col("__len") > CHUNK).select(*keys, "__chunk", "__len", F.inline("cells"))
+
+
+def _walk(min_size: int):
+    def walk(row, t: int, who: int) -> tuple[int, int, list[tuple[int, int, int]]]:
+        runs = []
+        for b, f, e, sign, closed in zip(*(v.tolist() for v in (row.b, row.f, row.e, row.s, row.closed))):
+            if f <= t:
+                continue
+            start = max(b, t)
+            if not closed:
+                t = _OPEN
+            elif e - 1 - start >= min_size:
+                runs.append((start, e - 1, sign))
+                t = e
+            else:
+                t = f + 1
+        return t, 0, runs
+
+    return walk
+
+
+def _blocks(pos: np.ndarray, sign: np.ndarray, length: int) -> SimpleNamespace:
+    """Blocks of one sequence from its positions over the cut-off, as the joins of ``find_zscore_runs`` make them."""
+    found = []
+    for s in np.unique(sign):
+        p = pos[sign == s]
+        kind = p - np.arange(1, len(p) + 1)
+        order = np.argsort(kind, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(kind[order]) != 0])
+        b, f = np.minimum.reduceat(p[order], cuts), np.maximum.reduceat(p[order], cuts) + 1
+        by = np.argsort(b, kind="stable")
+        lo, hi = np.searchsorted(b[by], f + 1, "left"), np.searchsorted(b[by], f + 1, "right")
+        n = np.maximum(hi - lo, 1)
+        which = np.repeat(np.arange(len(b)), n)
+        at = np.repeat(lo, n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        e = np.where((hi > lo)[which], f[by][np.minimum(at, len(b) - 1)], f[which] + 1)
+        found.append(np.stack([b[which], f[which], e, np.full(len(which), s), e < length]))
+    b, f, e, s, closed = np.concatenate(found, axis=1)
+    order = np.lexsort((closed, s, e, f, b))
+    return SimpleNamespace(b=b[order], f=f[order], e=e[order], s=s[order], closed=closed[order])
+
+
+def _short_runs(min_size: int):
+    walk = _walk(min_size)
+
+    def found(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = zip(part["seq"], part["track"], part["__len"], part["pos"], part["s"])
+            runs = [(seq, track, *run) for seq, track, n, pos, s in rows for run in walk(_blocks(pos, s, n), -1, 0)[2]]
+            yield pd.DataFrame(runs, columns=["seq", "track", "start", "end", "direction"])
+
+    return found
+
+
 def find_zscore_runs(profile: DataFrame, z_cut: float = 1.3, min_size: int = 5, mean: float | None = 0.0) -> DataFrame:
     """Runs on z-scored saliency per (seq, track): ``(seq, track, start, end, direction)``.
 
@@ -331,14 +406,15 @@ def find_zscore_runs(profile: DataFrame, z_cut: float = 1.3, min_size: int = 5,
     one begins where it ended, else the next one begins behind the interruption.
     """
     keys = ["seq", "track"]
+    short = None
     if mean is None:
         p = attach(profile, keys, __m=F.avg("value"), __s=F.stddev_pop("value"), __len=F.max("pos") + 1)
+        z = F.try_divide(F.col("value") - F.col("__m"), F.col("__s"))
+        p = p.select(*keys, "pos", z.alias("z"), "__len")
+        rows = _with_halo(p, 0).where(F.abs("z") >= z_cut).withColumn("s", F.signum("z").cast("int"))
     else:
-        p = attach(profile, keys, __s=F.sqrt(F.avg(F.pow(F.col("value") - mean, F.lit(2)))), __len=F.max("pos") + 1)
-        p = p.withColumn("__m", F.lit(float(mean)))
-    z = F.try_divide(F.col("value") - F.col("__m"), F.col("__s"))
-    p = p.select(*keys, "pos", z.alias("z"), "__len")
-    rows = _with_halo(p, 0).where(F.abs("z") >= z_cut).withColumn("s", F.signum("z").cast("int"))
+        whole, rows = _members(profile, z_cut, mean)
+        short = whole.mapInPandas(_short_runs(min_size), "seq string, track string, start int, end int, direction int")
     # Blocks are unbroken positions of one sign, [b, f); with the block behind one interruption they end at e.
     at = [*keys, "s", "__chunk"]
     rows = rows.withColumn("rank", F.row_number().over(W.partitionBy(*at).orderBy("pos")))
@@ -365,27 +441,17 @@ def find_zscore_runs(profile: DataFrame, z_cut: float = 1.3, min_size: int = 5,
         states = F.transform(F.array_distinct(ts), lambda t: F.struct(t.alias("t"), F.lit(0).alias("who")))
         return tails.select(*keys, "__chunk", states.alias("entries"))
 
-    def walk(row, t: int, who: int) -> tuple[int, int, list[tuple[int, int, int]]]:
-        runs = []
-        for b, f, e, sign, closed in zip(*(v.tolist() for v in (row.b, row.f, row.e, row.s, row.closed))):
-            if f <= t:
-                continue
-            start = max(b, t)
-            if not closed:
-                t = _OPEN
-            elif e - 1 - start >= min_size:
-                runs.append((start, e - 1, sign))
-                t = e
-            else:
-                t = f + 1
-        return t, 0, runs
+    walk = _walk(min_size)
 
     def found(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             runs = [(row.seq, row.track, *run) for row in part.itertuples(index=False) for run in walk(row, row.t, 0)[2]]
             yield pd.DataFrame(runs, columns=[*keys, "start", "end", "direction"])
 
-    return _entered(chunks, entries, walk).mapInPandas(found, "seq string, track string, start int, end int, direction int")
+    if short is not None and rows.isEmpty():
+        return short
+    runs = _entered(chunks, entries, walk).mapInPandas(found, "seq string, track string, start int, end int, direction int")
+    return runs if short is None else short.unionByName(runs)
 
 
 # -------------------------------------------------------------------- seqlets
